@@ -57,7 +57,8 @@ def state_code(text: Column) -> Column:
 
 def state_or_default(code: Column) -> Column:
     """The exporting state, with blanks and NULLs gathered under one name."""
-    return F.coalesce(F.nullif(F.trim(code), F.lit("")), F.lit(UNINFORMED_STATE))
+    trimmed = F.trim(code)
+    return F.when(trimmed != "", trimmed).otherwise(UNINFORMED_STATE)
 
 
 def normalize_code(value: Column, width: int) -> Column:

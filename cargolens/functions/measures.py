@@ -21,7 +21,8 @@ def per_positive(numerator: Column | str, denominator: Column | str) -> Column:
 
 def per_nonzero(numerator: Column | str, denominator: Column | str) -> Column:
     """``numerator / denominator`` unless the denominator is zero, else NULL."""
-    return _double(numerator) / F.nullif(_double(denominator), F.lit(0.0))
+    bottom = _double(denominator)
+    return F.when(bottom != 0, _double(numerator) / bottom)
 
 
 def change(current: Column | str, base: Column | str) -> Column:

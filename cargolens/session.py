@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Python call sites on every column double the time it takes to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

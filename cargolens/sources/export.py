@@ -24,4 +24,10 @@ def with_decimal_comma(frame: DataFrame) -> DataFrame:
 
 def write_csv(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """";"-separated UTF-8 with a header, as a folder of part files."""
-    with_decimal_comma(frame).write.mode(mode).option("sep", ";").option("header", True).csv(path)
+    (
+        with_decimal_comma(frame)
+        .write.mode(mode)
+        .options(sep=";", header=True, escape='"', emptyValue="")
+        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(path)
+    )

@@ -150,6 +150,7 @@ def read_raw(spark: SparkSession, layout: Layout) -> DataFrame:
         .option("sep", ";")
         .option("header", True)
         .option("enforceSchema", True)
+        .option("escape", '"')
         .option("encoding", "UTF-8" if layout.charset == UTF8 else "ISO-8859-1")
         .csv(list(layout.paths))
         .withColumn("SOURCE_FILE", F.col("_metadata.file_path"))

@@ -53,3 +53,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("Defina spark.checkpoint.dir: os executores precisam de uma pasta comum.")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/cargolens-{name}-{uuid.uuid4().hex}"
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, in order."""
+    fs, target = _handle(spark, pattern)
+    return sorted(status.getPath().toString() for status in (fs.globStatus(target) or []))

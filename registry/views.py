@@ -149,7 +149,71 @@ SELECT CASE WHEN l_linestatus = 'F' THEN 'EXP' ELSE 'IMP' END AS FLUXO,
        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS VL_FOB,
        CAST(CAST(l_quantity * 2 AS DECIMAL(18,2)) AS STRING) AS VL_FRETE,
        CAST(CAST(l_quantity AS DECIMAL(18,2)) AS STRING) AS VL_SEGURO,
-       'derived' AS SOURCE_FILE
+       concat(CASE WHEN l_linestatus = 'F' THEN 'EXP_' ELSE 'IMP_' END,
+              CAST(year(l_shipdate) AS STRING), '.csv') AS SOURCE_FILE
+FROM lineitem
+"""
+
+# The auxiliary tables as workbooks deliver them: codes that look like numbers, gaps.
+VIEWS["raw_isic"] = """
+SELECT concat(CAST(p_partkey AS STRING), '.0') AS CO_NCM, p_name AS NO_NCM_POR,
+       CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'A' WHEN 1 THEN ' b' WHEN 2 THEN 'C' WHEN 3 THEN 'Z'
+            WHEN 4 THEN NULL WHEN 5 THEN 'G' ELSE 'D' END AS CO_ISIC_SECAO,
+       CASE CAST(p_size % 6 AS INT) WHEN 0 THEN 'AGRICULTURA, pecuária' WHEN 1 THEN 'Pesca e  Aqüicultura'
+            WHEN 2 THEN 'Indústrias EXTRATIVAS' WHEN 3 THEN 'Indústrias de TRANSFORMAÇÃO' WHEN 4 THEN NULL
+            ELSE 'Serviços' END AS NO_ISIC_SECAO
+FROM part WHERE p_partkey % 10 <> 0
+"""
+
+VIEWS["raw_cgce"] = """
+SELECT CAST(p_partkey AS STRING) AS CO_NCM,
+       CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE CAST(p_partkey % 8 AS STRING) END AS CO_CGCE_N1,
+       CASE CAST(p_size % 7 AS INT) WHEN 0 THEN 'BENS DE CAPITAL' WHEN 1 THEN 'Bens Intermediários'
+            WHEN 2 THEN 'bens de consumo' WHEN 3 THEN 'COMBUSTÍVEIS' WHEN 4 THEN 'Lubrificantes'
+            WHEN 5 THEN ' Outros bens ' ELSE NULL END AS NO_CGCE_N1
+FROM part WHERE p_partkey % 10 <> 1
+"""
+
+VIEWS["raw_sh"] = """
+SELECT lpad(CAST(p_partkey AS STRING), 8, '0') AS CO_NCM,
+       concat(CAST(10000 + p_size * 100 + p_partkey % 5 AS STRING), '.00') AS CO_SH6,
+       concat('Subposição ', CAST(p_size AS STRING)) AS NO_SH6_POR,
+       CAST(100 + p_size AS STRING) AS CO_SH4, CAST(p_size AS STRING) AS CO_SH2,
+       CASE WHEN p_size % 2 = 0 THEN concat('Capítulo próprio ', CAST(p_size AS STRING)) END AS NO_SH2_POR
+FROM part WHERE p_partkey % 10 <> 2
+"""
+
+VIEWS["raw_sh2"] = """
+SELECT DISTINCT CAST(p_size AS STRING) AS CO_SH2, concat('Capítulo ', CAST(p_size AS STRING)) AS NO_SH2_POR
+FROM part WHERE p_size % 3 <> 0
+"""
+
+VIEWS["raw_sh4"] = """
+SELECT DISTINCT concat(CAST(100 + p_size AS STRING), '.0') AS CO_SH4,
+       concat('Posição ', CAST(p_size AS STRING)) AS NO_SH4_POR
+FROM part WHERE p_size % 5 <> 0
+"""
+
+VIEWS["raw_country"] = """
+SELECT CAST(n_nationkey AS STRING) AS CO_PAIS,
+       CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_name END AS NO_PAIS,
+       CASE WHEN n_nationkey = 3 THEN 'USA' ELSE concat('N', lpad(CAST(n_nationkey AS STRING), 2, '0')) END AS CO_PAIS_ISOA3
+FROM nation
+"""
+
+VIEWS["raw_unit"] = """
+SELECT DISTINCT concat(CAST(l_linenumber AS STRING), '.0') AS CO_UNID,
+       CASE WHEN l_linenumber = 5 THEN NULL ELSE concat('Unidade ', CAST(l_linenumber AS STRING)) END AS NO_UNID
+FROM lineitem
+"""
+
+# One row per shipment, so that each calendar day is repeated many times.
+VIEWS["raw_days"] = """
+SELECT CAST(year(l_shipdate) AS STRING) AS CO_ANO,
+       CASE WHEN l_linenumber = 7 THEN NULL ELSE concat(CAST(month(l_shipdate) AS STRING), '.0') END AS CO_MES,
+       CAST(day(l_shipdate) AS STRING) AS CO_DIA,
+       CASE CAST(extract(DOY FROM l_shipdate) % 7 AS INT) WHEN 0 THEN 'Não' WHEN 1 THEN '0' WHEN 2 THEN 'feriado?'
+            WHEN 3 THEN 'SIM' WHEN 4 THEN ' útil ' WHEN 5 THEN '1' ELSE 'Verdadeiro' END AS DIA_UTIL
 FROM lineitem
 """
 
@@ -210,6 +274,14 @@ USES = {
     "htsus_lines": (),
     "loads": ("fact",),
     "raw_records": (),
+    "raw_isic": (),
+    "raw_cgce": (),
+    "raw_sh": (),
+    "raw_sh2": (),
+    "raw_sh4": (),
+    "raw_country": (),
+    "raw_unit": (),
+    "raw_days": (),
     "annex_cells": (),
     "tariff_raw": (),
     "star": ("fact", "dim_ncm", "dim_country", "dim_unit", "dim_calendar_month"),
@@ -272,4 +344,6 @@ def oracle(sql: str, *views: str, doubles: tuple[str, ...] = ()) -> str:
     if doubles:
         rounded = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in doubles)
         sql = f"SELECT * REPLACE ({rounded}) FROM (\n{sql.strip()}\n) final"
+    elif sql.strip().upper().startswith("WITH"):
+        sql = f"SELECT * FROM (\n{sql.strip()}\n) final"
     return f"WITH {prefix}\n{sql.strip()}" if prefix else sql.strip()
