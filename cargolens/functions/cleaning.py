@@ -17,6 +17,8 @@ from cargolens.model import UNCLASSIFIED, UNINFORMED_STATE
 # Spark's own number parser takes Java suffixes ("1d") and rejects "1.5" as an
 # integer, so the text is matched before it is cast.
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_INFINITY = r"(?i)^[+-]?inf(inity)?$"
+_BLANKS = " \t\r\n\f\x0b"
 _INT_MIN, _INT_MAX = -(2**31), 2**31 - 1
 
 # --- fixed values -----------------------------------------------------------
@@ -30,20 +32,34 @@ CODE_WIDTHS = {
 # --- end of fixed values ----------------------------------------------------
 
 
+def _number_text(text: Column) -> Column:
+    """Number text without outer blanks and without "_" between digits."""
+    return F.regexp_replace(F.trim(text, F.lit(_BLANKS)), r"(?<=\d)_(?=\d)", "")
+
+
 def parse_integer(text: Column) -> Column:
-    """Year or month text to INT; decimals round, anything unreadable is NULL."""
-    trimmed = F.trim(text)
-    rounded = F.round(F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double")))
+    """Year or month text to INT; decimals round, anything unreadable is NULL.
+
+    Hexadecimal (0x) and binary (0b) spellings are read as well.
+    """
+    plain = _number_text(text)
+    digits = F.substring(plain, F.lit(3), F.length(plain))
+    value = (
+        F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+        .when(plain.rlike(r"^0[xX][0-9a-fA-F]+$"), F.conv(digits, 16, 10).try_cast("double"))
+        .when(plain.rlike(r"^0[bB][01]+$"), F.conv(digits, 2, 10).try_cast("double"))
+    )
+    rounded = F.round(value)
     return F.when(rounded.between(_INT_MIN, _INT_MAX), rounded.cast("int"))
 
 
 def parse_measure(text: Column) -> Column:
     """Measure text to DOUBLE, with a comma or a dot as the decimal mark.
 
-    "NaN" and anything that is not a plain number become NULL: NaN would poison sums.
+    "NaN" becomes NULL like all text that is no number: NaN would poison sums.
     """
-    plain = F.replace(F.trim(text), F.lit(","), F.lit("."))
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    plain = _number_text(F.replace(text, F.lit(","), F.lit(".")))
+    return F.when(plain.rlike(_NUMBER) | plain.rlike(_INFINITY), plain.try_cast("double"))
 
 
 def pad_code(text: Column, width: int) -> Column:
@@ -64,7 +80,7 @@ def state_or_default(code: Column) -> Column:
 def normalize_code(value: Column, width: int) -> Column:
     """Dimension codes as spreadsheets deliver them: "123.0" is 123, only digits
     count, shorter codes are zero-padded and longer ones stay whole."""
-    text = F.trim(value.cast("string"), F.lit(" \t\r\n"))
+    text = F.trim(value.cast("string"), F.lit(_BLANKS))
     text = F.when(~F.lower(text).isin(*MISSING_WORDS), text)
     whole = F.regexp_replace(text, r"^([+-]?\d+)\.0+$", "$1")
     digits = F.nullif(F.regexp_replace(whole, r"\D", ""), F.lit(""))
@@ -73,7 +89,7 @@ def normalize_code(value: Column, width: int) -> Column:
 
 def business_day(value: Column) -> Column:
     """1 for a business day, 0 for a day off, NULL when the text says neither."""
-    word = F.lower(F.trim(value.cast("string"), F.lit(" \t\r\n")))
+    word = F.lower(F.trim(value.cast("string"), F.lit(_BLANKS)))
     return F.when(word.isin(*BUSINESS_DAY_WORDS), 1).when(word.isin(*DAY_OFF_WORDS), 0)
 
 
@@ -131,7 +147,7 @@ def use_category(category_code: Column, category_name: Column) -> Column:
         .when(_mentions(name, ("intermed",)), "Bens Intermediários")
         .when(_mentions(name, ("consumo",)), "Bens de Consumo")
         .when(_mentions(name, ("combust", "lubrificant")), "Combustíveis e Lubrificantes")
-        .when(F.length(name) > 0, F.trim(category_name, F.lit(" \t\r\n")))
+        .when(F.length(name) > 0, F.trim(category_name, F.lit(_BLANKS)))
         .when(category_code.isNotNull(), F.concat(F.lit("Categoria "), F.trim(category_code.cast("string"))))
         .otherwise(UNCLASSIFIED)
     )

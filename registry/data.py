@@ -21,6 +21,12 @@ from registry.views import GIVEN, USES, VIEWS
 PARTITIONED = {"fact": ("FLUXO", "CO_ANO")}
 
 
+def _in_spark(sql: str) -> str:
+    """Two spellings differ between the engines."""
+    sql = sql.replace("sha256(SOURCE_FILE)", "sha2(SOURCE_FILE, 256)")
+    return sql.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)")
+
+
 @dataclass
 class Data:
     """Lazily stored views over one folder of given tables."""
@@ -48,9 +54,7 @@ class Data:
                 self._derived[table].createOrReplaceTempView(table)
             for used in USES[name]:
                 self.derived(used).createOrReplaceTempView(used)
-            sql = VIEWS[name].replace("sha256(", "sha2_256(").replace("sha2_256(SOURCE_FILE)", "sha2(SOURCE_FILE, 256)")
-            sql = sql.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)")
-            self._derived[name] = self.spark.sql(sql)
+            self._derived[name] = self.spark.sql(_in_spark(VIEWS[name]))
         return self._derived[name]
 
     def stored(self, name: str) -> DataFrame:

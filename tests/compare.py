@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL twins.
 
-    python tests/compare.py /root/testdata/sf0.01 [name-part ...]
+    python tests/compare.py /root/testdata/sf0.01 [name-part ...] [setting=value ...]
 """
 
 from __future__ import annotations
@@ -74,10 +74,10 @@ def main() -> int:
     import __spark_entry__ as registered
     from cargolens.session import session
 
-    sf_dir, parts = sys.argv[1], sys.argv[2:]
-    spark = session(
-        **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
-    )
+    sf_dir, parts = sys.argv[1], [a for a in sys.argv[2:] if "=" not in a]
+    settings = dict(a.split("=", 1) for a in sys.argv[2:] if "=" in a)
+    local = {"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+    spark = session(**{**local, **settings})
     spark.sparkContext.setLogLevel("ERROR")
     con, failures = connect(sf_dir), 0
     oracles = registered.oracle_sql()
