@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from cargolens.model import UNCLASSIFIED, UNINFORMED_STATE
 
-# Spark's own number parser takes Java suffixes ("1d") and rejects "1.5" as an
-# integer, so the text is matched before it is cast.
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_INFINITY = r"(?i)^[+-]?inf(inity)?$"
-_BLANKS = " \t\r\n\f\x0b"
-_INT_MIN, _INT_MAX = -(2**31), 2**31 - 1
+# Numbers are matched before they are cast: a failing cast costs an exception per
+# value, Spark's parser takes Java suffixes ("1d"), and it rejects "1.5" as an integer.
+# Casts ignore outer blanks, so the patterns allow them and nothing is trimmed first.
+_DIGITS = r"\d+(?:_\d+)*"
+_NUMBER = rf"[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?\d+)?"
+_PLAIN_INTEGER = r"^\s*[+-]?\d{1,9}\s*$"
 
 # --- fixed values -----------------------------------------------------------
 BUSINESS_DAY_WORDS = ("1", "sim", "s", "true", "verdadeiro", "util", "útil")
@@ -32,9 +32,8 @@ CODE_WIDTHS = {
 # --- end of fixed values ----------------------------------------------------
 
 
-def _number_text(text: Column) -> Column:
-    """Number text without outer blanks and without "_" between digits."""
-    return F.regexp_replace(F.trim(text, F.lit(_BLANKS)), r"(?<=\d)_(?=\d)", "")
+def _without_separators(text: Column) -> Column:
+    return F.replace(text, F.lit("_"), F.lit(""))
 
 
 def parse_integer(text: Column) -> Column:
@@ -42,15 +41,14 @@ def parse_integer(text: Column) -> Column:
 
     Hexadecimal (0x) and binary (0b) spellings are read as well.
     """
-    plain = _number_text(text)
-    digits = F.substring(plain, F.lit(3), F.length(plain))
-    value = (
-        F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
-        .when(plain.rlike(r"^0[xX][0-9a-fA-F]+$"), F.conv(digits, 16, 10).try_cast("double"))
-        .when(plain.rlike(r"^0[bB][01]+$"), F.conv(digits, 2, 10).try_cast("double"))
+    rounded = F.round(_without_separators(text).try_cast("double"))
+    digits = F.substring(F.trim(text), 3, 32)
+    return (
+        F.when(text.rlike(_PLAIN_INTEGER), text.try_cast("int"))
+        .when(text.rlike(rf"^\s*{_NUMBER}\s*$"), rounded.try_cast("int"))
+        .when(text.rlike(r"^ *0[xX][0-9a-fA-F]+ *$"), F.conv(digits, 16, 10).try_cast("int"))
+        .when(text.rlike(r"^ *0[bB][01]+ *$"), F.conv(digits, 2, 10).try_cast("int"))
     )
-    rounded = F.round(value)
-    return F.when(rounded.between(_INT_MIN, _INT_MAX), rounded.cast("int"))
 
 
 def parse_measure(text: Column) -> Column:
@@ -58,8 +56,9 @@ def parse_measure(text: Column) -> Column:
 
     "NaN" becomes NULL like all text that is no number: NaN would poison sums.
     """
-    plain = _number_text(F.replace(text, F.lit(","), F.lit(".")))
-    return F.when(plain.rlike(_NUMBER) | plain.rlike(_INFINITY), plain.try_cast("double"))
+    dotted = F.replace(text, F.lit(","), F.lit("."))
+    number = dotted.rlike(rf"^\s*(?:{_NUMBER}|[+-]?(?i:inf(?:inity)?))\s*$")
+    return F.when(number, _without_separators(dotted).try_cast("double"))
 
 
 def pad_code(text: Column, width: int) -> Column:
@@ -80,7 +79,7 @@ def state_or_default(code: Column) -> Column:
 def normalize_code(value: Column, width: int) -> Column:
     """Dimension codes as spreadsheets deliver them: "123.0" is 123, only digits
     count, shorter codes are zero-padded and longer ones stay whole."""
-    text = F.trim(value.cast("string"), F.lit(_BLANKS))
+    text = F.trim(value.cast("string"), F.lit(" \t\r\n"))
     text = F.when(~F.lower(text).isin(*MISSING_WORDS), text)
     whole = F.regexp_replace(text, r"^([+-]?\d+)\.0+$", "$1")
     digits = F.nullif(F.regexp_replace(whole, r"\D", ""), F.lit(""))
@@ -89,7 +88,7 @@ def normalize_code(value: Column, width: int) -> Column:
 
 def business_day(value: Column) -> Column:
     """1 for a business day, 0 for a day off, NULL when the text says neither."""
-    word = F.lower(F.trim(value.cast("string"), F.lit(_BLANKS)))
+    word = F.lower(F.trim(value.cast("string"), F.lit(" \t\r\n")))
     return F.when(word.isin(*BUSINESS_DAY_WORDS), 1).when(word.isin(*DAY_OFF_WORDS), 0)
 
 
@@ -147,7 +146,7 @@ def use_category(category_code: Column, category_name: Column) -> Column:
         .when(_mentions(name, ("intermed",)), "Bens Intermediários")
         .when(_mentions(name, ("consumo",)), "Bens de Consumo")
         .when(_mentions(name, ("combust", "lubrificant")), "Combustíveis e Lubrificantes")
-        .when(F.length(name) > 0, F.trim(category_name, F.lit(_BLANKS)))
+        .when(F.length(name) > 0, F.trim(category_name, F.lit(" \t\r\n")))
         .when(category_code.isNotNull(), F.concat(F.lit("Categoria "), F.trim(category_code.cast("string"))))
         .otherwise(UNCLASSIFIED)
     )

@@ -20,6 +20,9 @@ def spark(tmp_path_factory):
             "spark.master": "local[8]",
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "6g",
+            # Plans are compared as text, so nothing may be cut off.
+            "spark.sql.maxMetadataStringLength": "5000",
+            "spark.sql.debug.maxToStringFields": "1000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
