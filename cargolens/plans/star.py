@@ -8,11 +8,13 @@ the dimensions a question needs and decides, dimension by dimension, *when*:
 * any other dimension waits until the facts are summed to the keys in use. The
   partial sums run before the shuffle, so a product holding a third of all
   facts arrives at the join as a handful of rows, and the join shuffles sums,
-  not facts. AQE still turns that join into a broadcast when the real size allows.
+  not facts. AQE still turns that join into a broadcast when the real size allows;
+* labels of a key that is part of the result wait in any case.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,7 +76,7 @@ _ISIC = {
 _SOURCES = (Dimension("ncm", PRODUCT.keys, {**PRODUCT.attributes, **_ISIC}), COUNTRY, UNIT, CALENDAR)
 
 
-def attach(rows: DataFrame, dimension: Dimension, side: DataFrame, wanted: set[str]) -> DataFrame:
+def attach(rows: DataFrame, dimension: Dimension, side: DataFrame, wanted: Iterable[str]) -> DataFrame:
     """Left-join the wanted attributes of a dimension, defaults filled in."""
     names = [name for name in dimension.attributes if name in wanted]
     side = side.select(
@@ -139,36 +141,47 @@ def facts_by(
         for name, test in source.items():
             tests.setdefault(name, []).append(test)
 
-    wanted = set(columns) | set(tests)
-    needed = [d for d in _SOURCES if wanted & d.attributes.keys()]
-    early = [
-        d
-        for d in needed
-        if _fits(tables, d)
-        # Labels of a key that is kept anyway are cheaper to add to the sums.
-        and not (set(d.keys) <= set(columns) and not d.attributes.keys() & tests.keys())
-    ]
-    late = [d for d in needed if d not in early]
-
-    def apply_tests(rows: DataFrame) -> DataFrame:
-        ready = [name for name in tests if name in rows.columns]
-        return rows.where(all_of([t for name in ready for t in tests.pop(name)])) if ready else rows
-
+    wanted = set(columns)
     rows = tables.fact
     if ROW_COUNT in measures:
         rows = rows.withColumn(ROW_COUNT, F.lit(1).cast("long"))
-    rows = apply_tests(rows)
-    for dimension in early:
-        rows = apply_tests(attach(rows, dimension, getattr(tables, dimension.table), wanted))
+    rows = _apply(rows, tests)
+
+    late = []
+    for dimension in _SOURCES:
+        tested = dimension.attributes.keys() & tests.keys()
+        asked = dimension.attributes.keys() & wanted
+        if not tested and not asked:
+            continue
+        side = getattr(tables, dimension.table)
+        if not _fits(tables, dimension):
+            late.append(dimension)
+        elif set(dimension.keys) <= wanted:
+            # The key is kept anyway: facts are filtered now, and the labels are
+            # added to the sums, so that the shuffle carries the key alone.
+            if tested:
+                rows = _apply(attach(rows, dimension, side, tested), tests).drop(*tested)
+            if asked:
+                late.append(dimension)
+        else:
+            rows = _apply(attach(rows, dimension, side, tested | asked), tests)
     if late:
         keys = [c for c in columns if c in rows.columns]
         keys += [k for d in late for k in d.keys if k not in keys]
         rows = sum_by(rows, keys, measures)
         for dimension in late:
-            rows = apply_tests(attach(rows, dimension, getattr(tables, dimension.table), wanted))
+            needed = dimension.attributes.keys() & (wanted | tests.keys())
+            rows = _apply(attach(rows, dimension, getattr(tables, dimension.table), needed), tests)
     return rows.select(*columns, *measures)
 
 
+def _apply(rows: DataFrame, tests: dict[str, list[Column]]) -> DataFrame:
+    """Filter by the tests whose column is there, and strike them off."""
+    ready = [name for name in tests if name in rows.columns]
+    found = [test for name in ready for test in tests.pop(name)]
+    return rows.where(all_of(found)) if found else rows
+
+
 def sum_by(rows: DataFrame, keys: list, measures: list[str]) -> DataFrame:
     if not measures:
         return rows.select(*keys).distinct()

@@ -53,7 +53,9 @@ class Data:
                     self._derived[table] = self.given(table)
                 self._derived[table].createOrReplaceTempView(table)
             for used in USES[name]:
-                self.derived(used).createOrReplaceTempView(used)
+                # The facts cost a join of the largest tables; what builds on them reads the copy.
+                source = self.stored(used) if used in PARTITIONED else self.derived(used)
+                source.createOrReplaceTempView(used)
             self._derived[name] = self.spark.sql(_in_spark(VIEWS[name]))
         return self._derived[name]
 

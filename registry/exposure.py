@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 
 from cargolens.functions.labels import chart_label, state_label, status_label, translate_scope
 from cargolens.functions.measures import tonnes
-from cargolens.model import STATE_NAMES, STATUS_AFFECTED, FilterState
+from cargolens.model import (
+    STATE_NAMES,
+    STATUS_AFFECTED,
+    STATUS_CONDITIONED,
+    STATUS_MIXED,
+    FilterState,
+)
 from cargolens.operators.exemptions import (
     clean_lines,
     consolidate_exemptions,
@@ -341,6 +347,51 @@ WHERE CATEGORIA_USO = 'Bens de Consumo' AND SITUACAO_301 LIKE 'Sem%'""",
     ("VL_FOB", "TONELADAS"),
 )
 
+register(
+    "q22_most_affected_sh6",
+    lambda d: select_result(
+        sh6_summary(_exposure(d)), where=F.col("VALOR_POTENCIALMENTE_AFETADO") > 0,
+        order_by="VALOR_POTENCIALMENTE_AFETADO", tiebreak=("CO_SH6", "SETOR"), n=1,
+    ).select(
+        chart_label(F.col("NO_SH6_POR"), F.col("CO_SH6"), 55).alias("ROTULO"), "VALOR_POTENCIALMENTE_AFETADO",
+        "PARTICIPACAO_NO_AFETADO_BRASIL",
+    ),
+    _SH6
+    + """SELECT concat(substr(NO_SH6_POR, 1, 55), ' · ', CO_SH6) AS ROTULO, VALOR_POTENCIALMENTE_AFETADO,
+  PARTICIPACAO_NO_AFETADO_BRASIL FROM sh6 WHERE VALOR_POTENCIALMENTE_AFETADO > 0
+ORDER BY sh6.VALOR_POTENCIALMENTE_AFETADO DESC, CO_SH6, SETOR LIMIT 1""",
+    _VIEWS,
+    ("VALOR_POTENCIALMENTE_AFETADO", "PARTICIPACAO_NO_AFETADO_BRASIL"),
+)
+register(
+    "q22_products_by_status",
+    lambda d: select_result(
+        _exposure(d), where=F.col("SITUACAO_301").isin(STATUS_CONDITIONED, STATUS_MIXED), order_by="VL_FOB",
+        tiebreak=("CO_NCM",),
+    ).select(
+        "CO_NCM", "CO_SH6", "VL_FOB", tonnes("KG_LIQUIDO").alias("TONELADAS"),
+        status_label(F.col("SITUACAO_301")).alias("SITUACAO"), "LIMITACOES_PT", "CODIGOS_HTSUS",
+    ),
+    _EXPOSURE
+    + """SELECT CO_NCM, CO_SH6, VL_FOB, KG_LIQUIDO / 1000 AS TONELADAS,
+  CASE WHEN SITUACAO_301 LIKE '%mista%' THEN 'Correspondência mista' ELSE 'Isenção condicionada' END AS SITUACAO,
+  LIMITACOES_PT, CODIGOS_HTSUS FROM exposicao WHERE SITUACAO_301 LIKE '%mista%' OR SITUACAO_301 LIKE '%condicionada%'""",
+    _VIEWS,
+    ("VL_FOB", "TONELADAS"),
+)
+register(
+    "q22_states_by_dependence",
+    lambda d: select_result(
+        _states(d), where=F.col("VALOR_POTENCIALMENTE_AFETADO") > 0, order_by="PARTICIPACAO_EUA",
+        tiebreak=("UF",), n=5,
+    ).select("UF", "PARTICIPACAO_EUA", "EUA_MAIOR_CLIENTE"),
+    _UF
+    + """SELECT UF, PARTICIPACAO_EUA, EUA_MAIOR_CLIENTE FROM estados WHERE VALOR_POTENCIALMENTE_AFETADO > 0
+ORDER BY estados.PARTICIPACAO_EUA DESC NULLS LAST, UF LIMIT 5""",
+    _VIEWS,
+    ("PARTICIPACAO_EUA",),
+)
+
 # --- Q45-Q47, N15, N23: the exemption annex ------------------------------------
 register(
     "q45_consolidated_exemptions",
@@ -367,13 +418,13 @@ digitos AS (
 """
 register(
     "n23_clean_annex_lines",
-    lambda d: clean_lines(d.derived("annex_cells")),
+    lambda d: clean_lines(d.stored("annex_cells")),
     _CLEAN_CELLS + "SELECT *, substr(HTSUS_DIGITOS, 1, 6) AS CO_SH6 FROM digitos",
     ("annex_cells",),
 )
 register(
     "q47_merged_annex_lines",
-    lambda d: merge_continuations(clean_lines(d.derived("annex_cells")), block_lines=64),
+    lambda d: merge_continuations(clean_lines(d.stored("annex_cells"))),
     _CLEAN_CELLS
     + """, donos AS (
   SELECT *, max(CASE WHEN HTSUS_DIGITOS IS NOT NULL THEN LINHA END)

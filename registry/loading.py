@@ -149,7 +149,7 @@ WHERE CO_ANO = 1999 GROUP BY FLUXO, CO_ANO""",
 
 
 def _report(d: Data) -> DataFrame:
-    raw = d.derived("raw_records")
+    raw = d.stored("raw_records")
     facts = clean_facts(raw.where("FLUXO = 'EXP'"), "EXP").unionByName(clean_facts(raw.where("FLUXO = 'IMP'"), "IMP"))
     named = raw.select(F.col("SOURCE_FILE").alias("source_file")).distinct()
     # A second name per file, under which no row was found.

@@ -129,7 +129,7 @@ FROM orders""",
 
 
 def _cleaned(d):
-    raw = d.derived("raw_records")
+    raw = d.stored("raw_records")
     return clean_facts(raw.where("FLUXO = 'EXP'"), "EXP").unionByName(
         clean_facts(raw.where("FLUXO = 'IMP'"), "IMP")
     )
@@ -156,7 +156,7 @@ WHERE {_YEAR} IS NOT NULL AND {_MONTH} BETWEEN 1 AND 12 AND trim(CO_NCM) <> ''""
 register("n1_n7_cleaned_facts", _cleaned, CLEANED_SQL, ("raw_records",), _STAR_DOUBLES)
 register(
     "f5_rejected_rows",
-    lambda d: d.derived("raw_records").groupBy("SOURCE_FILE").agg(F.count(F.lit(1)).alias("LIDAS")).join(
+    lambda d: d.stored("raw_records").groupBy("SOURCE_FILE").agg(F.count(F.lit(1)).alias("LIDAS")).join(
         _cleaned(d).groupBy("SOURCE_FILE").agg(F.count(F.lit(1)).alias("VALIDAS")), "SOURCE_FILE", "left"
     ),
     f"""SELECT SOURCE_FILE, count(*) AS LIDAS,

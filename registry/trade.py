@@ -177,6 +177,23 @@ register(
     _BALANCE_DOUBLES,
 )
 
+for _name, _column, _descending in (
+    ("largest_surplus", "SALDO", True),
+    ("largest_trade_flow", "CORRENTE_COMERCIO", True),
+    ("first_country_by_name", "PAIS", False),
+):
+    register(
+        f"q22_balance_{_name}",
+        lambda d, c=_column, down=_descending: select_result(
+            _balance(d), order_by=c, descending=down, tiebreak=("CO_PAIS",), n=3
+        ).withColumnsRenamed({"EXPORTACOES": "EXPORTAÇÕES", "IMPORTACOES": "IMPORTAÇÕES"}).drop("CO_PAIS"),
+        _BALANCE
+        + f"""SELECT PAIS, EXPORTACOES AS "EXPORTAÇÕES", IMPORTACOES AS "IMPORTAÇÕES", SALDO, CORRENTE_COMERCIO, SITUACAO
+FROM balanco ORDER BY {_column} {"DESC" if _descending else ""} NULLS LAST, CO_PAIS LIMIT 3""",
+        ("star",),
+        ('"EXPORTAÇÕES"', '"IMPORTAÇÕES"', "SALDO", "CORRENTE_COMERCIO"),
+    )
+
 # --- Q12-Q14: months ---------------------------------------------------------
 _MONTH_VALUES = {
     "fob": ("VL_FOB", False, "CAST(sum(VL_FOB) AS DOUBLE)"),
