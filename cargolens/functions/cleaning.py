@@ -44,7 +44,7 @@ def parse_integer(text: Column) -> Column:
     rounded = F.round(_without_separators(text).try_cast("double"))
     digits = F.substring(F.trim(text), 3, 32)
     return (
-        F.when(text.rlike(_PLAIN_INTEGER), text.try_cast("int"))
+        F.when(text.rlike(_PLAIN_INTEGER), text.cast("int"))
         .when(text.rlike(rf"^\s*{_NUMBER}\s*$"), rounded.try_cast("int"))
         .when(text.rlike(r"^ *0[xX][0-9a-fA-F]+ *$"), F.conv(digits, 16, 10).try_cast("int"))
         .when(text.rlike(r"^ *0[bB][01]+ *$"), F.conv(digits, 2, 10).try_cast("int"))

@@ -7,6 +7,8 @@ handles file names and counts only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +24,18 @@ from cargolens.functions.cleaning import (
     parse_measure,
     state_code,
 )
-from cargolens.model import EXPORT, EXPORT_COLUMNS, FACT_SCHEMA, IMPORT, IMPORT_COLUMNS
+from cargolens.model import (
+    EXPORT,
+    EXPORT_COLUMNS,
+    FACT_SCHEMA,
+    IMPORT,
+    IMPORT_COLUMNS,
+    MEASURES,
+)
 
 UTF8, WINDOWS, LATIN = "utf-8", "windows-1252", "latin-1"
 REQUIRED = {EXPORT: EXPORT_COLUMNS, IMPORT: IMPORT_COLUMNS}
+NUMERIC = ("CO_ANO", "CO_MES", *MEASURES)
 _BOM = "﻿"
 
 
@@ -46,8 +56,10 @@ def _cp1252_only() -> tuple[str, str]:
 
 
 _CONTROLS, _LETTERS = _cp1252_only()
-# Bytes without a meaning in Windows-1252, as hex pairs.
-_UNDEFINED = "|".join(f"{b:02X}" for b in range(0x80, 0xA0) if chr(b) not in _CONTROLS)
+# Bytes without a meaning in Windows-1252.
+_UNDEFINED = [bytes([b]) for b in range(0x80, 0xA0) if chr(b) not in _CONTROLS]
+# A line with a column name such as CO_ANO or "vl fob" in it; data rows have none.
+_HEADER_LIKE = r"(?i)(^|;)[\s\"\x{FEFF}]*(co|sg|qt|kg|vl)[_\s]+[a-z]"
 
 
 def discover_fact_files(spark: SparkSession, raw_dir: str) -> DataFrame:
@@ -96,20 +108,29 @@ def inspect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("position"),
     )
     valid = F.is_valid_utf8("value")
-    # hex() sees the bytes as they are; it runs on the rare invalid lines only.
-    undefined = F.when(~valid, F.hex("value").rlike(f"^(..)*({_UNDEFINED})")).otherwise(False)
-    first_line = F.min_by(
-        F.when(F.col("block") == 0, F.col("value")),
-        F.when(F.col("block") == 0, F.col("position")),
+    raw_bytes = F.col("value").cast("binary")
+    undefined = reduce(or_, [F.contains(raw_bytes, F.lit(b)) for b in _UNDEFINED])
+    # Only lines that look like a header are kept, one per file as a rule. A plain
+    # min_by of texts would make Spark sort every line of every file. Rows that start
+    # with a digit, as data does, are told apart without a regular expression.
+    in_first_block = F.col("block") == 0
+    starts_with_digit = F.substring("value", 1, 1).between("0", "9")
+    candidate = F.when(
+        in_first_block & ~starts_with_digit & F.col("value").rlike(_HEADER_LIKE),
+        F.struct("position", "value"),
     )
     files = lines.groupBy("source_file").agg(
-        F.min(valid).alias("is_utf8"), F.max(undefined).alias("is_latin"), first_line.alias("header")
+        F.min(valid).alias("is_utf8"),
+        F.max(~valid & undefined).alias("is_latin"),
+        F.min(F.when(in_first_block, F.col("position"))).alias("first"),
+        F.array_min(F.collect_set(candidate)).alias("head"),
     )
     charset = F.when(F.col("is_utf8"), UTF8).when(F.col("is_latin"), LATIN).otherwise(WINDOWS)
+    header = F.when(F.col("head.position") == F.col("first"), F.col("head.value")).otherwise("")
     return files.select(
         "source_file",
         charset.alias("charset"),
-        F.regexp_replace("header", f"^{_BOM}|\r$", "").alias("header"),
+        F.regexp_replace(header, f"^{_BOM}|\r$", "").alias("header"),
     )
 
 
@@ -156,9 +177,16 @@ def read_raw(spark: SparkSession, layout: Layout) -> DataFrame:
         .withColumn("SOURCE_FILE", F.col("_metadata.file_path"))
     )
     if layout.charset == WINDOWS:
-        # Windows-1252 is Latin-1 but for these characters.
-        texts = [f.name for f in schema]
-        rows = rows.withColumns({c: F.translate(c, _CONTROLS, _LETTERS) for c in texts})
+        # Windows-1252 is Latin-1 but for these characters, which no number contains.
+        rows = rows.withColumns(
+            {
+                c: F.when(
+                    F.octet_length(c) > F.length(c), F.translate(c, _CONTROLS, _LETTERS)
+                ).otherwise(F.col(c))
+                for c in layout.columns
+                if c not in NUMERIC
+            }
+        )
     return rows
 
 
@@ -190,7 +218,8 @@ def is_valid_fact() -> Column:
     """The rule a raw row must meet to become a fact."""
     return (
         parse_integer(F.col("CO_ANO")).isNotNull()
-        & parse_integer(F.col("CO_MES")).between(1, 12)
+        # A list, not a range: a range would put the parsing into the code twice.
+        & parse_integer(F.col("CO_MES")).isin(list(range(1, 13)))
         & (F.trim(F.col("CO_NCM")) != "")
     )
 
