@@ -20,11 +20,12 @@ from cargolens.model import UNCLASSIFIED, UNINFORMED_STATE
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?\d+)?"
 _PLAIN_INTEGER = r"^\s*[+-]?\d{1,9}\s*$"
+# The ".0" a spreadsheet adds to a whole number, or any character that is no digit.
+_DECIMAL_ZEROS_OR_NON_DIGIT = r"(?<=^\s{0,20}[+-]?\d{1,99})\.0+\s*$|\D"
 
 # --- fixed values -----------------------------------------------------------
 BUSINESS_DAY_WORDS = ("1", "sim", "s", "true", "verdadeiro", "util", "útil")
 DAY_OFF_WORDS = ("0", "nao", "não", "n", "false", "falso", "inutil", "não útil")
-MISSING_WORDS = ("nan", "none", "<na>")
 CODE_WIDTHS = {
     "CO_NCM": 8, "CO_SH6": 6, "CO_SH4": 4, "CO_SH2": 2,
     "CO_PAIS": 3, "CO_UNID": 2, "CO_VIA": 2, "CO_URF": 7,
@@ -78,12 +79,14 @@ def state_or_default(code: Column) -> Column:
 
 def normalize_code(value: Column, width: int) -> Column:
     """Dimension codes as spreadsheets deliver them: "123.0" is 123, only digits
-    count, shorter codes are zero-padded and longer ones stay whole."""
-    text = F.trim(value.cast("string"), F.lit(" \t\r\n"))
-    text = F.when(~F.lower(text).isin(*MISSING_WORDS), text)
-    whole = F.regexp_replace(text, r"^([+-]?\d+)\.0+$", "$1")
-    digits = F.nullif(F.regexp_replace(whole, r"\D", ""), F.lit(""))
-    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+    count, shorter codes are zero-padded and longer ones stay whole.
+
+    Text without a digit, such as "nan" or "<NA>", is no code.
+    """
+    text = F.trim(value.cast("string"))
+    digits = F.regexp_replace(text, _DECIMAL_ZEROS_OR_NON_DIGIT, "")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+    return F.when(text.rlike(r"\d"), padded)
 
 
 def business_day(value: Column) -> Column:
