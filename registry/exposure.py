@@ -138,30 +138,27 @@ FROM afetado)
 
 
 def _impact_sql(group: str, keys: str) -> str:
-    """Destinations ranked per group, the long way round: one step per figure."""
-    return f"""WITH base AS (
-  SELECT {group}, CO_PAIS_ISOA3, PAIS, f.CO_SH6, sum(VL_FOB) AS VALOR, sum(KG_LIQUIDO) AS KG
-  FROM star f LEFT JOIN (SELECT CO_NCM AS C, CO_ISIC_SECAO, NO_ISIC_SECAO FROM dim_ncm) n ON f.CO_NCM = n.C
+    """One row per group, from its destinations and their rank."""
+    return f"""WITH sales AS (
+  SELECT {group}, CO_PAIS_ISOA3 = 'USA' AS to_usa, CO_PAIS_ISOA3, PAIS, sum(VL_FOB) AS fob, sum(KG_LIQUIDO) AS kg,
+         coalesce(sum(VL_FOB) FILTER (CO_SH6 IS NULL OR CO_SH6 NOT IN (SELECT CO_SH6 FROM exemptions)), 0) AS hit_fob,
+         coalesce(sum(KG_LIQUIDO) FILTER (CO_SH6 IS NULL OR CO_SH6 NOT IN (SELECT CO_SH6 FROM exemptions)), 0) AS hit_kg
+  FROM star LEFT JOIN (SELECT CO_NCM, CO_ISIC_SECAO, NO_ISIC_SECAO FROM dim_ncm) section USING (CO_NCM)
   WHERE FLUXO = 'EXP' AND CO_ANO = 1998 GROUP BY ALL),
-destinos AS (SELECT {keys}, CO_PAIS_ISOA3, PAIS, sum(VALOR) AS VALOR FROM base GROUP BY ALL),
-ranking AS (SELECT *, dense_rank() OVER (PARTITION BY {keys} ORDER BY VALOR DESC NULLS LAST) AS POSICAO FROM destinos),
-mundo AS (SELECT {keys}, CAST(sum(VALOR) AS DOUBLE) AS EXPORTACOES_MUNDO FROM destinos GROUP BY ALL),
-eua AS (
-  SELECT {keys}, CAST(sum(VALOR) AS DOUBLE) AS EXPORTACOES_EUA, CAST(sum(KG) AS DOUBLE) / 1000 AS TONELADAS_EUA,
-         CAST(sum(CASE WHEN r.CO_SH6 IS NULL THEN VALOR ELSE 0 END) AS DOUBLE) AS VALOR_POTENCIALMENTE_AFETADO,
-         CAST(sum(CASE WHEN r.CO_SH6 IS NULL THEN KG ELSE 0 END) AS DOUBLE) / 1000 AS TONELADAS_POTENCIALMENTE_AFETADAS
-  FROM base b LEFT JOIN (SELECT DISTINCT CO_SH6 FROM exemptions) r ON b.CO_SH6 = r.CO_SH6
-  WHERE CO_PAIS_ISOA3 = 'USA' GROUP BY {keys}),
-posicao AS (SELECT {keys}, CAST(min(POSICAO) AS INT) AS POSICAO_EUA FROM ranking WHERE CO_PAIS_ISOA3 = 'USA' GROUP BY {keys}),
-principal AS (SELECT {keys}, string_agg(PAIS, ' / ' ORDER BY PAIS) AS PRINCIPAL_DESTINO FROM ranking WHERE POSICAO = 1 GROUP BY {keys}),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY {keys} ORDER BY fob DESC NULLS LAST) AS place FROM sales),
+folded AS (
+  SELECT {keys}, CAST(sum(fob) AS DOUBLE) AS world, CAST(sum(fob) FILTER (to_usa) AS DOUBLE) AS usa,
+         CAST(sum(kg) FILTER (to_usa) AS DOUBLE) / 1000 AS usa_t, CAST(sum(hit_fob) FILTER (to_usa) AS DOUBLE) AS hit,
+         CAST(sum(hit_kg) FILTER (to_usa) AS DOUBLE) / 1000 AS hit_t, CAST(min(place) FILTER (to_usa) AS INT) AS place_usa,
+         string_agg(PAIS, ' / ' ORDER BY PAIS) FILTER (place = 1) AS first_place
+  FROM placed GROUP BY {keys}),
 impacto AS (
-SELECT m.*, PRINCIPAL_DESTINO, POSICAO_EUA, CASE WHEN POSICAO_EUA = 1 THEN 'Sim' ELSE 'Não' END AS EUA_MAIOR_CLIENTE,
-  EXPORTACOES_EUA, TONELADAS_EUA, EXPORTACOES_EUA / nullif(EXPORTACOES_MUNDO, 0) AS PARTICIPACAO_EUA,
-  VALOR_POTENCIALMENTE_AFETADO, TONELADAS_POTENCIALMENTE_AFETADAS,
-  VALOR_POTENCIALMENTE_AFETADO / nullif(EXPORTACOES_EUA, 0) AS PARTICIPACAO_AFETADA_NOS_EUA,
-  VALOR_POTENCIALMENTE_AFETADO / nullif(EXPORTACOES_MUNDO, 0) AS EXPOSICAO
-FROM mundo m JOIN eua USING ({keys}) LEFT JOIN posicao USING ({keys}) LEFT JOIN principal USING ({keys})
-WHERE EXPORTACOES_EUA > 0)
+  SELECT {keys}, world AS EXPORTACOES_MUNDO, first_place AS PRINCIPAL_DESTINO, place_usa AS POSICAO_EUA,
+         IF(place_usa = 1, 'Sim', 'Não') AS EUA_MAIOR_CLIENTE, usa AS EXPORTACOES_EUA, usa_t AS TONELADAS_EUA,
+         usa / nullif(world, 0) AS PARTICIPACAO_EUA, hit AS VALOR_POTENCIALMENTE_AFETADO,
+         hit_t AS TONELADAS_POTENCIALMENTE_AFETADAS, hit / nullif(usa, 0) AS PARTICIPACAO_AFETADA_NOS_EUA,
+         hit / nullif(world, 0) AS EXPOSICAO
+  FROM folded WHERE usa > 0)
 """
 
 

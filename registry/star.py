@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cargolens.functions.cleaning import (
+    CODE_WIDTHS,
     business_day,
     fold,
     macro_sector,
@@ -144,15 +145,18 @@ def _number(column: str) -> str:
     return f"CASE WHEN NOT isnan({value}) THEN {value} END"
 
 
-CLEANED_SQL = f"""SELECT FLUXO, {_YEAR} AS CO_ANO, {_MONTH} AS CO_MES,
-  lpad(trim(CO_NCM), 8, '0') AS CO_NCM, lpad(trim(CO_UNID), 2, '0') AS CO_UNID,
-  lpad(trim(CO_PAIS), 3, '0') AS CO_PAIS, upper(trim(SG_UF_NCM)) AS SG_UF_NCM,
-  lpad(trim(CO_VIA), 2, '0') AS CO_VIA, lpad(trim(CO_URF), 7, '0') AS CO_URF,
-  {_number('QT_ESTAT')} AS QT_ESTAT, {_number('KG_LIQUIDO')} AS KG_LIQUIDO, {_number('VL_FOB')} AS VL_FOB,
-  CASE WHEN FLUXO = 'IMP' THEN {_number('VL_FRETE')} END AS VL_FRETE,
-  CASE WHEN FLUXO = 'IMP' THEN {_number('VL_SEGURO')} END AS VL_SEGURO, SOURCE_FILE
-FROM raw_records
-WHERE {_YEAR} IS NOT NULL AND {_MONTH} BETWEEN 1 AND 12 AND trim(CO_NCM) <> ''"""
+_VALID = f"{_YEAR} IS NOT NULL AND {_MONTH} IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) AND length(trim(CO_NCM)) > 0"
+CLEANED_SQL = (
+    f"SELECT FLUXO, SOURCE_FILE, {_YEAR} AS CO_ANO, {_MONTH} AS CO_MES, upper(trim(SG_UF_NCM)) AS SG_UF_NCM, "
+    + ", ".join(
+        f"lpad(trim({c}), {CODE_WIDTHS[c]}, '0') AS {c}" for c in ("CO_NCM", "CO_UNID", "CO_PAIS", "CO_VIA", "CO_URF")
+    )
+    + ", "
+    + ", ".join(f"{_number(c)} AS {c}" for c in ("QT_ESTAT", "KG_LIQUIDO", "VL_FOB"))
+    + ", "
+    + ", ".join(f"IF(FLUXO = 'IMP', {_number(c)}, NULL) AS {c}" for c in ("VL_FRETE", "VL_SEGURO"))
+    + f"\nFROM raw_records WHERE {_VALID}"
+)
 register("n1_n7_cleaned_facts", _cleaned, CLEANED_SQL, ("raw_records",), _STAR_DOUBLES)
 register(
     "f5_rejected_rows",
@@ -160,7 +164,7 @@ register(
         _cleaned(d).groupBy("SOURCE_FILE").agg(F.count(F.lit(1)).alias("VALIDAS")), "SOURCE_FILE", "left"
     ),
     f"""SELECT SOURCE_FILE, count(*) AS LIDAS,
-  sum(CASE WHEN {_YEAR} IS NOT NULL AND {_MONTH} BETWEEN 1 AND 12 AND trim(CO_NCM) <> '' THEN 1 ELSE 0 END)::BIGINT AS VALIDAS
+  count_if({_VALID})::BIGINT AS VALIDAS
 FROM raw_records GROUP BY SOURCE_FILE""",
     ("raw_records",),
 )

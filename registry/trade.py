@@ -70,11 +70,11 @@ FROM star WHERE FLUXO = 'EXP' AND CO_ANO = 1998 AND CO_MES IN (1, 2) AND {_level
     )
 
 # --- Q4: headline ------------------------------------------------------------
-_SUMMARY = """SELECT CAST(sum(VL_FOB) AS DOUBLE) AS VL_FOB, CAST(sum(KG_LIQUIDO) AS DOUBLE) AS KG_LIQUIDO,
-  CAST(sum(QT_ESTAT) AS DOUBLE) AS QT_ESTAT,
-  CASE WHEN sum(KG_LIQUIDO) > 0 THEN CAST(sum(VL_FOB) AS DOUBLE) / CAST(sum(KG_LIQUIDO) AS DOUBLE) END AS FOB_POR_KG,
-  count(*) AS REGISTROS, count(DISTINCT CO_NCM) AS NCMS, count(DISTINCT CO_PAIS) AS PAISES
-FROM star WHERE {where}"""
+_SUMMARY = """SELECT fob AS VL_FOB, kg AS KG_LIQUIDO, qt AS QT_ESTAT, IF(kg > 0, fob / kg, NULL) AS FOB_POR_KG,
+  facts AS REGISTROS, products AS NCMS, countries AS PAISES
+FROM (SELECT CAST(sum(VL_FOB) AS DOUBLE) AS fob, CAST(sum(KG_LIQUIDO) AS DOUBLE) AS kg, CAST(sum(QT_ESTAT) AS DOUBLE) AS qt,
+             count(*) AS facts, count(DISTINCT CO_NCM) AS products, count(DISTINCT CO_PAIS) AS countries
+      FROM star WHERE {where}) whole"""
 _SUMMARY_DOUBLES = ("VL_FOB", "KG_LIQUIDO", "QT_ESTAT", "FOB_POR_KG")
 for _name, _state, _where in (
     ("all_years", FilterState(flow="EXP"), "FLUXO = 'EXP'"),
@@ -91,15 +91,14 @@ for _name, _state, _where in (
     )
 
 # --- Q5: breakdown by hierarchy level ----------------------------------------
-_BREAKDOWN = """WITH agrupado AS (
-  SELECT {code} AS CODIGO, coalesce({label}, {code}, 'Não classificado') AS DESCRICAO,
-         sum(KG_LIQUIDO) AS KG_LIQUIDO, sum(VL_FOB) AS VL_FOB, sum(QT_ESTAT) AS QT_ESTAT
-  FROM star WHERE {where} GROUP BY 1, 2)
-SELECT CODIGO, DESCRICAO, KG_LIQUIDO, VL_FOB, QT_ESTAT,
-  CASE WHEN KG_LIQUIDO > 0 THEN CAST(VL_FOB AS DOUBLE) / CAST(KG_LIQUIDO AS DOUBLE) END AS FOB_POR_KG,
-  CASE WHEN sum(VL_FOB) OVER () > 0
-       THEN CAST(VL_FOB AS DOUBLE) / CAST(sum(VL_FOB) OVER () AS DOUBLE) END AS PARTICIPACAO_FOB
-FROM agrupado ORDER BY VL_FOB DESC NULLS LAST, CODIGO NULLS FIRST, DESCRICAO LIMIT 500"""
+# Shares are taken of a separate total over the selection.
+_BREAKDOWN = """SELECT g.code AS CODIGO, g.label AS DESCRICAO, g.kg AS KG_LIQUIDO, g.fob AS VL_FOB, g.qt AS QT_ESTAT,
+  IF(g.kg > 0, g.fob / g.kg, NULL) AS FOB_POR_KG, IF(whole.fob > 0, g.fob / whole.fob, NULL) AS PARTICIPACAO_FOB
+FROM (SELECT {code} AS code, ifnull(ifnull({label}, {code}), 'Não classificado') AS label,
+             CAST(sum(KG_LIQUIDO) AS DOUBLE) AS kg, CAST(sum(VL_FOB) AS DOUBLE) AS fob, CAST(sum(QT_ESTAT) AS DOUBLE) AS qt
+      FROM star WHERE {where} GROUP BY ALL) g,
+     (SELECT CAST(sum(VL_FOB) AS DOUBLE) AS fob FROM star WHERE {where}) whole
+ORDER BY g.fob DESC NULLS LAST, g.code NULLS FIRST, g.label LIMIT 500"""
 _BREAKDOWN_DOUBLES = ("KG_LIQUIDO", "VL_FOB", "QT_ESTAT", "FOB_POR_KG", "PARTICIPACAO_FOB")
 for _title, _level in HIERARCHY.items():
     register(
@@ -118,16 +117,16 @@ register(
 )
 
 # --- Q6, Q23, Q25, Q26: balance ----------------------------------------------
-_BALANCE = """WITH paises AS (
+_BALANCE = """WITH sides AS (
   SELECT CO_PAIS, PAIS,
-         CAST(sum(CASE WHEN FLUXO = 'EXP' THEN VL_FOB ELSE 0 END) AS DOUBLE) AS EXPORTACOES,
-         CAST(sum(CASE WHEN FLUXO = 'IMP' THEN VL_FOB ELSE 0 END) AS DOUBLE) AS IMPORTACOES
-  FROM star WHERE CO_ANO = 1998 AND FLUXO IN ('EXP', 'IMP') GROUP BY CO_PAIS, PAIS),
+         CAST(coalesce(sum(VL_FOB) FILTER (FLUXO = 'EXP'), 0) AS DOUBLE) AS sold,
+         CAST(coalesce(sum(VL_FOB) FILTER (FLUXO = 'IMP'), 0) AS DOUBLE) AS bought
+  FROM star WHERE CO_ANO = 1998 GROUP BY ALL),
 balanco AS (
-  SELECT *, EXPORTACOES - IMPORTACOES AS SALDO, EXPORTACOES + IMPORTACOES AS CORRENTE_COMERCIO,
-         CASE WHEN EXPORTACOES - IMPORTACOES > 0 THEN 'Superávit'
-              WHEN EXPORTACOES - IMPORTACOES < 0 THEN 'Déficit' ELSE 'Zerado' END AS SITUACAO
-  FROM paises WHERE EXPORTACOES <> 0 OR IMPORTACOES <> 0)
+  SELECT CO_PAIS, PAIS, sold AS EXPORTACOES, bought AS IMPORTACOES, sold - bought AS SALDO,
+         sold + bought AS CORRENTE_COMERCIO,
+         ['Déficit', 'Zerado', 'Superávit'][CAST(sign(sold - bought) AS INT) + 2] AS SITUACAO
+  FROM sides WHERE NOT (sold = 0 AND bought = 0))
 """
 _BALANCE_DOUBLES = ("EXPORTACOES", "IMPORTACOES", "SALDO", "CORRENTE_COMERCIO")
 
@@ -295,21 +294,16 @@ register(
 )
 
 # --- Q15, Q16: countries ------------------------------------------------------
-_RANKING = """WITH bruto AS (
-  SELECT CO_ANO AS ANO, CO_PAIS, PAIS, sum({metric}) AS VALOR FROM star
-  WHERE FLUXO = '{flow}' AND CO_ANO BETWEEN {year} - 2 AND {year} AND CO_PAIS IS NOT NULL {more}
-  GROUP BY CO_ANO, CO_PAIS, PAIS),
-nomes AS (SELECT CO_PAIS, arg_max(PAIS, ANO) AS PAIS FROM bruto GROUP BY CO_PAIS),
-atual AS (SELECT CO_PAIS, CAST(sum(coalesce(VALOR, 0)) AS DOUBLE) AS v FROM bruto WHERE ANO = {year} GROUP BY CO_PAIS),
-um AS (SELECT CO_PAIS, CAST(sum(coalesce(VALOR, 0)) AS DOUBLE) AS v FROM bruto WHERE ANO = {year} - 1 GROUP BY CO_PAIS),
-dois AS (SELECT CO_PAIS, CAST(sum(coalesce(VALOR, 0)) AS DOUBLE) AS v FROM bruto WHERE ANO = {year} - 2 GROUP BY CO_PAIS),
-tudo AS (SELECT CAST(sum(VALOR) AS DOUBLE) AS v FROM bruto WHERE ANO = {year})
-SELECT n.CO_PAIS, n.PAIS, a.v AS VALOR,
-  CASE WHEN (SELECT v FROM tudo) > 0 THEN a.v / (SELECT v FROM tudo) END AS PARTICIPACAO,
-  (a.v - u.v) / nullif(u.v, 0) AS VAR_1A, (a.v - d.v) / nullif(d.v, 0) AS VAR_2A
-FROM nomes n LEFT JOIN atual a ON n.CO_PAIS = a.CO_PAIS LEFT JOIN um u ON n.CO_PAIS = u.CO_PAIS
-LEFT JOIN dois d ON n.CO_PAIS = d.CO_PAIS
-ORDER BY VALOR DESC NULLS LAST, n.CO_PAIS LIMIT {n}"""
+_RANKING = """WITH by_country AS (
+  SELECT CO_PAIS, any_value(PAIS) AS PAIS,
+         CAST(sum(ifnull({metric}, 0)) FILTER (CO_ANO = {year}) AS DOUBLE) AS now,
+         CAST(sum(ifnull({metric}, 0)) FILTER (CO_ANO = {year} - 1) AS DOUBLE) AS one,
+         CAST(sum(ifnull({metric}, 0)) FILTER (CO_ANO = {year} - 2) AS DOUBLE) AS two
+  FROM star WHERE FLUXO = '{flow}' AND CO_ANO >= {year} - 2 AND CO_ANO <= {year} AND CO_PAIS IS NOT NULL {more}
+  GROUP BY CO_PAIS)
+SELECT CO_PAIS, PAIS, now AS VALOR, IF(sum(now) OVER () > 0, now / sum(now) OVER (), NULL) AS PARTICIPACAO,
+  (now - one) / nullif(one, 0) AS VAR_1A, (now - two) / nullif(two, 0) AS VAR_2A
+FROM by_country ORDER BY now DESC NULLS LAST, CO_PAIS LIMIT {n}"""
 _RANKING_DOUBLES = ("VALOR", "PARTICIPACAO", "VAR_1A", "VAR_2A")
 for _name, _state, _metric, _n, _more in (
     ("fob", EXPORTS_1998, "VL_FOB", 15, ""),
@@ -342,14 +336,13 @@ register(
     ("star",),
     _RANKING_DOUBLES,
 )
-_COMPOSITION = """WITH agrupado AS (
-  SELECT coalesce({code}, 'Não classificado') AS CODIGO,
-         coalesce({label}, {code}, 'Não classificado') AS DESCRICAO,
-         CAST(sum(VL_FOB) AS DOUBLE) AS VL_FOB, CAST(sum(KG_LIQUIDO) AS DOUBLE) / 1000 AS TONELADAS,
-         count(DISTINCT CO_NCM) AS NCMS
-  FROM star WHERE FLUXO = 'EXP' AND CO_ANO = 1998 AND CO_PAIS = '003' GROUP BY 1, 2)
-SELECT *, VL_FOB / nullif(sum(VL_FOB) OVER (), 0) AS PARTICIPACAO FROM agrupado
-ORDER BY VL_FOB DESC NULLS LAST, CODIGO, DESCRICAO LIMIT 100"""
+_COMPOSITION = """SELECT g.code AS CODIGO, g.label AS DESCRICAO, g.fob AS VL_FOB, g.kg / 1000 AS TONELADAS,
+  g.products AS NCMS, g.fob / nullif(whole.fob, 0) AS PARTICIPACAO
+FROM (SELECT ifnull({code}, 'Não classificado') AS code, ifnull(ifnull({label}, {code}), 'Não classificado') AS label,
+             CAST(sum(VL_FOB) AS DOUBLE) AS fob, CAST(sum(KG_LIQUIDO) AS DOUBLE) AS kg, count(DISTINCT CO_NCM) AS products
+      FROM star WHERE FLUXO = 'EXP' AND CO_ANO = 1998 AND CO_PAIS = '003' GROUP BY ALL) g,
+     (SELECT CAST(sum(VL_FOB) AS DOUBLE) AS fob FROM star WHERE FLUXO = 'EXP' AND CO_ANO = 1998 AND CO_PAIS = '003') whole
+ORDER BY g.fob DESC NULLS LAST, g.code, g.label LIMIT 100"""
 for _level, _code, _label in (
     ("SETOR", "SETOR", "SETOR"),
     ("CATEGORIA_USO", "CATEGORIA_USO", "CATEGORIA_USO"),
@@ -375,11 +368,11 @@ _INDICATORS = (
 register(
     "q17_quality_report",
     lambda d: quality_report(d.tables),
-    "SELECT 'Registros na fato' AS INDICADOR, CAST(count(*) AS DOUBLE) AS VALOR, CAST(NULL AS DOUBLE) AS PERCENTUAL FROM fact"
-    + "".join(
-        f"\nUNION ALL SELECT '{name}', CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM fact) "
-        f"FROM star WHERE {test}"
-        for name, test in _INDICATORS
+    "WITH c AS (SELECT CAST(count(*) AS DOUBLE) AS n, "
+    + ", ".join(f"CAST(count_if({test}) AS DOUBLE) AS c{i}" for i, (_, test) in enumerate(_INDICATORS))
+    + " FROM star)\nSELECT 'Registros na fato' AS INDICADOR, n AS VALOR, CAST(NULL AS DOUBLE) AS PERCENTUAL FROM c\n"
+    + "\n".join(
+        f"UNION ALL SELECT '{name}', c{i}, c{i} / n FROM c" for i, (name, _) in enumerate(_INDICATORS)
     )
     + "\nUNION ALL SELECT 'Arquivos processados', CAST(count(*) AS DOUBLE), NULL FROM loads",
     ("star", "loads"),

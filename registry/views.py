@@ -248,19 +248,16 @@ FROM (
 """
 
 VIEWS["star"] = """
-SELECT f.*,
-       coalesce(n.SETOR, 'Não classificado') AS SETOR,
-       coalesce(n.CATEGORIA_USO, 'Não classificado') AS CATEGORIA_USO,
-       n.CO_SH2, n.NO_SH2_POR, n.CO_SH4, n.NO_SH4_POR, n.CO_SH6, n.NO_SH6_POR, n.NO_NCM_POR,
-       coalesce(p.PAIS, 'País não identificado') AS PAIS,
-       p.CO_PAIS_ISOA3,
-       coalesce(u.UNIDADE, 'Unidade não identificada') AS UNIDADE,
-       c.DIAS_UTEIS
-FROM fact f
-LEFT JOIN dim_ncm n ON f.CO_NCM = n.CO_NCM
-LEFT JOIN dim_country p ON f.CO_PAIS = p.CO_PAIS
-LEFT JOIN dim_unit u ON f.CO_UNID = u.CO_UNID
-LEFT JOIN dim_calendar_month c ON f.CO_ANO = c.ANO AND f.CO_MES = c.MES
+SELECT fact.*, coalesce(product.SETOR, 'Não classificado') AS SETOR,
+       coalesce(product.CATEGORIA_USO, 'Não classificado') AS CATEGORIA_USO,
+       product.CO_SH2, product.NO_SH2_POR, product.CO_SH4, product.NO_SH4_POR, product.CO_SH6, product.NO_SH6_POR,
+       product.NO_NCM_POR, country.CO_PAIS_ISOA3, coalesce(country.PAIS, 'País não identificado') AS PAIS,
+       coalesce(unit.UNIDADE, 'Unidade não identificada') AS UNIDADE, calendar.DIAS_UTEIS
+FROM fact
+LEFT JOIN dim_ncm product ON product.CO_NCM = fact.CO_NCM
+LEFT JOIN dim_country country ON country.CO_PAIS = fact.CO_PAIS
+LEFT JOIN dim_unit unit ON unit.CO_UNID = fact.CO_UNID
+LEFT JOIN dim_calendar_month calendar ON calendar.ANO = fact.CO_ANO AND calendar.MES = fact.CO_MES
 """
 
 # What each view reads, in an order that defines a view before it is used.
