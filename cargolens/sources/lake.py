@@ -7,9 +7,9 @@ Layout under the lake's root::
     loads                                  log of loads and removals, append-only
 
 A load writes the new files' facts to a staging folder, checks them there, and
-publishes them with a dynamic partition overwrite, so each raw file replaces
-exactly its own rows. The log entry comes last: a run that dies in between loads
-the same files again next time and ends in the same state.
+then moves each file's folder into place, so a raw file replaces exactly its own
+rows and no row is written twice. The log entry comes last: a run that dies in
+between loads the same files again next time and ends in the same state.
 """
 
 from __future__ import annotations
@@ -107,9 +107,18 @@ def _raise_on(problems: DataFrame, text) -> None:
         raise RawFileError("; ".join(row.text for row in found))
 
 
-def _log(spark: SparkSession, root: str, rows: DataFrame) -> None:
-    names = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LOADS_SCHEMA]
-    rows.select(*names).coalesce(1).write.mode("append").parquet(f"{root}/loads")
+def _partition(root: str, row, facts: str | None = None) -> str:
+    """The folder that holds one raw file's facts."""
+    return f"{facts or root + '/fact'}/FLUXO={row.flow}/CO_ANO={row.file_year}/SOURCE_ID={row.SOURCE_ID}"
+
+
+def _log(spark: SparkSession, root: str, rows: list, *, removed: bool = False) -> None:
+    """Append one entry per raw file."""
+    now = _now()
+    entries = [
+        (r.source_file, r.flow, r.fingerprint, r.rows_loaded, now, r.file_year, removed) for r in rows
+    ]
+    spark.createDataFrame(entries, LOADS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/loads")
 
 
 def write_dimensions(root: str, dimensions: dict[str, DataFrame]) -> None:
@@ -134,9 +143,12 @@ def load(
     forgets what is there and loads everything.
     """
     root = root.rstrip("/")
-    files = discover_fact_files(spark, raw_dir)
-    if files.isEmpty():
+    found = discover_fact_files(spark, raw_dir)
+    # One row per file. Taken once, so that every later step sees the same state.
+    listing = found.collect()
+    if not listing:
         raise FileNotFoundError(f"Nenhum EXP_AAAA.csv ou IMP_AAAA.csv encontrado sob {raw_dir}")
+    files = spark.createDataFrame(listing, found.schema)
     if rebuild:
         for table in ("fact", "loads"):
             storage.remove(spark, f"{root}/{table}")
@@ -144,34 +156,26 @@ def load(
         write_dimensions(root, dimensions)
 
     changed, vanished = plan_load(files, read_loads(spark, root))
-    # File names and fingerprints: as many rows as there are files.
     to_read = changed.collect()
-    gone = vanished.select("*", source_id(F.col("source_file")).alias("id")).collect()
-    total_files = files.count()
+    gone = vanished.withColumn("SOURCE_ID", source_id(F.col("source_file"))).collect()
 
     rows_loaded = _load_batch(spark, root, to_read) if to_read else 0
     if gone:
-        tombstones = spark.createDataFrame(
-            [(r.source_file, r.flow, r.fingerprint, r.rows_loaded, _now(), r.file_year, True) for r in gone],
-            LOADS_SCHEMA,
-        )
-        for r in gone:
-            storage.remove(spark, f"{root}/fact/FLUXO={r.flow}/CO_ANO={r.file_year}/SOURCE_ID={r.id}")
-        _log(spark, root, tombstones)
-    return LoadResult(len(to_read), total_files - len(to_read), len(gone), rows_loaded)
+        for row in gone:
+            storage.remove(spark, _partition(root, row))
+        _log(spark, root, gone, removed=True)
+    return LoadResult(len(to_read), len(listing) - len(to_read), len(gone), rows_loaded)
 
 
 def _load_batch(spark: SparkSession, root: str, to_read: list) -> int:
     files = spark.createDataFrame(to_read)
-    inspected = files.join(inspect_files(spark, [r.path for r in to_read]), "source_file", "left").withColumn(
+    seen = inspect_files(spark, [row.path for row in to_read])
+    inspected = files.join(seen, "source_file", "left").withColumn(
         "header", F.coalesce("header", F.lit(""))
     )
     found = inspected.collect()
-    checked = spark.createDataFrame(
-        found, T.StructType([*inspected.schema.fields])
-    )
     _raise_on(
-        missing_columns(checked),
+        missing_columns(spark.createDataFrame(found, inspected.schema)),
         F.concat(F.lit("Colunas ausentes em "), "file_name", F.lit(": "), F.array_join("missing", ", ")),
     )
 
@@ -187,23 +191,18 @@ def _load_batch(spark: SparkSession, root: str, to_read: list) -> int:
         .parquet(staging)
     )
     try:
+        # The check needs folder names and row counts only, no column of the files.
         staged = spark.read.schema(fact_storage_schema()).parquet(staging)
-        report = load_report(files, staged)
-        _raise_on(
-            report.where(F.col("problem").isNotNull()),
-            F.concat("file_name", F.lit(": "), "problem"),
-        )
-        (
-            staged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS)
-            .parquet(f"{root}/fact")
-        )
-        entries = report.withColumns(
-            {"loaded_at": F.lit(_now()).cast("timestamp_ntz"), "removed": F.lit(False)}
-        )
-        _log(spark, root, entries)
-        return report.agg(F.sum("rows_loaded")).first()[0]
+        named = files.withColumn("SOURCE_ID", source_id(F.col("source_file")))
+        report = load_report(named, staged.select("SOURCE_ID", "CO_ANO"), "SOURCE_ID").collect()
+        bad = sorted(f"{row.file_name}: {row.problem}" for row in report if row.problem)
+        if bad:
+            raise RawFileError("; ".join(bad[:5]))
+        for row in report:
+            storage.remove(spark, _partition(root, row))
+            storage.move(spark, _partition(root, row, staging), _partition(root, row))
+        _log(spark, root, report)
+        return sum(row.rows_loaded for row in report)
     finally:
         storage.remove(spark, staging)
 

@@ -224,18 +224,19 @@ def is_valid_fact() -> Column:
     )
 
 
-def load_report(files: DataFrame, facts: DataFrame) -> DataFrame:
+def load_report(files: DataFrame, facts: DataFrame, key: str = "SOURCE_FILE") -> DataFrame:
     """Valid rows and year range per file, files without any valid row included.
 
-    ``facts`` must carry ``SOURCE_FILE`` and ``CO_ANO``. ``problem`` is NULL for a sound file.
+    ``files`` and ``facts`` are matched by ``key``; facts must carry ``CO_ANO``.
+    ``problem`` is NULL for a sound file.
     """
-    found = facts.groupBy(F.col("SOURCE_FILE").alias("source_file")).agg(
+    found = facts.groupBy(key).agg(
         F.count(F.lit(1)).alias("rows_loaded"),
         F.min("CO_ANO").alias("first_year"),
         F.max("CO_ANO").alias("last_year"),
     )
     # The number of files bounds both sides of this join.
-    report = files.join(found, "source_file", "left").withColumn(
+    report = files.join(found, key, "left").withColumn(
         "rows_loaded", F.coalesce("rows_loaded", F.lit(0))
     )
     year = F.col("file_year")

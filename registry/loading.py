@@ -155,19 +155,20 @@ def _report(d: Data) -> DataFrame:
     # A second name per file, under which no row was found.
     listed = named.unionByName(named.select(F.concat(F.lit("empty_"), "source_file").alias("source_file")))
     year = F.regexp_extract("source_file", r"_(\d{4})", 1).cast("int")
-    return load_report(listed.withColumn("file_year", year), facts)
+    files = listed.withColumn("file_year", year).withColumnRenamed("source_file", "SOURCE_FILE")
+    return load_report(files, facts)
 
 
 register(
     "q48_load_report",
     _report,
     f"""WITH limpos AS ({CLEANED_SQL}), arquivos AS (
-  SELECT DISTINCT SOURCE_FILE AS source_file FROM raw_records
+  SELECT DISTINCT SOURCE_FILE FROM raw_records
   UNION ALL SELECT DISTINCT 'empty_' || SOURCE_FILE FROM raw_records),
 contados AS (
-  SELECT a.source_file, CAST(regexp_extract(a.source_file, '_(\\d{{4}})', 1) AS INT) AS file_year,
+  SELECT a.SOURCE_FILE, CAST(regexp_extract(a.SOURCE_FILE, '_(\\d{{4}})', 1) AS INT) AS file_year,
          count(l.CO_ANO) AS rows_loaded, min(l.CO_ANO) AS first_year, max(l.CO_ANO) AS last_year
-  FROM arquivos a LEFT JOIN limpos l ON l.SOURCE_FILE = a.source_file GROUP BY 1, 2)
+  FROM arquivos a LEFT JOIN limpos l ON l.SOURCE_FILE = a.SOURCE_FILE GROUP BY 1, 2)
 SELECT *, CASE WHEN rows_loaded = 0 THEN 'sem linhas válidas'
   WHEN first_year <> file_year OR last_year <> file_year
   THEN 'ano do nome ' || file_year || ' difere dos anos internos ' || first_year || ' a ' || last_year END AS problem
