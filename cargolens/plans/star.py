@@ -92,13 +92,17 @@ def attach(rows: DataFrame, dimension: Dimension, side: DataFrame, wanted: Itera
 def star(tables: TradeTables) -> DataFrame:
     """Every fact with the attributes of its four dimensions.
 
-    ``dropDuplicates`` on the key proves to Catalyst that a join adds no rows,
-    so the joins behind columns nobody reads are removed from the plan.
+    ``dropDuplicates`` on the key proves to Catalyst that a join adds no rows, so
+    the joins behind columns nobody reads leave the plan. A dimension too large to
+    broadcast goes without: its shuffle must stand directly below the join for
+    adaptive execution to split a product that holds much of the facts.
     """
     rows = tables.fact
     for dimension in STAR:
-        side = getattr(tables, dimension.table).dropDuplicates(list(dimension.keys.values()))
-        rows = attach(rows, dimension, side, set(dimension.attributes))
+        side = getattr(tables, dimension.table)
+        if _fits(tables, dimension):
+            side = side.dropDuplicates(list(dimension.keys.values()))
+        rows = attach(rows, dimension, side, dimension.attributes)
     return rows
 
 

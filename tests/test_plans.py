@@ -152,6 +152,39 @@ def test_facts_are_summed_before_a_large_dimension_joins(spark, tables):
     assert "partial_sum" not in early and "BroadcastHashJoin" in early
 
 
+def test_a_hot_key_of_the_view_is_split(spark):
+    """Facts of one product are a third of all; the join of a large dimension must not put them in one task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    facts = spark.range(0, 120_000, 1, 16).selectExpr(
+        "'EXP' FLUXO", "2026 CO_ANO", "cast(id % 12 as int) CO_MES",
+        "if(id % 3 = 0, '00000005', lpad(cast(id % 5000 as string), 8, '0')) CO_NCM",
+        "'10' CO_UNID", "'249' CO_PAIS", "uuid() SG_UF_NCM", "cast(id as double) VL_FOB",
+    )
+    base = make_tables(spark, [])
+    products = spark.range(5000).selectExpr(
+        "lpad(cast(id as string), 8, '0') CO_NCM",
+        *[f"cast(id % 7 as string) {c}" for c in base.ncm.columns if c != "CO_NCM"],
+    )
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        tables = TradeTables(facts, products, base.country, base.unit, base.calendar,
+                             small={"country": True, "unit": True, "calendar": True})
+        view = star(tables).select("CO_NCM", "SETOR", "SG_UF_NCM", "VL_FOB")
+        assert "skewed" in final_plan(view)
+        assert view.count() == 120_000
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_size_check_follows_the_session(spark, tables):
     assert is_small(tables.country)
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
