@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -39,12 +38,6 @@ def _key(row):
     return tuple((v is None, str(type(v)), v if v is not None else 0) for v in row)
 
 
-def _equal(a, b) -> bool:
-    if isinstance(a, float) and isinstance(b, float):
-        return a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9)
-    return a == b
-
-
 def difference(frame, con, sql: str) -> str | None:
     """None when both sides agree, else what differs first."""
     names = sorted(frame.columns)
@@ -64,7 +57,7 @@ def difference(frame, con, sql: str) -> str | None:
     if len(rows) != len(expected):
         return f"{len(rows)} rows against {len(expected)}"
     for mine, theirs in zip(rows, expected):
-        bad = [n for n, a, b in zip(names, mine, theirs) if not _equal(a, b)]
+        bad = [n for n, a, b in zip(names, mine, theirs) if a != b]
         if bad:
             return f"{bad}: {dict(zip(names, mine))} against {dict(zip(names, theirs))}"
     return None

@@ -139,6 +139,15 @@ def test_charsets_and_headers(spark, tmp_path):
     assert facts[2021]["CO_MES"] == 5 and facts[2022]["SG_UF_NCM"].endswith("Ã")
 
 
+def test_folder_names_with_blanks_and_accents(spark, tmp_path):
+    folder = tmp_path / "dados brutos é"
+    write(folder, "EXP_2020 (v2).csv", [EXPORT_HEADER, export_row(2020)])
+    root = str(tmp_path / "lake")
+    assert load(spark, str(folder), root).rows_loaded == 1
+    assert load(spark, str(folder), root).files_skipped == 1
+    assert read_facts(spark, root).count() == 1
+
+
 def test_nothing_to_load(spark, tmp_path):
     (tmp_path / "raw" / "exp").mkdir(parents=True)
     with pytest.raises(FileNotFoundError):

@@ -16,6 +16,7 @@ from cargolens.operators.options import available_months, available_years, filte
 from cargolens.operators.quality import load_log, quality_report
 from cargolens.operators.ranking import country_ranking
 from cargolens.operators.select import largest, select_result
+from cargolens.plans.star import register_star
 from cargolens.operators.trade import (
     classification_detail,
     country_composition,
@@ -195,6 +196,12 @@ def test_selecting_rows(spark):
     assert select_result(frame, where=F.col("v") > 1, order_by="v", n=1, tiebreak=("k",)).first().k == "c"
 
 
+def test_star_in_sql(spark, small):
+    register_star(small, "star_of_test")
+    row = spark.sql("SELECT SETOR, sum(VL_FOB) v FROM star_of_test WHERE PAIS = 'China' GROUP BY SETOR").first()
+    assert (row.SETOR, row.v) == ("Agropecuária", 200.0)
+
+
 def test_shares_add_up(small):
     for level in ("Setor", "SH4", "NCM"):
         assert sum(r["PARTICIPACAO_FOB"] for r in rows(hierarchy_table(small, JANUARY, level))) == pytest.approx(1)
