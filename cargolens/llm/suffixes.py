@@ -28,7 +28,9 @@ from cargolens.llm.shared import buckets_for
 ANCHOR = 16
 SHALLOW = 16
 #: Text bytes whose runs are computed at once, that are packed together, and per bucket.
-CHUNK, BATCH, BUCKET = 1 << 20, 8 << 20, 8 << 20
+CHUNK, BATCH, BUCKET = 1 << 19, 8 << 20, 4 << 20
+#: Strings that go into blind tries together.
+AT_ONCE = 1 << 17
 #: Differing runs of an anchor beyond which its strings are sent one by one.
 HOT_RUNS = 4096
 NO_ID = (1 << 63) - 1
@@ -109,26 +111,43 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     same byte are the groups of the next round.
     """
     order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    if not len(starts):
-        return order, np.zeros(0, bool)
     fresh = np.zeros(len(starts), bool)
     for depth in range(0, SHALLOW, 8):
-        words = data[(starts[order] + depth)[:, None] + np.arange(8)].view(">u8")[:, 0]
+        words = _columns(data, starts[order] + depth, 8).view(">u8")[:, 0]
         by = np.lexsort((words, group))
         order, words, group = order[by], words[by], group[by]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (group[1:] != group[:-1]) | (words[1:] != words[:-1])
         group = np.cumsum(fresh) - 1
-    slots = np.flatnonzero(np.bincount(group)[group] > 1)
-    tails = data[(starts[order[slots]] + SHALLOW)[:, None] + np.arange(length - SHALLOW)]
-    members, group = order[slots], group[slots]
+    slots = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
+    heads = np.flatnonzero(np.diff(group[slots], prepend=-1))
+    cuts = heads[np.diff(heads // AT_ONCE, prepend=0) > 0]  # whole groups, some at a time
+    for some in np.split(slots, cuts):
+        _blind_tries(data, starts, length, order, fresh, some, group[some])
+    return order, fresh
+
+
+def _columns(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes from each start on, one row each."""
+    out = np.empty((len(starts), width), np.uint8)
+    for k in range(width):
+        out[:, k] = data[starts + k]
+    return out
+
+
+def _blind_tries(
+    data: np.ndarray, starts: np.ndarray, length: int, order: np.ndarray, fresh: np.ndarray, slots: np.ndarray, group: np.ndarray
+) -> None:
+    """Order the members of ``slots``, group by group, by what follows their shallow bytes."""
+    members = order[slots]
+    tails = _columns(data, starts[members] + SHALLOW, length - SHALLOW)
     while len(slots):
-        lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        lead = np.flatnonzero(np.diff(group, prepend=-1))
         path = tails[np.repeat(lead, np.diff(np.append(lead, len(group))))]
-        other = tails != path
-        depth = other.argmax(axis=1)
-        mine = np.take_along_axis(tails, depth[:, None], 1)[:, 0].astype(np.int64)
+        depth = (tails != path).argmax(axis=1)
+        mine = np.take_along_axis(tails, depth[:, None], 1)[:, 0].astype(np.int16)
         side = np.sign(mine - np.take_along_axis(path, depth[:, None], 1)[:, 0])
+        del path
         rank = np.where(side, -side * depth, 0)  # smaller ones leave the path early, larger late
         byte = np.where(side, mine, 0)
         by = np.lexsort((byte, rank, side, group))
@@ -141,7 +160,6 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
         group = np.cumsum(new) - 1
         stay = (keys[1] != 0) & (np.bincount(group)[group] > 1)
         slots, members, tails, group = slots[stay], members[stay], tails[stay], group[stay]
-    return order, fresh
 
 
 _ROW = np.dtype([("doc", "<u4"), ("start", "<u4"), ("size", "<u2")])
