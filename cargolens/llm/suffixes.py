@@ -66,11 +66,20 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _string_hash(data: np.ndarray, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """Hash of the ``size`` bytes at each of ``first``."""
-    powers = np.cumprod(np.full(len(data), _BASE, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES2[data] * powers)])
-    inverse = np.cumprod(np.full(len(data), _UNBASE, np.uint64))
-    return _mixed((sums[first + size] - sums[first]) * inverse[first])
+    """Hash of the ``size`` bytes at each of ``first``, which are in order."""
+    size = np.broadcast_to(size, first.shape)
+    out, at = np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        low = int(first[at])
+        to = int(np.searchsorted(first, low + CHUNK, "left"))
+        begin, end = first[at:to] - low, first[at:to] - low + size[at:to]
+        cut = data[low : low + int(end.max())]
+        powers = np.cumprod(np.full(len(cut), _BASE, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES2[cut] * powers)])
+        inverse = np.cumprod(np.full(len(cut), _UNBASE, np.uint64))
+        out[at:to] = _mixed((sums[end] - sums[begin]) * inverse[begin])
+        at = to
+    return out
 
 
 def runs(data: np.ndarray, valid: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -219,7 +228,8 @@ class Runs:
         cuts = np.empty(int((~keep).sum()), _CUT)
         cuts["doc"], cuts["start"], cuts["stop"] = (x[~keep] for x in (self.doc_of[doc], start, start + size))
         self.later = joined(np.concatenate([self.later, cuts]))
-        self.place, self.size, self.key, self.doc, self.start = (x[keep] for x in (place, size, key, doc, start))
+        self.place, self.size, self.key, self.content = (x[keep] for x in (place, size, key, content))
+        self.doc, self.start = doc[keep], start[keep]
 
     def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
         """Each bucket that has runs, and the runs' numbers in order of key and place."""
@@ -231,9 +241,9 @@ class Runs:
 
     def keep(self, mine: np.ndarray, apart: np.ndarray) -> None:
         """Go on with the runs numbered ``mine``, and with the single strings of those ``apart``."""
-        content = _string_hash(self.data, self.place[mine], self.size[mine]) if len(mine) else np.zeros(0, np.uint64)
-        whole = (self.place[mine], self.size[mine], self.key[mine], content)
+        whole = tuple(x[mine] for x in (self.place, self.size, self.key, self.content))
         if len(apart):
+            apart = apart[np.argsort(self.place[apart])]
             single = _string_runs(self.data, self.place[apart], self.size[apart], self.length)
             whole = tuple(np.concatenate(x) for x in zip(whole, single, strict=True))
         self._settle(*whole)
@@ -276,7 +286,9 @@ def joined(cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def flag_keys(batches: list[np.ndarray], counts: list[np.ndarray], shared: list[np.ndarray]) -> list[np.ndarray]:
+def flag_keys(
+    batches: list[np.ndarray], counts: list[np.ndarray], shared: list[np.ndarray], hot_runs: int
+) -> list[np.ndarray]:
     """Per batch and key of one bucket 0 (one id has it), 1 (more have it) or 2 (it is hot).
 
     Each batch names a key once, with the number of its runs and whether two ids share it.
@@ -285,7 +297,7 @@ def flag_keys(batches: list[np.ndarray], counts: list[np.ndarray], shared: list[
     many = np.bincount(place, minlength=len(keys)) > 1
     many |= np.bincount(place, np.concatenate(shared), len(keys)) > 0
     total = np.bincount(place, np.concatenate(counts), len(keys))
-    flag = (many.astype(np.uint8) + (many & (total > HOT_RUNS)))[place]
+    flag = (many.astype(np.uint8) + (many & (total > hot_runs)))[place]
     return np.split(flag, np.cumsum([len(b) for b in batches])[:-1])
 
 
@@ -352,8 +364,8 @@ def _unipc(data: bytes) -> pa.RecordBatch:
         return source.read_next_batch()
 
 
-def in_batches(docs: DataFrame, text_col: str) -> DataFrame:
-    """Rows of ``docs`` packed into batches of about ``BATCH`` bytes of text: batch, rows."""
+def in_batches(docs: DataFrame, text_col: str, batch_bytes: int) -> DataFrame:
+    """Rows of ``docs`` packed into batches of about ``batch_bytes`` bytes of text: batch, rows."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +381,7 @@ def in_batches(docs: DataFrame, text_col: str) -> DataFrame:
             begin = 0
             for i, n in enumerate(lengths.tolist()):
                 size += n
-                if size >= BATCH:
+                if size >= batch_bytes:
                     held.append(batch.slice(begin, i + 1 - begin))
                     yield out()
                     made, held, size, begin = made + 1, [], 0, i + 1
@@ -381,7 +393,15 @@ def in_batches(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, "batch long, rows binary")
 
 
-def with_spans(docs: DataFrame, spans: str, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_spans(
+    docs: DataFrame,
+    spans: str,
+    length: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    batch_bytes: int = BATCH,
+    hot_runs: int = HOT_RUNS,
+) -> DataFrame:
     """``docs`` with a column ``spans``: the maximal byte ranges (start, stop) to remove, in order.
 
     Null or short texts have none. Ids are compared as numbers, a null id is larger than any,
@@ -390,7 +410,7 @@ def with_spans(docs: DataFrame, spans: str, length: int = 50, id_col: str = "doc
 
     Texts move once, in packed batches. First each batch sends its anchors' hashes and learns
     which of them other ids have as well; then it sends the runs of those only. A bucket finds
-    the cuts of its runs and sends them back to the batches. An anchor of over ``HOT_RUNS``
+    the cuts of its runs and sends them back to the batches. An anchor of over ``hot_runs``
     differing runs is sent string by string, by the hash of the whole string, so a passage in
     a third of all documents is spread over all buckets.
     """
@@ -426,7 +446,7 @@ def with_spans(docs: DataFrame, spans: str, length: int = 50, id_col: str = "doc
             keys.append(wide.view(np.uint64)[:, 0])
             counts.append(np.frombuffer(about, "<u2", len(wide)))
             shared.append(np.unpackbits(np.frombuffer(about, np.uint8, -1, 2 * len(wide)), count=len(wide)))
-        flags = [zstandard.compress(f.tobytes(), 3) for f in flag_keys(keys, counts, shared)]
+        flags = [zstandard.compress(f.tobytes(), 3) for f in flag_keys(keys, counts, shared, hot_runs)]
         return pd.DataFrame({"batch": group["batch"], "bucket": group["bucket"], "flags": flags})
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,6 +463,7 @@ def with_spans(docs: DataFrame, spans: str, length: int = 50, id_col: str = "doc
                 sent = [(bucket, number, found.dump(mine), False) for bucket, mine in found.buckets(n)]
                 if len(found.later):
                     sent.append((number % n, number, zstandard.compress(found.later.tobytes(), 3), True))
+                del found
                 for at in range(0, len(sent), 64):
                     names, types = ("bucket", "batch", "sent", "cut"), (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
                     yield _made(sent[at : at + 64], names, types)
@@ -465,7 +486,7 @@ def with_spans(docs: DataFrame, spans: str, length: int = 50, id_col: str = "doc
                 lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, ["start", "stop"]))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*columns, spans])
 
-    packed = in_batches(docs, text_col).repartition("batch")
+    packed = in_batches(docs, text_col, batch_bytes).repartition("batch")
     flags = (
         packed.mapInArrow(send_keys, "bucket long, batch long, keys binary, about binary")
         .groupBy("bucket")
