@@ -92,8 +92,7 @@ def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = suffixes.digests(suffixes.with_spans(docs, "spans", 50), "spans")
+    found = suffixes.digests(table(spark, sf_dir, "documents"), 50)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -11,10 +11,9 @@ strings become neighbours.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -28,7 +27,7 @@ from cargolens.llm.shared import buckets_for
 ANCHOR = 16
 SHALLOW = 16
 #: Text bytes whose runs are computed at once, that are packed together, and per bucket.
-CHUNK, BATCH, BUCKET = 1 << 19, 8 << 20, 4 << 20
+CHUNK, BATCH, BUCKET = 1 << 19, 4 << 20, 3 << 20
 #: Strings that go into blind tries together.
 AT_ONCE = 1 << 17
 #: Differing runs of an anchor beyond which its strings are sent one by one.
@@ -393,20 +392,46 @@ def in_batches(docs: DataFrame, text_col: str, batch_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, "batch long, rows binary")
 
 
+#: The maximal byte ranges (start, stop) to remove from one text, in order.
+Ranges = list[tuple[int, int]]
+
+
 def with_spans(
+    docs: DataFrame, spans: str, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **limits: int
+) -> DataFrame:
+    """``docs`` with a column ``spans``: the maximal byte ranges (start, stop) to remove, in order.
+
+    As ``map_spans``, which see. No column may be called ``spans``.
+    """
+    if spans in docs.columns:
+        raise ValueError(f"there is a column {spans} already")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    names = [*docs.columns, spans]
+
+    def add(rows: pa.RecordBatch, found: list[Ranges]) -> pa.RecordBatch:
+        lists = pa.array([[{"start": a, "stop": b} for a, b in ranges] for ranges in found], kind)
+        return pa.RecordBatch.from_arrays([*rows.columns, lists], names)
+
+    out = T.ArrayType(T.StructType.fromDDL("start long, stop long"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans, out)])
+    return map_spans(docs, add, schema, length, id_col, text_col, **limits)
+
+
+def map_spans(
     docs: DataFrame,
-    spans: str,
+    finish: Callable[[pa.RecordBatch, list[Ranges]], pa.RecordBatch],
+    schema: T.StructType | str,
     length: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
     batch_bytes: int = BATCH,
     hot_runs: int = HOT_RUNS,
 ) -> DataFrame:
-    """``docs`` with a column ``spans``: the maximal byte ranges (start, stop) to remove, in order.
+    """What ``finish`` makes of batches of ``docs`` and the ranges to remove from each text.
 
     Null or short texts have none. Ids are compared as numbers, a null id is larger than any,
     and rows of equal id remove nothing from each other. An empty frame gives no rows. All
-    columns are kept; none may be called ``spans``.
+    columns of ``docs`` are handed on.
 
     Texts move once, in packed batches. First each batch sends its anchors' hashes and learns
     which of them other ids have as well; then it sends the runs of those only. A bucket finds
@@ -414,10 +439,7 @@ def with_spans(
     differing runs is sent string by string, by the hash of the whole string, so a passage in
     a third of all documents is spread over all buckets.
     """
-    if spans in docs.columns:
-        raise ValueError(f"there is a column {spans} already")
-    columns, schema = docs.columns, docs.schema
-    id_at, text_at = columns.index(id_col), columns.index(text_col)
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     n = buckets_for(docs, text_col, BUCKET)
 
     def opened(rows: pa.RecordBatch) -> Runs:
@@ -425,7 +447,7 @@ def with_spans(
 
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for incoming in batches:
-            for number, data in zip(*(c.to_pylist() for c in incoming.columns), strict=True):
+            for number, data in _one_by_one(incoming):
                 found, sent = opened(_unipc(data)), []
                 for bucket, mine in found.buckets(n):
                     keys, first, count = np.unique(found.key[mine], return_index=True, return_counts=True)
@@ -437,9 +459,9 @@ def with_spans(
                     sent.append((bucket, number, short, packed))
                 yield _made(sent, ("bucket", "batch", "keys", "about"), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
 
-    def flag(group: pd.DataFrame) -> pd.DataFrame:
+    def flag(group: pa.Table) -> pa.Table:
         keys, counts, shared = [], [], []
-        for short, packed in zip(group["keys"], group["about"], strict=True):
+        for short, packed in zip(group["keys"].to_pylist(), group["about"].to_pylist(), strict=True):
             wide = np.zeros((len(short) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
             about = zstandard.decompress(packed)
@@ -447,11 +469,11 @@ def with_spans(
             counts.append(np.frombuffer(about, "<u2", len(wide)))
             shared.append(np.unpackbits(np.frombuffer(about, np.uint8, -1, 2 * len(wide)), count=len(wide)))
         flags = [zstandard.compress(f.tobytes(), 3) for f in flag_keys(keys, counts, shared, hot_runs)]
-        return pd.DataFrame({"batch": group["batch"], "bucket": group["bucket"], "flags": flags})
+        return pa.table({"batch": group["batch"], "bucket": group["bucket"], "flags": pa.array(flags, pa.binary())})
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for incoming in batches:
-            for number, data, told in zip(*(c.to_pylist() for c in incoming.columns), strict=True):
+            for number, data, told in _one_by_one(incoming):
                 found = opened(_unipc(data))
                 flags = {t["bucket"]: np.frombuffer(zstandard.decompress(t["flags"]), np.uint8) for t in told or ()}
                 keep, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -468,29 +490,30 @@ def with_spans(
                     names, types = ("bucket", "batch", "sent", "cut"), (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
                     yield _made(sent[at : at + 64], names, types)
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        done = group["cut"].to_numpy(bool)
-        rest = group[~done]
-        found = find_cuts(rest["sent"].tolist(), length) if len(rest) else []
-        cuts = [*group["sent"][done], *(zstandard.compress(c.tobytes(), 3) for c in found)]
-        return pd.DataFrame({"batch": [*group["batch"][done], *rest["batch"]], "cuts": cuts})
+    def search(group: pa.Table) -> pa.Table:
+        done = group.filter(group["cut"])
+        rest = group.filter(pc.invert(group["cut"]))
+        found = find_cuts(rest["sent"].to_pylist(), length) if rest.num_rows else []
+        cuts = [*done["sent"].to_pylist(), *(zstandard.compress(c.tobytes(), 3) for c in found)]
+        numbers = pa.array([*done["batch"].to_pylist(), *rest["batch"].to_pylist()], pa.int64())
+        return pa.table({"batch": numbers, "cuts": pa.array(cuts, pa.binary())})
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for incoming in batches:
-            for data, told in zip(*(c.to_pylist() for c in incoming.columns), strict=True):
+            for data, told in _one_by_one(incoming):
                 rows = _unipc(data)
                 parts = [np.frombuffer(zstandard.decompress(t), _CUT) for t in told or ()]
                 cuts = joined(np.concatenate([np.zeros(0, _CUT), *parts]))
-                offsets = np.searchsorted(cuts["doc"], np.arange(rows.num_rows + 1)).astype(np.int32)
-                values = [pa.array(cuts[x].astype(np.int64)) for x in ("start", "stop")]
-                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, ["start", "stop"]))
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*columns, spans])
+                found: list[Ranges] = [[] for _ in range(rows.num_rows)]
+                for doc, start, stop in cuts.tolist():
+                    found[doc].append((start, stop))
+                yield finish(rows, found)
 
     packed = in_batches(docs, text_col, batch_bytes).repartition("batch")
     flags = (
         packed.mapInArrow(send_keys, "bucket long, batch long, keys binary, about binary")
         .groupBy("bucket")
-        .applyInPandas(flag, "batch long, bucket long, flags binary")
+        .applyInArrow(flag, "batch long, bucket long, flags binary")
         .groupBy("batch")
         .agg(F.collect_list(F.struct("bucket", "flags")).alias("told"))
     )
@@ -499,12 +522,17 @@ def with_spans(
         .select("batch", "rows", "told")
         .mapInArrow(send_runs, "bucket long, batch long, sent binary, cut boolean")
         .groupBy("bucket")
-        .applyInPandas(search, "batch long, cuts binary")
+        .applyInArrow(search, "batch long, cuts binary")
         .groupBy("batch")
         .agg(F.collect_list("cuts").alias("told"))
     )
-    out = T.StructType([*schema.fields, T.StructField(spans, T.ArrayType(T.StructType.fromDDL("start long, stop long")))])
-    return packed.join(cuts, "batch", "left").select("rows", "told").mapInArrow(finish, out)
+    return packed.join(cuts, "batch", "left").select("rows", "told").mapInArrow(close, schema)
+
+
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch of large values, of which one at a time is copied."""
+    for i in range(batch.num_rows):
+        yield tuple(column[i].as_py() for column in batch.columns)
 
 
 def _made(rows: list[tuple], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> pa.RecordBatch:
@@ -512,65 +540,51 @@ def _made(rows: list[tuple], names: tuple[str, ...], types: tuple[pa.DataType, .
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal ranges of overlapping or touching ones."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted((s["start"], s["stop"]) for s in spans or ()):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
-    return out
-
-
-def remaining(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+def remaining(data: bytes, ranges: Ranges) -> bytes:
     """The bytes outside the ranges."""
-    places = [0, *(x for span in spans for x in span), len(data)]
+    places = [0, *(x for pair in ranges for x in pair), len(data)]
     return b"".join(data[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
 
 
-def digests(frame: DataFrame, spans: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``with_spans``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
+def digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
-    ``kept_text`` leaves out characters that a cut has split.
+    ``kept_text`` leaves out characters that a cut has split. Null texts count as empty.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, ranges = (text or "").encode(), merged(cuts)
-                left = remaining(data, ranges)
-                rows.append((len(data), len(data) - len(left), len(ranges), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore")))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64()] * 3 + [pa.string()] * 2
-            arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
+    def finish(rows: pa.RecordBatch, found: list[Ranges]) -> pa.RecordBatch:
+        out = []
+        for text, ranges in zip(rows.column(1).to_pylist(), found, strict=True):
+            data = (text or "").encode()
+            left = remaining(data, ranges)
+            sha = hashlib.sha256(left).hexdigest()
+            out.append((len(data), len(data) - len(left), len(ranges), sha, left.decode(errors="ignore")))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        made = _made(out, ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"), types)
+        return pa.RecordBatch.from_arrays([rows.column(0), *made.columns], ["doc_id", *made.schema.names])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return frame.select(F.col(id_col).cast("long"), text_col, spans).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_spans(rows, finish, schema, length, **limits)
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the text, all other columns as they are.
 
     Characters that a cut splits go as a whole. Rows of whose text no word is left are dropped
-    if anything was cut; null and empty texts stay. No column may be called ``_spans``.
+    if anything was cut; null and empty texts stay.
     """
-    marked = with_spans(docs, "_spans", length, id_col, text_col)
-    at, schema = docs.columns.index(text_col), docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, stay = [], []
-            for text, cuts in zip(batch.column(at).to_pylist(), batch.column(len(schema)).to_pylist(), strict=True):
-                if cuts:
-                    text = remaining(text.encode(), merged(cuts)).decode(errors="ignore")
-                texts.append(text)
-                stay.append(not cuts or bool(text.strip()))
-            columns = batch.columns[: len(schema)]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(stay, pa.bool_()))
-
-    return marked.mapInArrow(run, schema)
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def finish(rows: pa.RecordBatch, found: list[Ranges]) -> pa.RecordBatch:
+        texts, stay = [], []
+        for text, ranges in zip(rows.column(at).to_pylist(), found, strict=True):
+            if ranges:
+                text = remaining(text.encode(), ranges).decode(errors="ignore")
+            texts.append(text)
+            stay.append(not ranges or bool(text.strip()))
+        columns = rows.columns
+        columns[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay, pa.bool_()))
+
+    return map_spans(docs, finish, docs.schema, length, id_col, text_col)

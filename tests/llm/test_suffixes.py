@@ -63,7 +63,7 @@ def test_order_of_suffixes(monkeypatch, alphabet, at_once):
 def test_spans(spark, seed, hot):
     docs = corpus(random.Random(seed), 40)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).withColumn("start", F.lit(7))
-    found = suffixes.digests(suffixes.with_spans(frame, "spans", batch_bytes=2000, hot_runs=hot), "spans").collect()
+    found = suffixes.digests(frame, batch_bytes=2000, hot_runs=hot).collect()
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found)
     want = []
     for (i, text), mask in zip(docs, covered(docs), strict=True):
@@ -98,5 +98,8 @@ def test_cut_texts(spark):
 def test_empty_and_clash(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.with_spans(empty, "spans").count() == 0
+    one = spark.createDataFrame([(1, "a" * 60), (2, "a" * 70)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in suffixes.with_spans(one, "spans").collect()}
+    assert rows[1] == [] and [tuple(x) for x in rows[2]] == [(0, 70)]
     with pytest.raises(ValueError):
         suffixes.with_spans(empty.withColumn("spans", F.lit(1)), "spans")
