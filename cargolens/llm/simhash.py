@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from itertools import starmap
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,8 +171,8 @@ def near_pairs(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataF
     """
     spark, (masks, r) = distinct.sparkSession, block_masks(max_bits, blocks)
     n = distinct.count()
-    picked = distinct.sample(min(1.0, SAMPLE / max(1, n)), seed=11).limit(2 * SAMPLE).toPandas()["fp"]
-    sample = picked.to_numpy(np.int64).view(np.uint64)
+    picked = distinct.sample(min(1.0, SAMPLE / max(1, n)), seed=11).limit(2 * SAMPLE).collect()
+    sample = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
     aim = min(-(-n // LEAF), max(1, len(sample) // 8))
     trees = spark.sparkContext.broadcast([fit(sample & m, aim, 5 + k)[0] for k, m in enumerate(masks)])
 
@@ -191,15 +190,15 @@ def near_pairs(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataF
                         ["shard", "fp", "home"],
                     )
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        mask = masks[int(group["shard"].iloc[0]) >> 32]
-        values = group["fp"].to_numpy(np.int64).view(np.uint64)
-        found = list(solve(values, group["home"].to_numpy(bool), mask, r, max_bits))
+    def search(group: pa.Table) -> pa.Table:
+        mask = masks[group["shard"][0].as_py() >> 32]
+        values = group["fp"].to_numpy().view(np.uint64)
+        found = list(solve(values, group["home"].to_numpy(), mask, r, max_bits))
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
+        return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
     sent = distinct.select("fp").mapInArrow(send, "shard long, fp long, home boolean")
-    return sent.groupBy("shard").applyInPandas(search, "src long, dst long")
+    return sent.groupBy("shard").applyInArrow(search, "src long, dst long")
 
 
 def smallest_linked(groups: DataFrame, max_bits: int = 4) -> DataFrame:

@@ -225,8 +225,9 @@ def learn(
             arrays = [batch.column(0), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(arrays, ["label", "total", "share"])
 
-    points = rows.mapInArrow(measure, "label int, total double, share double").toPandas()
-    lexicon.curve = fit_curve(points[["total", "share"]].to_numpy(), (points["label"] > 0).to_numpy(float))
+    points = rows.mapInArrow(measure, "label int, total double, share double").collect()
+    values = np.array(points, float).reshape(-1, 3)
+    lexicon.curve = fit_curve(values[:, 1:], (values[:, 0] > 0).astype(float))
     return lexicon
 
 
