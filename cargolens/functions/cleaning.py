@@ -20,8 +20,8 @@ from cargolens.model import UNCLASSIFIED, UNINFORMED_STATE
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?\d+)?"
 _PLAIN_INTEGER = r"^\s*[+-]?\d{1,9}\s*$"
-# The ".0" a spreadsheet adds to a whole number, or any character that is no digit.
-_DECIMAL_ZEROS_OR_NON_DIGIT = r"(?<=^\s{0,20}[+-]?\d{1,99})\.0+\s*$|\D"
+# A whole number with the ".0" that a spreadsheet adds to it.
+_WHOLE_WITH_ZEROS = r"^\s*[+-]?(\d+)\.0+\s*$"
 
 # --- fixed values -----------------------------------------------------------
 BUSINESS_DAY_WORDS = ("1", "sim", "s", "true", "verdadeiro", "util", "útil")
@@ -43,7 +43,8 @@ def parse_integer(text: Column) -> Column:
     Hexadecimal (0x) and binary (0b) spellings are read as well.
     """
     rounded = F.round(_without_separators(text).try_cast("double"))
-    digits = F.substring(F.trim(text), 3, 32)
+    # Any number of digits; conv() stops at 64 bits, which no year or month reaches.
+    digits = F.substring(F.trim(text), 3, 2**31 - 1)
     return (
         F.when(text.rlike(_PLAIN_INTEGER), text.cast("int"))
         .when(text.rlike(rf"^\s*{_NUMBER}\s*$"), rounded.try_cast("int"))
@@ -84,7 +85,8 @@ def normalize_code(value: Column, width: int) -> Column:
     Text without a digit, such as "nan" or "<NA>", is no code.
     """
     text = F.trim(value.cast("string"))
-    digits = F.regexp_replace(text, _DECIMAL_ZEROS_OR_NON_DIGIT, "")
+    whole = F.when(text.rlike(_WHOLE_WITH_ZEROS), F.regexp_extract(text, _WHOLE_WITH_ZEROS, 1))
+    digits = F.coalesce(whole, F.regexp_replace(text, r"\D", ""))
     padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
     return F.when(text.rlike(r"\d"), padded)
 
@@ -100,25 +102,31 @@ def business_day_number(value: Column) -> Column:
     return F.when(value.isNotNull(), (value.cast("double") > 0).cast("int"))
 
 
-def _accent_table() -> tuple[str, str]:
-    """Latin letters with marks and the plain letter each one folds to."""
-    marked, plain = [], []
-    for point in range(0x00A0, 0x0250):
-        letter = chr(point)
-        base = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
+def _accent_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one ASCII letter or sign, these, and those that give several."""
+    marked, plain, several = [], [], {}
+    for point in range(0x0080, 0x20000):
+        base = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode().lower()
         if len(base) == 1:
-            marked.append(letter)
-            plain.append(base.lower())
-    return "".join(marked), "".join(plain)
+            marked.append(chr(point))
+            plain.append(base)
+        elif base:
+            several[chr(point)] = base
+    return "".join(marked), "".join(plain), several
 
 
-_MARKED, _PLAIN = _accent_table()
+_MARKED, _PLAIN, _SEVERAL = _accent_tables()
+_PAIRS = "\x01".join(f"{c}\x02{base}" for c, base in _SEVERAL.items())
+_ANY_OF_SEVERAL = f"[{''.join(_SEVERAL)}]"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, runs of blanks collapsed."""
-    ascii_text = F.lower(F.translate(text, _MARKED, _PLAIN))
-    ascii_text = F.regexp_replace(ascii_text, r"[^\x00-\x7F]", "")
+    """Lower case without accents, runs of blanks collapsed; other characters above ASCII go."""
+    single = F.translate(text, _MARKED, _PLAIN)
+    table = F.str_to_map(F.lit(_PAIRS), F.lit("\x01"), F.lit("\x02"))
+    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.element_at(table, c), c))
+    spelled = F.when(single.rlike(_ANY_OF_SEVERAL), F.array_join(letters, "")).otherwise(single)
+    ascii_text = F.regexp_replace(F.lower(spelled), r"[^\x00-\x7F]", "")
     return F.trim(F.regexp_replace(ascii_text, r"\s+", " "))
 
 

@@ -13,7 +13,7 @@ STATUSES = (SURPLUS, DEFICIT, BALANCED)
 
 
 def trade_balance_by_country(tables: TradeTables, state: FilterState) -> DataFrame:
-    """Exports, imports, balance and trade flow per country, largest balance first.
+    """Exports, imports, balance and trade flow per country, in no order.
 
     The flow of the selection is ignored. Countries without trade either way drop.
     """
@@ -38,7 +38,6 @@ def trade_balance_by_country(tables: TradeTables, state: FilterState) -> DataFra
         countries.where((exports != 0) | (imports != 0))
         .withColumns({"SALDO": exports - imports, "CORRENTE_COMERCIO": exports + imports})
         .withColumn("SITUACAO", balance_status(F.col("SALDO")))
-        .orderBy(F.abs("SALDO").desc_nulls_last(), "PAIS", "CO_PAIS")
     )
 
 

@@ -28,7 +28,7 @@ def monthly_history(
     """
     year = state.require_year()
     if metric not in METRICS:
-        raise ValueError("Métrica mensal inválida.")
+        raise ValueError("Medida desconhecida para o perfil mensal")
     measures = ["VL_FOB", "KG_LIQUIDO"] if metric == "FOB_POR_KG" else [metric]
     rows = facts_by(
         tables,
@@ -99,7 +99,7 @@ def monthly_headline(
     level covers every selected month, also those the current year lacks so far.
     """
     if metric not in METRICS:
-        raise ValueError("Métrica mensal inválida.")
+        raise ValueError("Medida desconhecida para o perfil mensal")
     level = F.avg if metric == "FOB_POR_KG" else F.sum
     order = F.array(*[F.lit(m) for m in (months or ALL_MONTHS)])
     # On a tie the month that comes first in the selection is the peak.

@@ -25,6 +25,7 @@ from cargolens.model import (
     UNKNOWN_COUNTRY,
     UNKNOWN_ISIC,
     UNKNOWN_UNIT,
+    DimensionError,
     FilterState,
     TradeTables,
 )
@@ -67,6 +68,7 @@ CALENDAR = Dimension(
     "calendar", {"CO_ANO": "ANO", "CO_MES": "MES"}, {"DIAS_UTEIS": ("DIAS_UTEIS", None)}
 )
 STAR = (PRODUCT, COUNTRY, UNIT, CALENDAR)
+KEYS = {d.table: list(d.keys.values()) for d in STAR}
 
 # The industry section is not part of the view; only the sector operator asks for it.
 _ISIC = {
@@ -95,11 +97,12 @@ def star(tables: TradeTables) -> DataFrame:
     ``dropDuplicates`` on the key proves to Catalyst that a join adds no rows, so
     the joins behind columns nobody reads leave the plan. A dimension too large to
     broadcast goes without: its shuffle must stand directly below the join for
-    adaptive execution to split a product that holds much of the facts.
+    adaptive execution to split a product that holds much of the facts. Keys are
+    unique, so both plans give the same rows.
     """
     rows = tables.fact
     for dimension in STAR:
-        side = getattr(tables, dimension.table)
+        side = checked(tables, dimension)
         if _fits(tables, dimension):
             side = side.dropDuplicates(list(dimension.keys.values()))
         rows = attach(rows, dimension, side, dimension.attributes)
@@ -113,6 +116,30 @@ def register_star(tables: TradeTables, name: str = "trade_star") -> DataFrame:
     return view
 
 
+def repeated_keys(side: DataFrame, keys: list[str]) -> list[str]:
+    """Up to five keys that a dimension holds more than once."""
+    known = side.where(all_of([F.col(k).isNotNull() for k in keys]))
+    repeated = known.groupBy(*keys).count().where("count > 1").limit(5)
+    return sorted("/".join(str(r[k]) for k in keys) for r in repeated.collect())
+
+
+def checked(tables: TradeTables, dimension: Dimension) -> DataFrame:
+    """A dimension's table, after its keys have been found unique once for these tables.
+
+    Stored dimensions were checked when they were written.
+    """
+    side = getattr(tables, dimension.table)
+    if dimension.table not in tables.checked:
+        require_unique(side, dimension.table, KEYS[dimension.table])
+        tables.checked.add(dimension.table)
+    return side
+
+
+def require_unique(side: DataFrame, name: str, keys: list[str]) -> None:
+    if found := repeated_keys(side, keys):
+        raise DimensionError(f"Chaves repetidas em {name}: {', '.join(found)}")
+
+
 def is_small(frame: DataFrame) -> bool:
     """Whether the optimizer's size estimate allows a broadcast in this session."""
     limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
@@ -157,7 +184,7 @@ def facts_by(
         asked = dimension.attributes.keys() & wanted
         if not tested and not asked:
             continue
-        side = getattr(tables, dimension.table)
+        side = checked(tables, dimension)
         if not _fits(tables, dimension):
             late.append(dimension)
         elif set(dimension.keys) <= wanted:

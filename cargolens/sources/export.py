@@ -10,14 +10,20 @@ _FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
 def with_decimal_comma(frame: DataFrame) -> DataFrame:
-    """Fractional columns as text with a decimal comma and no exponent.
+    """Fractional columns as text with a decimal comma, all their digits kept.
 
-    Six decimals are kept, trailing zeros are cut to at least one.
+    Numbers from 10^28 up and below 10^-20 keep an exponent, which spreadsheets read.
     """
     texts = {}
     for f in frame.schema:
         if isinstance(f.dataType, _FRACTIONAL):
-            plain = F.col(f.name).try_cast("decimal(38,6)").cast("string")
+            value, size = F.col(f.name), F.abs(F.col(f.name))
+            # Java writes an exponent outside 10^-3 to 10^7; a wide enough decimal does not.
+            plain = (
+                F.when((size >= 1e7) & (size < 1e28), value.try_cast("decimal(38,10)").cast("string"))
+                .when((size > 1e-20) & (size < 1e-3), value.try_cast("decimal(38,37)").cast("string"))
+                .otherwise(value.cast("string"))
+            )
             texts[f.name] = F.translate(F.regexp_replace(plain, r"(\.\d+?)0+$", "$1"), ".", ",")
     return frame.withColumns(texts)
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargolens.model import FACT_SCHEMA, TradeTables
+from cargolens.plans.star import KEYS, require_unique
 from cargolens.sources import storage
 from cargolens.sources.raw import (
     Layout,
@@ -121,8 +122,16 @@ def _log(spark: SparkSession, root: str, rows: list, *, removed: bool = False) -
     spark.createDataFrame(entries, LOADS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/loads")
 
 
+def check_dimensions(dimensions: dict[str, DataFrame]) -> None:
+    """Raise when a dimension holds a key twice, as its joins would count facts twice."""
+    for name, keys in KEYS.items():
+        if name in dimensions:
+            require_unique(dimensions[name], name, keys)
+
+
 def write_dimensions(root: str, dimensions: dict[str, DataFrame]) -> None:
-    """Replace the dimension tables."""
+    """Replace the dimension tables, if their keys are unique."""
+    check_dimensions(dimensions)
     for name, table in DIMENSIONS.items():
         if name in dimensions:
             dimensions[name].write.mode("overwrite").parquet(f"{root}/{table}")
@@ -139,27 +148,27 @@ def load(
     """Bring the lake in step with the raw folder.
 
     Unchanged files are skipped, changed ones replaced, vanished ones removed.
-    When a file is bad the batch stops before anything is published. ``rebuild``
-    forgets what is there and loads everything.
+    When a file is bad or a dimension repeats a key, the batch stops before anything is
+    published or removed. ``rebuild`` loads every file again, changed or not.
     """
     root = root.rstrip("/")
     found = discover_fact_files(spark, raw_dir)
     # One row per file. Taken once, so that every later step sees the same state.
     listing = found.collect()
     if not listing:
-        raise FileNotFoundError(f"Nenhum EXP_AAAA.csv ou IMP_AAAA.csv encontrado sob {raw_dir}")
+        raise FileNotFoundError(f"{raw_dir} não contém arquivos anuais EXP_ ou IMP_")
     files = spark.createDataFrame(listing, found.schema)
-    if rebuild:
-        for table in ("fact", "loads"):
-            storage.remove(spark, f"{root}/{table}")
     if dimensions:
-        write_dimensions(root, dimensions)
+        check_dimensions(dimensions)
 
     changed, vanished = plan_load(files, read_loads(spark, root))
-    to_read = changed.collect()
+    # A rebuild reads every file again; what is stored goes only when its successor is checked.
+    to_read = listing if rebuild else changed.collect()
     gone = vanished.withColumn("SOURCE_ID", source_id(F.col("source_file"))).collect()
 
     rows_loaded = _load_batch(spark, root, to_read) if to_read else 0
+    if dimensions:
+        write_dimensions(root, dimensions)
     if gone:
         for row in gone:
             storage.remove(spark, _partition(root, row))
@@ -235,7 +244,7 @@ def open_tables(
     else:
         fact = read_facts(spark, base)
     dims = {name: spark.read.parquet(f"{base}/{table}") for name, table in DIMENSIONS.items()}
-    return TradeTables(fact=fact, loads=read_loads(spark, base), **dims)
+    return TradeTables(fact=fact, loads=read_loads(spark, base), checked=set(DIMENSIONS), **dims)
 
 
 def read_rollup_facts(spark: SparkSession, root: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargolens.functions.cleaning import parse_integer
+
 EXEMPTION_TEXTS = ("LIMITACOES_ESCOPO", "CODIGOS_HTSUS", "DESCRICAO_HTSUS_EXEMPLO", "TIPO_ESCOPO_SH6")
 EXEMPTION_COUNTS = (
     "QTD_LINHAS_HTSUS", "QTD_HTSUS_8", "QTD_HTSUS_10", "QTD_SEM_LIMITACAO", "QTD_CONDICIONADAS",
@@ -15,15 +17,16 @@ EXEMPTION_PAGES = ("PAGINA_INICIAL", "PAGINA_FINAL")
 def read_exemptions(spark: SparkSession, path: str) -> DataFrame:
     """The exemption list, one line per SH6, from a ";"-separated file.
 
-    Texts stay empty rather than NULL, codes are padded to six digits.
+    Texts stay empty rather than NULL, codes are padded to six digits, counts are read
+    like other whole numbers ("2.0" is 2).
     """
     raw = spark.read.csv(path, sep=";", header=True, multiLine=True, escape='"')
     casts = {}
     for name in raw.columns:
         if name in EXEMPTION_COUNTS:
-            casts[name] = F.col(name).try_cast("bigint")
+            casts[name] = parse_integer(F.col(name)).cast("bigint")
         elif name in EXEMPTION_PAGES:
-            casts[name] = F.col(name).try_cast("int")
+            casts[name] = parse_integer(F.col(name))
         else:
             casts[name] = F.coalesce(F.col(name), F.lit(""))
     return raw.withColumns(casts).withColumn("CO_SH6", pad_sh6())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -44,14 +43,9 @@ def total_bytes(spark: SparkSession, path: str) -> int:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only a session without that setting
-    (a local test) falls back to a temporary folder of this machine.
+    It lies under ``spark.checkpoint.dir``, or in the warehouse where that is unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Defina spark.checkpoint.dir: os executores precisam de uma pasta comum.")
-        base = tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/cargolens-{name}-{uuid.uuid4().hex}"
 
 

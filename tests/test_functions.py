@@ -153,3 +153,25 @@ def test_headers_and_selection():
     assert state.narrowed_from("sh2") == FilterState(sectors=("a",), sh2=("b",))
     with pytest.raises(ValueError):
         FilterState().require_year()
+
+
+def test_no_cap_on_digits_and_letters(spark):
+    """Long spellings and letters that decompose to several are read whole."""
+    from cargolens.functions.cleaning import fold, normalize_code, parse_integer
+
+    texts = ["0b" + "0" * 40 + "101", "0x" + "0" * 40 + "A", "1" * 120 + ".0", "o\ufb01cina", "\uff21gro", "V\u1ea1t"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    x = F.col("x")
+    got = frame.orderBy("i").select(parse_integer(x), normalize_code(x, 8), fold(x)).collect()
+    assert [got[0][0], got[1][0]] == [5, 10]
+    assert got[2][1] == "1" * 120
+    assert [r[2] for r in got[3:]] == ["oficina", "agro", "vat"]
+
+
+def test_export_keeps_all_digits(spark):
+    from cargolens.sources.export import with_decimal_comma
+
+    values = [5e-8, 0.123456789, 12345678.25, 1e27, 0.0, -2.5, None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in with_decimal_comma(frame).collect()]
+    assert got == ["0,00000005", "0,123456789", "12345678,25", "1" + "0" * 27 + ",0", "0,0", "-2,5", None]

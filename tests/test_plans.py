@@ -8,14 +8,15 @@ import re
 import pytest
 from conftest import by, fact, make_tables, rows
 
-import __spark_entry__ as registered
-from cargolens.model import EXPORT_COLUMNS, IMPORT_COLUMNS, FilterState, TradeTables
+import __spark_entry__  # noqa: F401  (fills the registry)
+from cargolens.model import EXPORT_COLUMNS, IMPORT_COLUMNS, DimensionError, FilterState, TradeTables
 from cargolens.operators.exposure import product_exposure, state_products
 from cargolens.operators.impact import sector_impact, state_impact
 from cargolens.operators.ranking import country_ranking
 from cargolens.operators.trade import country_composition, hierarchy_table, summary_metrics
 from cargolens.plans.star import facts_by, is_small, star
 from cargolens.sources.raw import Layout, clean_facts, read_raw
+from registry.core import QUERIES
 from registry.data import data
 
 SF = "/root/testdata/sf0.001"
@@ -86,7 +87,7 @@ def test_unused_dimensions_leave_the_view(tables):
 def test_no_cross_products_and_no_wide_windows(spark):
     """Nothing is multiplied, and only the ranking of states uses a window without keys."""
     wide = set()
-    for name, run in registered.queries().items():
+    for name, run in QUERIES.items():
         text = plan(run(spark, SF))
         assert "CartesianProduct" not in text, name
         assert "BroadcastNestedLoopJoin" not in text, name
@@ -152,6 +153,22 @@ def test_facts_are_summed_before_a_large_dimension_joins(spark, tables):
     assert "partial_sum" not in early and "BroadcastHashJoin" in early
 
 
+def test_a_repeated_key_fails_every_reader(spark, tables):
+    twice = tables.ncm.unionAll(tables.ncm.limit(1))
+    for small in (True, False):
+        broken = _forced(TradeTables(tables.fact, twice, tables.country, tables.unit, tables.calendar), small)
+        for read in (star, lambda t: hierarchy_table(t, STATE, "SH4")):
+            with pytest.raises(DimensionError, match="ncm"):
+                read(broken)
+
+
+def test_no_sort_below_a_sum(tables, spark):
+    exposure = product_exposure(tables, STATE, data(spark, SF).exemptions)
+    impact = state_impact(tables, STATE, data(spark, SF).exemptions)
+    for frame in (exposure, impact):
+        assert "rangepartitioning" not in plan(frame)
+
+
 def test_a_hot_key_of_the_view_is_split(spark):
     """Facts of one product are a third of all; the join of a large dimension must not put them in one task."""
     settings = {
