@@ -200,7 +200,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     return calibrate([*clean, "The weather was fine and they went to the market.", "It is a small town by the river."])
 
 
-def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.75) -> DataFrame:
     """Every row's ``doc_id``, ``licence``, ``probability``, ``similarity`` and all ``notices``.
 
     Paragraphs are the lines of the whole text. A notice has its line number, its family or

@@ -38,13 +38,9 @@ BLOCK = 4096
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, exact over all 64 bits."""
-    wide = np.zeros(len(values), np.int64)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        large = rest >= np.uint64(1 << step)
-        wide[large] += step
-        rest[large] >>= np.uint64(step)
-    return wide + (rest > 0)
+    high = values >> np.uint64(32)
+    wide = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int64)
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], wide) if high.any() else wide
 
 
 def encode_block(values: np.ndarray) -> np.ndarray:
@@ -53,11 +49,17 @@ def encode_block(values: np.ndarray) -> np.ndarray:
     n = len(values)
     widths = _widths(values)
     chosen = np.zeros(n, np.int64)  # 0: escape
+    most, places = int(widths.max(initial=0)), np.arange(n)
     for selector in range(14, 0, -1):
         count, bits = int(COUNTS[selector]), int(BITS[selector])
-        above = np.concatenate([[0], np.cumsum(widths > bits)])
-        ends = np.minimum(np.arange(n) + count, n)  # a block's last word may hold fewer
-        chosen[above[ends] == above[:-1]] = selector
+        if selector > 1 and BITS[selector - 1] >= most:
+            continue  # the next selector takes every value as well, and more of them
+        large = np.flatnonzero(widths > bits)
+        if np.diff(large, prepend=-1, append=n).max() <= count:
+            continue  # nowhere so many small values in a row
+        # How many values from each place on are small; a block's last word may hold fewer.
+        free = np.append(large, n + count)[np.searchsorted(large, places)] - places
+        chosen[free >= count] = selector
     starts, at = [], 0
     steps = np.maximum(COUNTS[chosen], 1).tolist()
     while at < n:
@@ -88,14 +90,16 @@ def decode_block(words: np.ndarray, n: int) -> np.ndarray:
     for at in np.flatnonzero(selectors == 0).tolist():
         if not raw[at]:
             raw[at + 1] = True
-    counts = np.where(raw, 1, COUNTS[selectors])
+    selectors[raw] = 0  # whatever their bits look like
+    counts = np.maximum(COUNTS[selectors], 1)
+    counts[(selectors == 0) & ~raw] = 0
     first = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(int(first[-1]), np.uint64)
     out[first[:-1][raw]] = words[raw]
-    for selector in np.unique(selectors[~raw]).tolist():
+    for selector in np.unique(selectors).tolist():
         if not selector:
             continue
-        mine = np.flatnonzero((selectors == selector) & ~raw)
+        mine = np.flatnonzero(selectors == selector)
         bits = int(BITS[selector])
         mask = np.uint64((1 << bits) - 1)
         for k in range(int(COUNTS[selector])):

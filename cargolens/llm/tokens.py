@@ -1,17 +1,21 @@
 """Token ids of whole texts, with a cache of words.
 
-The tokenizer never joins across white space, so a text's ids are its words' ids one
-after the other. Words repeat, so each is encoded once and kept as bytes.
+The tokenizer lower-cases, never joins across white space, and takes a run of letters and the
+punctuation behind it apart. So a text's ids are its words' ids one after the other, and words
+that differ in case or in a full stop share their entry. Each word is encoded once and kept.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
-#: Words kept per Python worker, and the longest word that is kept.
-CACHED_WORDS = 400_000
-CACHED_BYTES = 48
+#: Words kept per Python worker, the longest word that is kept, and words encoded in one call.
+CACHED_WORDS, CACHED_BYTES, AT_ONCE = 250_000, 32, 2000
+_BEHIND_A_WORD = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[ \t\n\r\x0b\x0c]|$)")
 
 
 @lru_cache(maxsize=2)
@@ -19,48 +23,71 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def words_of(text: str) -> list[bytes]:
+    """Pieces of a text that are tokenized alike wherever they stand."""
+    raw = text.encode()
+    lower = raw.lower()  # ASCII letters only
+    if not raw.isascii():
+        # Marks that combine with a letter of one case only keep their text as it is.
+        if not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower.decode())):
+            return raw.split()
+    return _BEHIND_A_WORD.sub(rb" \1", lower).split()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, an end id after each text."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _singly(self, words: list[bytes]) -> dict[bytes, bytes]:
         import numpy as np
 
         found = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
-    def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        known = self._known
-        new = list({w for words in split for w in words if w not in known})
-        here = {}
-        for at in range(0, len(new), 20_000):
-            here.update(self._encode(new[at : at + 20_000]))
-        if len(known) < CACHED_WORDS:
-            known.update((w, b) for w, b in here.items() if len(w) <= CACHED_BYTES)
-        end = int(end_id).to_bytes(4, "little")
-        look = ChainedLookup(here, known).__getitem__ if here else known.__getitem__
-        return [b"".join(map(look, words)) + end for words in split]
-
-
-class ChainedLookup(dict):
-    """Words of this batch first found in the batch, else among those kept."""
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; runs of letters in one text, cut after the ids that end a word."""
+        import numpy as np
 
-    def __init__(self, here: dict[bytes, bytes], known: dict[bytes, bytes]) -> None:
-        super().__init__(here)
-        self._known = known
+        letters, out = [w for w in words if w.decode().isalpha()], {}
+        for at in range(0, len(letters), AT_ONCE):
+            some = letters[at : at + AT_ONCE]
+            [found] = self._tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self._final[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                out.update(zip(some, (data[a:b] for a, b in pairwise([0, *ends])), strict=True))
+        rest = [w for w in words if w not in out]
+        for at in range(0, len(rest), AT_ONCE):
+            out.update(self._singly(rest[at : at + AT_ONCE]))
+        return out
 
-    def __missing__(self, word: bytes) -> bytes:
-        return self._known[word]
+    def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        end, out, known = int(end_id).to_bytes(4, "little"), [], self._known
+        for at in range(0, len(texts), 500):
+            split = [words_of(t or "") for t in texts[at : at + 500]]
+            found = [list(map(known.get, words)) for words in split]
+            gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+            here = self._encode(list({words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}))
+            for words, ids, gap in zip(split, found, gaps, strict=True):
+                for i in gap:
+                    ids[i] = here[words[i]]
+                out.append(b"".join(ids) + end)
+            if len(known) < CACHED_WORDS:
+                known.update((w, ids) for w, ids in here.items() if len(w) <= CACHED_BYTES)
+        return out
 
 
 def encoder(path: str) -> Encoder:
     """The encoder of this process for a tokenizer file."""
     return _encoder(path)
-
