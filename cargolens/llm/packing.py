@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.shared import stored, sums_before
+from cargolens.llm.shared import slices, stored, sums_before
 from cargolens.llm.tokens import encoder
 
 PIECES = (
@@ -35,7 +35,7 @@ def tokenize(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, ahead = encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches):
             ids = encode(batch.column(2).to_pylist(), end_id)
             sources = batch.column(1).to_pylist()
             before = []
@@ -163,7 +163,7 @@ def pack(
     rows = rows.select("id", "source", "queue", (F.col("base_n") + F.col("before")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(9)]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc, source, name, at, n, data = row

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.shared import buckets_for, shared_folder, stored, sums_before
+from cargolens.llm.shared import buckets_for, shared_folder, slices, stored, sums_before
 from cargolens.llm.tokens import encoder
 
 MAGIC = b"S8BT0001"
@@ -170,7 +170,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, keys, ids, part = encoder(tokenizer), [], [], None
-        for batch in batches:
+        for batch in slices(batches):
             part = batch.column(2)[0].as_py() if batch.num_rows and part is None else part
             keys += batch.column(0).to_pylist()
             ids += encode(batch.column(1).to_pylist(), end_id)

@@ -1,21 +1,37 @@
 """Token ids of whole texts, with a cache of words.
 
 The tokenizer lower-cases, never joins across white space, and takes a run of letters and the
-punctuation behind it apart. So a text's ids are its words' ids one after the other, and words
-that differ in case or in a full stop share their entry. Each word is encoded once and kept.
+punctuation behind it apart. So a text's ids are its words' ids one after the other. Each word
+is encoded once and kept; words that differ in case share their entry, and a word with a full
+stop is put together from its two parts.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import unicodedata
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 #: Words kept per Python worker, the longest word that is kept, and words encoded in one call.
-CACHED_WORDS, CACHED_BYTES, AT_ONCE = 250_000, 32, 2000
-_BEHIND_A_WORD = re.compile(rb"(?<=[a-z])([.,;:!?]+)(?=[ \t\n\r\x0b\x0c]|$)")
+CACHED_WORDS, CACHED_BYTES, AT_ONCE = 600_000, 32, 1000
+_CLOSING = b".,;:!?"
+
+
+def _byte_letters() -> str:
+    """The letter by which byte-level vocabularies write each byte: itself if it is printed.
+
+    The blank stays, as it parts words.
+    """
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    letters = [chr(b if b in printed else next(others)) for b in range(256)]
+    letters[0x20] = " "
+    return "".join(letters)
+
+
+_LETTERS_AND_BLANK = _byte_letters()
 
 
 @lru_cache(maxsize=2)
@@ -23,6 +39,12 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _parted(word: bytes) -> tuple[bytes, bytes] | None:
+    """A word that ends in a letter or digit, and the marks behind it."""
+    bare = word.rstrip(_CLOSING)
+    return (bare, word[len(bare) :]) if bare != word and bare and bare.decode()[-1].isalnum() else None
+
+
 def words_of(text: str) -> list[bytes]:
     """Pieces of a text that are tokenized alike wherever they stand."""
     raw = text.encode()
@@ -31,7 +53,7 @@ def words_of(text: str) -> list[bytes]:
         # Marks that combine with a letter of one case only keep their text as it is.
         if not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower.decode())):
             return raw.split()
-    return _BEHIND_A_WORD.sub(rb" \1", lower).split()
+    return lower.split()
 
 
 class Encoder:
@@ -43,6 +65,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            bare = json.load(file) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        # The same merges without the steps that change nothing in lower-case letters.
+        self._merges = Tokenizer.from_str(json.dumps(bare))
         vocabulary = self._tokenizer.get_vocab()
         self._final = np.zeros(max(vocabulary.values()) + 1, bool)
         self._final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -58,10 +84,12 @@ class Encoder:
         """Ids of words; runs of letters in one text, cut after the ids that end a word."""
         import numpy as np
 
-        letters, out = [w for w in words if w.decode().isalpha()], {}
+        out: dict[bytes, bytes] = {}
+        letters = [w for w in words if (t := w.decode()).isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)]
         for at in range(0, len(letters), AT_ONCE):
             some = letters[at : at + AT_ONCE]
-            [found] = self._tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            text = b" ".join(some).decode("latin-1").translate(_LETTERS_AND_BLANK)
+            [found] = self._merges.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             ends = (4 * (np.flatnonzero(self._final[ids]) + 1)).tolist()
             if len(ends) == len(some):
@@ -72,19 +100,25 @@ class Encoder:
             out.update(self._singly(rest[at : at + AT_ONCE]))
         return out
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of ``words`` into the cache, those of closed words part by part."""
+        known = self._known
+        closed = {w: pair for w in words if (pair := _parted(w))}
+        parts = {part for pair in closed.values() for part in pair}
+        known.update(self._encode(list((words - closed.keys() | parts).difference(known))))
+        known.update((w, known[word] + known[marks]) for w, (word, marks) in closed.items())
+
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
         end, out, known = int(end_id).to_bytes(4, "little"), [], self._known
         for at in range(0, len(texts), 500):
             split = [words_of(t or "") for t in texts[at : at + 500]]
-            found = [list(map(known.get, words)) for words in split]
-            gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-            here = self._encode(list({words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}))
-            for words, ids, gap in zip(split, found, gaps, strict=True):
-                for i in gap:
-                    ids[i] = here[words[i]]
-                out.append(b"".join(ids) + end)
-            if len(known) < CACHED_WORDS:
-                known.update((w, ids) for w, ids in here.items() if len(w) <= CACHED_BYTES)
+            before = len(known)
+            self._learn(set().union(*split).difference(known))
+            out += [b"".join(map(known.__getitem__, words)) + end for words in split]
+            # New entries stand last; those that are long or too many go again.
+            for word in list(islice(reversed(known), len(known) - before)):
+                if len(known) > CACHED_WORDS or len(word) > CACHED_BYTES:
+                    del known[word]
         return out
 
 
