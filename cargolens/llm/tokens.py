@@ -3,20 +3,22 @@
 The tokenizer lower-cases, never joins across white space, and takes a run of letters and the
 punctuation behind it apart. So a text's ids are its words' ids one after the other. Each word
 is encoded once and kept; words that differ in case share their entry, and a word with a full
-stop is put together from its two parts.
+stop, a hyphen or digits is put together from its parts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from functools import lru_cache
-from itertools import islice, pairwise
+from itertools import chain, islice, pairwise
 
 #: Words kept per Python worker, the longest word that is kept, and words encoded in one call.
 CACHED_WORDS, CACHED_BYTES, AT_ONCE = 600_000, 32, 1000
 _CLOSING = b".,;:!?"
+_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_letters() -> str:
@@ -39,15 +41,22 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _parted(word: bytes) -> tuple[bytes, bytes] | None:
-    """A word that ends in a letter or digit, and the marks behind it."""
+def _parted(word: bytes) -> list[bytes]:
+    """The parts of a word that the tokenizer takes apart; one if that is not easily told."""
+    if word.isalpha():  # bytes know ASCII letters only
+        return [word]
+    if word.isascii():
+        plain = b"'" not in word and b"<|" not in word and word == word.lower()
+        return _PARTS.findall(word) if plain else [word]
     bare = word.rstrip(_CLOSING)
-    return (bare, word[len(bare) :]) if bare != word and bare and bare.decode()[-1].isalnum() else None
+    return [bare, word[len(bare) :]] if bare != word and bare.decode()[-1].lower().isalnum() else [word]
 
 
 def words_of(text: str) -> list[bytes]:
     """Pieces of a text that are tokenized alike wherever they stand."""
     raw = text.encode()
+    if b"<|" in raw:  # a special token is one in its own case only
+        return raw.split()
     lower = raw.lower()  # ASCII letters only
     if not raw.isascii():
         # Marks that combine with a letter of one case only keep their text as it is.
@@ -101,12 +110,12 @@ class Encoder:
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        """Put the ids of ``words`` into the cache, those of closed words part by part."""
+        """Put the ids of ``words`` into the cache, each put together from its parts."""
         known = self._known
-        closed = {w: pair for w in words if (pair := _parted(w))}
-        parts = {part for pair in closed.values() for part in pair}
-        known.update(self._encode(list((words - closed.keys() | parts).difference(known))))
-        known.update((w, known[word] + known[marks]) for w, (word, marks) in closed.items())
+        parted = {w: parts for w in words if len(parts := _parted(w)) > 1}
+        parts = set(chain.from_iterable(parted.values()))
+        known.update(self._encode(list((words - parted.keys() | parts).difference(known))))
+        known.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in parted.items())
 
     def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
         end, out, known = int(end_id).to_bytes(4, "little"), [], self._known

@@ -30,6 +30,13 @@ def test_ids(spark):
     assert Encoder(tokenizer())(ODD + texts, 1) == plain(ODD + texts)
 
 
+def test_ids_of_any_text():
+    signs = [*"aAbB'sT12.,!?-<|>éÉßǗ \t\n\x85\xa0\x1c½²中ǅİΣσ_€$%", "<|endoftext|>", "<|ENDOFTEXT|>", " don't", " A1-b2."]
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 20))) for _ in range(4000)]
+    assert Encoder(tokenizer())(texts, 1) == plain(texts)
+
+
 @pytest.mark.parametrize("top", [2, 1000, 1 << 16, 1 << 33, (1 << 64) - 1])
 def test_code_round_trip(top):
     rng = random.Random(top)
