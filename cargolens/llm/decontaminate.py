@@ -1,20 +1,25 @@
 """Benchmark passages in documents, also with other numbers, names or units in them.
 
-Texts become templates: words in lower case, with typed placeholders for numbers, names and
-units. Windows of template words are hash-joined. A document holds an item if it has most of
-the item's windows, and if each value that the item has in a placeholder stands for one value
-in the document throughout. Built-in functions only.
+Texts are read in two forms: plain words with case folded, and templates with typed
+placeholders for numbers, names and units. Windows of
+either form are hash-joined and tell where an item may lie. There the item is laid beside the
+document, word by word, and the words that agree are counted, so that an edit costs its own
+words only. In a placeholder each of the item's values must stand for one value in the document
+throughout. Built-in functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm.shared import stored
 
-#: Words of a window, the least share of an item's windows, and the shortest item looked for.
-WINDOW, SHARE, SHORTEST = 8, 0.8, 5
+#: Words of a window, the least share of an item's words, the shortest item looked for, and
+#: the shortest run of agreeing words that counts (also the shortest template).
+WINDOW, SHARE, SHORTEST, RUN = 5, 0.8, 5, 3
+PLAIN, TYPED = "plain", "typed"
+NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Measures that become ``<unit>`` (fixed words).
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
@@ -27,35 +32,50 @@ UNITS = (
 )
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text: letters, digits and signs of money or percent."""
-    return F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}%$€£]+", " ")), " ")
+def spaced(text: Column) -> Column:
+    """Words of a text between single spaces: letters, digits and signs of money or percent."""
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}%$€£]+", " "))
+
+
+def plain_of(text: Column) -> Column:
+    """The words with case folded."""
+    return F.split(F.lower(F.upper(spaced(text))), " ")
+
+
+def typed_of(text: Column) -> Column:
+    """The words; a number's end with U+0002 and a name's with U+0001."""
+    marked = spaced(text)
+    for first, mark in ((r"[\p{Lu}\p{Lt}]", "\u0001"), ("[0-9$€£]", "\u0002")):
+        marked = F.regexp_replace(marked, f"(?<![^ ])({first}[^ ]*)", f"$1{mark}")
+    return F.split(marked, " ")
 
 
 def template_of(word: Column) -> Column:
-    """A word's place in a template; the same word gives the same wherever it stands."""
-    first = F.substring(word, 1, 1)
-    number = first.between("0", "9") | first.isin("$", "€", "£")
-    name = F.lower(first) != first
+    """A typed word's place in a template; the same word gives the same wherever it stands."""
     return (
-        F.when(number, F.lit("<num>"))
-        .when(name, F.lit("<name>"))
-        .when(word.isin(*UNITS), F.lit("<unit>"))
+        F.when(word.endswith("\u0002"), F.lit(NUM))
+        .when(word.endswith("\u0001"), F.lit(NAME))
+        .when(word.isin(*UNITS), F.lit(UNIT))
         .otherwise(F.lower(word))
     )
 
 
-def windows_of(words: Column, size: int) -> Column:
-    """Hashes of the template windows of ``size`` words, in order."""
-    hashes = F.transform(words, lambda w: F.xxhash64(template_of(w)))
+def templates_of(words: Column, form: str) -> Column:
+    return F.transform(words, template_of) if form == TYPED else words
+
+
+def windows_of(words: Column, form: str, size: int) -> Column:
+    """Place and hash of every window of ``size`` words, in order; none for a shorter text."""
+    hashes = F.transform(words, lambda w: F.xxhash64(template_of(w) if form == TYPED else w))
 
     def window(h: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(h) - size)
-        return F.transform(places, lambda i: F.xxhash64(F.lit(size), *(h[i + k] for k in range(size))))
+        key = F.lit(f"{form} {size}")
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(key, *(h[i + k] for k in range(size))).alias("hash")))
 
     # The hashes are bound once; written out, they would be computed for every window.
     bound = F.transform(F.array(hashes), window)[0]
-    return F.when(F.size(words) >= size, bound)
+    return F.coalesce(F.when(F.size(words) >= size, bound), F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,21 +85,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).where(F.col("text").isNotNull())
 
 
-def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """Each item's windows: item, size (words of a window), at, hash, values (the words)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(text_col)).alias("words"))
-    items = items.where(F.size("words") >= SHORTEST).distinct()
+def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """Each item in both forms: item_id, form, words, templates, spans (begin and width in plain
+    words), n (plain words), size (words of a window)."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    items = items.withColumn("plain", plain_of(F.col("text"))).where(F.size("plain") >= SHORTEST).distinct()
     out = None
-    for size in range(SHORTEST, window + 1):
-        fits = F.size("words") >= size if size == window else F.size("words") == size
-        part = items.where(fits).select(
-            "item_id", "words", F.posexplode(windows_of(F.col("words"), size)).alias("at", "hash")
-        )
-        part = part.select(
-            "item_id", F.lit(size).alias("size"), "at", "hash", F.slice("words", F.col("at") + 1, size).alias("values")
-        )
+    for form, words in ((PLAIN, F.col("plain")), (TYPED, typed_of(F.col("text")))):
+        part = items.select("item_id", F.lit(form).alias("form"), words.alias("words"), F.size("plain").alias("n"))
+        part = part.withColumn("templates", templates_of(F.col("words"), form))
         out = part if out is None else out.unionAll(part)
-    return out
+    # A run has a mark after each of its words.
+    width = lambda w: F.greatest(F.lit(1), F.length(F.regexp_replace(w, "[^\u0001\u0002]", "")))
+    out = out.withColumn("widths", F.transform("words", width))
+    begin = lambda w, i: F.struct(F.aggregate(F.slice("widths", F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("begin"), w.alias("width"))
+    out = out.withColumn("spans", F.transform("widths", begin)).drop("widths")
+    return out.where(F.size("words") >= RUN).withColumn("size", F.least(F.lit(window), F.size("words")))
 
 
 def leaks(
@@ -94,73 +115,94 @@ def leaks(
 ) -> DataFrame:
     """Documents that hold a benchmark item: k1, k2 (keys of the row), doc_id, item_id, coverage, kind.
 
-    ``coverage`` is the share of the item's distinct windows that the document has with
-    consistent values; ``kind`` is ``same`` if all values are the item's, else ``other values``.
-    Items shorter than ``window`` words count as one window; those under five words, null or
-    empty ones are not looked for. Null and empty documents hold nothing. Repeated rows and
-    items with equal texts are each reported (equal rows once). Other columns are not read.
+    ``coverage`` is the share of the item's words that the document has, in runs of at least
+    ``RUN``, where a window of ``window`` words agrees in the same alignment; ``kind`` is
+    ``same`` if all values are the item's, else ``other values``. Case never matters to
+    words that are compared plainly. Forms shorter than ``window`` words are one window;
+    items under five words, null or empty ones are not looked for, and templates under
+    ``RUN`` words say nothing, so such items are looked for plainly only. Null and empty documents
+    hold nothing. Repeated rows and items with equal texts are each reported (equal rows
+    once). Other columns are not read.
 
-    A document with ``share`` of an item's windows has at least one of any set of more than
-    (1 - share) of them, so candidates come from each item's least common windows only, and
-    the whole check sees candidates alone.
+    All windows of an item are joined: a few edits can leave any one of them alone.
     """
-    items = stored(_item_windows(benchmark, item_col, item_text, window), "item-windows")
-    distinct = items.groupBy("item_id", "size", "hash").agg(F.min("at").alias("at"))
-    used = Window.partitionBy("hash")
-    rare = Window.partitionBy("item_id").orderBy("items", "at")
-    ranked = distinct.withColumn("items", F.count(F.lit(1)).over(used)).withColumns(
-        {"rank": F.row_number().over(rare), "n": F.count(F.lit(1)).over(Window.partitionBy("item_id"))}
-    )
-    sizes = [r[0] for r in items.select("size").distinct().collect()]
-    # Prefix filter: more windows than a holding document may lack.
-    seeds = stored(ranked.where(F.col("rank") <= F.floor((1 - share) * F.col("n") + 1e-9) + 1).select("item_id", "hash"), "seeds")
-
+    items = stored(_items(benchmark, item_col, item_text, window), "items")
+    sizes = sorted((r[0], r[1]) for r in items.select("form", "size").distinct().collect())
     rows = _keyed(docs, id_col, text_col)
-    words = rows.select("k1", "k2", "doc_id", words_of(F.col("text")).alias("words"))
-    empty = F.array().cast("array<bigint>")
-
-    def exploded(frame: DataFrame, size: int) -> DataFrame:
-        return frame.select("k1", "k2", "doc_id", "words", F.posexplode(windows_of(F.col("words"), size)).alias("at", "hash"))
-
-    every = F.array_distinct(F.concat(*(F.coalesce(windows_of(F.col("words"), s), empty) for s in sorted(sizes)))) if sizes else empty
-    found = words.select("k1", "k2", F.explode(every).alias("hash")).join(seeds, "hash")
-    pairs = stored(found.select("k1", "k2", "item_id").distinct(), "pairs")
-
-    holders = words.join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    hits = None
-    for size in sorted(sizes):
-        part = exploded(holders, size).select(
-            "k1", "k2", "doc_id", "at", "hash", F.slice("words", F.col("at") + 1, size).alias("here")
+    if not sizes:
+        none = rows.limit(0).select("k1", "k2", "doc_id")
+        return none.select("*", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit("").alias("kind"))
+
+    told = None
+    for form, size in sizes:
+        part = items.where((F.col("form") == form) & (F.col("size") == size))
+        part = part.select("item_id", "form", F.explode(windows_of(F.col("words"), form, size)).alias("w"))
+        told = part if told is None else told.unionAll(part)
+    told = stored(told.select("item_id", "form", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash")), "item-windows")
+
+    def read(frame: DataFrame) -> DataFrame:
+        return frame.select("k1", "k2", "doc_id", plain_of(F.col("text")).alias(PLAIN), typed_of(F.col("text")).alias(TYPED))
+
+    every = F.concat(*(windows_of(F.col(form), form, size) for form, size in sizes))
+    found = read(rows).select("k1", "k2", F.explode(every).alias("w")).select("k1", "k2", "w.at", "w.hash").join(told, "hash")
+    place = ["k1", "k2", "item_id", "form"]
+    shifts = stored(found.select(*place, (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "shifts")
+
+    holders = rows.join(shifts.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").distinct()
+    here = F.when(F.col("form") == PLAIN, F.col(PLAIN)).otherwise(F.col(TYPED)).alias("doc_words")
+    laid = shifts.join(read(holders), ["k1", "k2"]).select("doc_id", *place, "shift", here).join(items, ["item_id", "form"])
+    last = F.size("words") - 1
+
+    def beside(word: Column, j: Column) -> Column:
+        """An item's word and the document's beside it; a run that goes on beyond the item is cut."""
+        ours = F.get("doc_words", j + F.col("shift"))
+        longer = ((j == 0) & ours.endswith(word)) | ((j == last) & ours.startswith(word))
+        template = F.when(F.col("form") == TYPED, template_of(ours)).otherwise(ours)
+        slot = (F.col("form") == TYPED) & F.col("templates")[j].isin(NUM, NAME, UNIT)
+        return F.struct(
+            F.coalesce(F.col("templates")[j] == template, F.lit(False)).alias("agrees"),
+            slot.alias("slot"),
+            word.alias("theirs"),
+            F.when(longer, word).otherwise(ours).alias("ours"),
+            j.alias("j"),
         )
-        hits = part if hits is None else hits.unionAll(part)
-    if hits is None:
-        hits = words.select("k1", "k2", "doc_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"), F.col("words").alias("here"))
-    told = items.select("item_id", F.col("at").alias("item_at"), "hash", "values")
-    hits = hits.join(pairs, ["k1", "k2"]).join(told, ["item_id", "hash"])
-    hits = hits.withColumn("shift", F.col("at") - F.col("item_at"))
-
-    place = ["k1", "k2", "doc_id", "item_id", "shift"]
-    slots = hits.select(*place, F.explode(F.arrays_zip("values", "here")).alias("slot")).select(
-        *place, F.col("slot.values").alias("theirs"), F.col("slot.here").alias("ours")
-    )
-    slots = slots.where(template_of(F.col("theirs")).isin("<num>", "<name>", "<unit>")).distinct()
-    odd = slots.groupBy(*place, "theirs").agg(F.count(F.lit(1)).alias("values"), F.max(F.col("theirs") != F.col("ours")).alias("other"))
-    odd = odd.groupBy(*place).agg(F.max("values").alias("values"), F.max("other").alias("other"))
-    held = hits.select(*place, "hash").distinct().join(
-        odd.withColumnsRenamed({c: f"o_{c}" for c in place}),
-        F.expr("k1 = o_k1 AND k2 = o_k2 AND doc_id <=> o_doc_id AND item_id <=> o_item_id AND shift = o_shift"),
-        "left",
-    )
-    held = held.where(F.coalesce(F.col("values"), F.lit(1)) == 1)
-    # One row per pair and window, so that a window met at two places counts once.
-    held = held.groupBy("k1", "k2", "doc_id", "item_id", "hash").agg(F.min(F.coalesce("other", F.lit(False))).alias("other"))
-    held = held.groupBy("k1", "k2", "doc_id", "item_id").agg(F.count(F.lit(1)).alias("got"), F.max("other").alias("other"))
-    totals = distinct.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def in_runs(slots: Column) -> Column:
+        def in_run(slot: Column, j: Column) -> Column:
+            runs = F.lit(False)
+            for first in range(1 - RUN, 1):
+                run = slot["agrees"]
+                for k in range(first, first + RUN):
+                    run = run & F.coalesce(F.get(slots, j + k)["agrees"], F.lit(False))
+                runs = runs | run
+            return runs
+
+        return F.filter(slots, in_run)
+
+    def consistent(held: Column) -> Column:
+        # Values at an item's ends may belong to a run that the document begins before or ends after it.
+        inner = lambda s: s["slot"] & (((s["j"] > 0) & (s["j"] < last)) | (s["theirs"] == s["ours"]))
+        values = F.array_distinct(F.transform(F.filter(held, inner), lambda s: F.struct(s["theirs"].alias("theirs"), s["ours"])))
+        single = lambda v: F.size(F.array_distinct(F.transform(v, lambda x: x["theirs"]))) == F.size(v)
+        return F.when(F.transform(F.array(values), single)[0], held)
+
+    # Each step's array is bound once, as in windows_of.
+    held = F.transform(F.array(F.transform("words", beside)), in_runs)[0]
+    held = F.transform(F.array(held), consistent)[0]
+    laid = laid.select("doc_id", *place, "shift", "n", "spans", held.alias("held"))
+
+    words = laid.select("k1", "k2", "doc_id", "item_id", "n", "spans", F.explode("held").alias("s"))
+    other = F.col("s.slot") & (F.col("s.theirs") != F.col("s.ours"))
+    span = F.col("spans")[F.col("s.j")]
+    spread = F.sequence(span["begin"], span["begin"] + span["width"] - 1)
+    words = words.select("k1", "k2", "doc_id", "item_id", "n", other.alias("other"), F.explode(spread).alias("word"))
+    # One row per pair and word, so that a word met at two places counts once.
+    pair = ["k1", "k2", "doc_id", "item_id", "n"]
+    held = words.groupBy(*pair, "word").agg(F.min("other").alias("other"))
+    held = held.groupBy(*pair).agg(F.count(F.lit(1)).alias("got"), F.max("other").alias("other"))
     kind = F.when(F.col("other"), "other values").otherwise("same")
-    return (
-        held.join(totals, "item_id")
-        .where(F.col("got") >= share * F.col("n") - 1e-9)
-        .select("k1", "k2", "doc_id", "item_id", (F.col("got") / F.col("n")).alias("coverage"), kind.alias("kind"))
+    return held.where(F.col("got") >= share * F.col("n") - 1e-9).select(
+        "k1", "k2", "doc_id", "item_id", (F.col("got") / F.col("n")).alias("coverage"), kind.alias("kind")
     )
 
 

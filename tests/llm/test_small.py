@@ -191,6 +191,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_leaks_in_other_case(spark):
+    first = "A train leaves Berlin at 9 and drives 120 km. To reach the old harbour of Kiel before noon, How fast is it?"
+    filler = "some more words"
+    docs = [(1, f"{filler} {first.upper()} {filler}".upper()), (2, f"{filler} {first.lower()} {filler}"), (3, first.title()), (4, filler)]
+    bench = spark.createDataFrame([(1, first)], "item_id long, text string")
+    got = {r["doc_id"]: (r["coverage"], r["kind"]) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    assert got == {1: (1.0, "same"), 2: (1.0, "same"), 3: (1.0, "same")}
+
+
 def test_licences(spark):
     rng = random.Random(6)
     notices = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.",
