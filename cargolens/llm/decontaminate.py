@@ -1,7 +1,7 @@
 """Benchmark passages in documents, also with other numbers, names or units in them.
 
 Texts are read in two forms: plain words with case folded, and templates with typed
-placeholders for numbers, names and units. Windows of
+placeholders for numbers, names and units, a run of numbers or names being one. Windows of
 either form are hash-joined and tell where an item may lie. There the item is laid beside the
 document, word by word, and the words that agree are counted, so that an edit costs its own
 words only. In a placeholder each of the item's values must stand for one value in the document
@@ -43,10 +43,11 @@ def plain_of(text: Column) -> Column:
 
 
 def typed_of(text: Column) -> Column:
-    """The words; a number's end with U+0002 and a name's with U+0001."""
+    """The words; a number's end with U+0002 and a name's with U+0001, and runs of either are one word."""
     marked = spaced(text)
     for first, mark in ((r"[\p{Lu}\p{Lt}]", "\u0001"), ("[0-9$€£]", "\u0002")):
         marked = F.regexp_replace(marked, f"(?<![^ ])({first}[^ ]*)", f"$1{mark}")
+        marked = F.regexp_replace(marked, f"{mark} (?={first})", mark)
     return F.split(marked, " ")
 
 

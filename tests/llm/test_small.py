@@ -200,6 +200,26 @@ def test_leaks_in_other_case(spark):
     assert got == {1: (1.0, "same"), 2: (1.0, "same"), 3: (1.0, "same")}
 
 
+def test_leaks_with_edits_and_longer_values(spark):
+    item = "On Monday Anna Smith paid 80 euros for the green lamp and then gave it to her brother Paul"
+    docs = [
+        (1, "words before this " + item.replace("green", "small") + " words after this"),
+        (2, item.replace("green lamp", "green old lamp")),
+        (3, item.replace("Anna Smith", "Tom").replace("Paul", "Jean Luc Martin").replace("80", "1,250")),
+        (4, item.replace("80", "3.5").replace("euros", "dollars")),
+        (5, "Answer Tom met us and " + item.replace("Anna Smith", "Maria de Souza")),
+        (6, "On Monday Anna Smith paid 80 euros for a big red car but kept all of it from our uncle Paul"),
+    ]
+    twice = "Tom has 5 pears and eats 3 of the 5 pears before Tom leaves"
+    docs += [(7, "Question 2: " + twice), (8, "Hear: Anna has 7 pears and eats 2 of the 7 pears before Anna leaves")]
+    docs += [(9, "Anna has 7 pears and eats 2 of the 8 pears before Bob leaves")]
+    bench = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["kind"]) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    assert {1, 2, 3, 4, 5} == {d for d, i in got if i == 1} and {7, 8} == {d for d, i in got if i == 2}
+    assert got[1, 1] == (18 / 19, "same") and got[2, 1] == (1.0, "same") and got[3, 1] == got[4, 1] == (1.0, "other values")
+    assert got[7, 2] == (1.0, "same") and got[8, 2] == (1.0, "other values")
+
+
 def test_licences(spark):
     rng = random.Random(6)
     notices = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.",
