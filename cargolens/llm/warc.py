@@ -1,15 +1,17 @@
 """WARC archives of pages: a writer with revisit records and a reader that salvages damage.
 
-Every record is a gzip member of its own. The reader checks each member (gzip checksum and
-length, version line, header, content length, block digest). Where a check fails it searches
-for the next place at which a whole record passes all checks, goes on from there, and logs the
-bytes it left out. Archives without compression are read the same way, by version lines.
+Every record is written as a gzip member of its own. The reader takes members of any number of
+records and records without compression, also mixed, and checks each (gzip checksum and length,
+version line, header, content length, block digest). Where a check fails it searches for the
+next member or version line at which a whole record passes all checks, goes on from there, and
+logs the bytes it left out. A member that fails its own checksum is left out whole.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +26,8 @@ from cargolens.llm.simple8b import opened
 
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
+LINE = b"WARC/1."
+_MARK = re.compile(re.escape(MEMBER) + b"|" + re.escape(LINE))
 #: Bytes of one archive's payloads, about; and bytes read at a time.
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 20
@@ -70,7 +74,7 @@ def member(data: bytes) -> bytes:
 
 @dataclass(frozen=True)
 class Record:
-    """A record that passed all checks, with the place of its first byte."""
+    """A record that passed all checks, with the place of its first byte, or of its member's."""
 
     position: int
     header: dict[str, str]
@@ -79,7 +83,10 @@ class Record:
 
 @dataclass(frozen=True)
 class Gap:
-    """Bytes from ``begin`` to ``end`` of an archive that belong to no good record."""
+    """Bytes from ``begin`` to ``end`` of an archive that belong to no good record.
+
+    For a whole member in which some records are good, the range is the member's.
+    """
 
     begin: int
     end: int
@@ -116,20 +123,30 @@ class _Window:
             if not self.fill():
                 return -1
 
+    def mark(self, at: int) -> int:
+        """The next place of either mark."""
+        while True:
+            found = _MARK.search(self.data, at)
+            if found:
+                return found.start()
+            at = max(at, len(self.data) - len(LINE) + 1)
+            if not self.fill():
+                return -1
+
     def forget(self, n: int) -> None:
         del self.data[:n]
         self.start += n
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Header of a record that begins with ``data``, begin of its block, and block length."""
-    if not data.startswith(b"WARC/1."):
+def _parse(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], int, int]:
+    """Header of the record that begins at ``at``, begin of its block, and block length."""
+    if not data.startswith(LINE, at):
         raise _Damaged("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise _Damaged("header without end")
     header = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in bytes(data[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise _Damaged("header line without colon")
@@ -147,8 +164,8 @@ def _checked(position: int, header: dict[str, str], block: bytes) -> Record:
     return Record(position, header, block)
 
 
-def _member(window: _Window, at: int) -> tuple[Record, int]:
-    """The record in the gzip member at ``at``, and the member's end."""
+def _member(window: _Window, at: int) -> tuple[list[Record], int, str]:
+    """The good records in the gzip member at ``at``, its end, and why others are not good."""
     reader, out, place = zlib.decompressobj(31), bytearray(), at
     while not reader.eof:
         piece = window.reach(place, 1 << 16)
@@ -159,18 +176,28 @@ def _member(window: _Window, at: int) -> tuple[Record, int]:
         except zlib.error as error:
             raise _Damaged("damaged member") from error
         place += len(piece)
-        if len(out) >= 7 and not out.startswith(b"WARC/1."):
+        if len(out) >= 7 and not out.startswith(LINE):
             raise _Damaged("no version line")
-    header, begin, length = _parse(bytes(out))
-    if len(out) != begin + length + 4 or out[-4:] != b"\r\n\r\n":
-        raise _Damaged("record and content length differ")
-    end = place - len(reader.unused_data)
-    return _checked(window.start + at, header, bytes(out[begin : begin + length])), end
+    records, reason, begin = [], "", 0
+    while not begin or 0 < begin < len(out):
+        try:
+            header, block, length = _parse(out, begin)
+            end = block + length + 4
+            if out[end - 4 : end] != b"\r\n\r\n" or len(out) < end:
+                raise _Damaged("record and content length differ")
+            records.append(_checked(window.start + at, header, bytes(out[block : block + length])))
+            begin = end
+        except _Damaged as error:
+            reason = reason or str(error)
+            begin = out.find(LINE, begin + 1)
+    if not records:
+        raise _Damaged(reason)
+    return records, place - len(reader.unused_data), reason
 
 
-def _plain(window: _Window, at: int) -> tuple[Record, int]:
+def _plain(window: _Window, at: int) -> tuple[list[Record], int, str]:
     """The uncompressed record at ``at``, and its end."""
-    if window.reach(at, 7) != b"WARC/1.":
+    if window.reach(at, 7) != LINE:
         raise _Damaged("no version line")
     end = window.find(b"\r\n\r\n", at)
     if end < 0:
@@ -179,35 +206,33 @@ def _plain(window: _Window, at: int) -> tuple[Record, int]:
     block = window.reach(at + begin, length + 4)
     if len(block) != length + 4 or block[-4:] != b"\r\n\r\n":
         raise _Damaged("record and content length differ")
-    return _checked(window.start + at, header, block[:-4]), at + begin + length + 4
+    return [_checked(window.start + at, header, block[:-4])], at + begin + length + 4, ""
 
 
 def salvage(source) -> Iterator[Record | Gap]:
     """Good records of an open archive in order, and the gaps between them.
 
-    An empty archive gives nothing. After a failed check every later mark is tried until a
-    whole record passes; bytes up to there are one gap with the reason of the first failure.
+    An empty archive gives nothing. After a failed check every later mark, of a member or of
+    a record without compression, is tried by the reader that fits it until a whole record
+    passes; bytes up to there are one gap with the reason of the first failure.
     """
     window, reason = _Window(source), ""
     begin = at = 0  # from the window's start: where the gap began, and the place to try
-    plain: bool | None = None
     while window.reach(at, 1):
-        if plain is None:
-            head = window.reach(0, CHUNK)
-            first = [head.find(m) for m in (MEMBER, b"WARC/1.")]
-            plain = first[1] >= 0 and not 0 <= first[0] < first[1]
-        mark = b"WARC/1." if plain else MEMBER
+        reader = _member if window.reach(at, len(MEMBER)) == MEMBER else _plain
         try:
-            found, end = (_plain if plain else _member)(window, at)
+            found, end, partly = reader(window, at)
         except _Damaged as error:
             reason = reason or str(error)
-            at = window.find(mark, at + 1)
+            at = window.mark(at + 1)
             if at < 0:
                 break
             continue
         if at > begin:
             yield Gap(window.start + begin, window.start + at, reason)
-        yield found
+        if partly:
+            yield Gap(window.start + at, window.start + end, partly)
+        yield from found
         window.forget(end)
         begin, at, reason = 0, 0, ""
     if window.data[begin:]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -145,6 +146,26 @@ def test_salvage(packed):
     assert list(warc.salvage(io.BytesIO(b""))) == []
 
 
+def test_salvage_of_either_kind():
+    def ids(data):
+        found = list(warc.salvage(io.BytesIO(data)))
+        return [r.header["x-page-id"] for r in found if isinstance(r, warc.Record)], [(g.begin, g.end) for g in found if isinstance(g, warc.Gap)]
+
+    packed = [warc.record(i, "u", b"text %d " % i * 50, warc.digest(b"x"), None, False) for i in range(4)]
+    plain = [gzip.decompress(p) for p in packed]
+    hurt = plain[0].replace(b"WARC/1.1", b"WERC/1.1").replace(b"text 0 ", gzip.compress(b"page"), 1)
+    assert ids(hurt + plain[1] + plain[2]) == (["1", "2"], [(0, len(hurt))])
+    junk = b"?" * (warc.CHUNK + 9)
+    assert ids(junk + plain[1] + plain[2]) == (["1", "2"], [(0, len(junk))])
+    assert ids(junk + packed[1] + packed[2]) == (["1", "2"], [(0, len(junk))])
+    assert ids(packed[0] + packed[1] + plain[2] + plain[3]) == (["0", "1", "2", "3"], [])
+    assert ids(plain[0] + b"?" + packed[1] + plain[2]) == (["0", "1", "2"], [(len(plain[0]), len(plain[0]) + 1)])
+    several = warc.member(b"".join(plain[:3]))
+    assert ids(several + packed[3]) == (["0", "1", "2", "3"], [])
+    partly = warc.member(plain[0] + plain[1].replace(b"text 1 text", b"text 1 test", 1) + plain[2])
+    assert ids(partly + packed[3]) == (["0", "2", "3"], [(0, len(partly))])
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows, labels = [], []
