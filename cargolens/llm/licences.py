@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,8 @@ NONE, UNKNOWN = "none", "unknown"
 #: Variants of a template, prose paragraphs and documents sampled for training, at most.
 VARIANTS, PROSE, SAMPLE_DOCS = 40, 1500, 400
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+#: What comments begin and end their lines with.
+_COMMENT = re.compile(r"^\s*(?:(?:dnl|rem)\s|\.\\\")?[\s/*#;%!<>|'\"-]*|[\s/*#;%!<>|-]*$", re.IGNORECASE)
 
 
 def grams(text: str) -> Counter:
@@ -177,15 +181,46 @@ def calibrate(prose: Sequence[str]) -> Model:
     return model
 
 
+@cache
+def _template_grams(family: str) -> tuple[Counter, ...]:
+    return tuple(grams(t) for t in TEMPLATES.get(family, ()))
+
+
 def similarity(found: Counter, family: str) -> float:
     """Largest share of a family's template that the paragraph holds, by n-grams."""
     best = 0.0
-    for template in TEMPLATES.get(family, ()):
-        own = grams(template)
+    for own in _template_grams(family):
         best = max(best, sum((own & found).values()) / max(1, sum(own.values())))
     return best
 
 
+def paragraphs(lines: Sequence[str]) -> Iterator[tuple[int, list[str]]]:
+    """First line's number and lines of each run of non-blank lines, comment marks stripped."""
+    begin, block = 0, []
+    for number, line in enumerate([*lines, ""]):
+        bare = _COMMENT.sub("", line)
+        if bare:
+            begin, block = (begin, block) if block else (number, [])
+            block.append(bare)
+        elif block:
+            yield begin, block
+            block = []
+
+
+def narrowed(block: list[str], family: str, least: float) -> tuple[int, int]:
+    """The lines of ``block``, begin and end, that still hold ``least`` of a family's template."""
+
+    def holds(begin: int, end: int) -> bool:
+        return similarity(grams(" ".join(block[begin:end])), family) >= least - 1e-9
+
+    # Fewer lines never hold more, so both ends are found by bisection.
+    end = 1 + bisect_left(range(1, len(block)), True, key=lambda n: holds(0, n))
+    begin = len(block) - 1 - bisect_left(range(len(block) - 1, 0, -1), True, key=lambda n: holds(n, end))
+    while begin and not holds(begin, end):
+        begin -= 1
+    return begin, end
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Train on the templates and on at most ``PROSE`` paragraphs of ``SAMPLE_DOCS`` documents.
 
@@ -203,7 +238,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.75) -> DataFrame:
     """Every row's ``doc_id``, ``licence``, ``probability``, ``similarity`` and all ``notices``.
 
-    Paragraphs are the lines of the whole text. A notice has its line number, its family or
+    Paragraphs are the lines of the whole text, each alone, and the runs of lines up to a blank
+    one, comment marks stripped, of which the lines with the notice are judged. A notice that is
+    confirmed over several lines takes the place of its lines' own, unless one of these is the
+    same family and as like the template. A notice has its (first) line number, its family or
     ``unknown``, the calibrated chance, and the share of the family's template that it holds;
     a family stands only if the template confirms it with ``confirm`` or more. ``licence`` is
     the likeliest notice's, ``none`` without one (null and empty texts too). Rows are judged
@@ -229,20 +267,61 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         name = family if share >= model.threshold and alike >= confirm else UNKNOWN
         return {"licence": name, "probability": share * licence if name != UNKNOWN else licence * (1 - share), "similarity": alike}
 
+    def wrapped(block: list[str]) -> list[tuple[int, int, dict]]:
+        """Notices over several lines of a paragraph: begin, end and notice."""
+        whole = " ".join(block)
+        words, found, out = set(_WORD.findall(whole.lower())), None, []
+        if known.isdisjoint(words):
+            return []
+        for family in TEMPLATES:
+            # A template's missing words alone are over what may be missing: skip the counting.
+            if all(sum(" " not in g and g not in words for g in own) > (1 - confirm) * sum(own.values()) for own in _template_grams(family)):
+                continue
+            found = found or grams(whole)
+            alike = similarity(found, family)
+            if alike < confirm:
+                continue
+            for least in (alike, confirm):
+                begin, end = narrowed(block, family, least)
+                notice = judge(" ".join(block[begin:end])) if end - begin > 1 else None
+                if notice and notice["licence"] == family:
+                    out.append((begin, end, notice))
+                    break
+        if not out:
+            notice = judge(whole)
+            out = [(0, len(block), notice)] if notice else []
+        return out
+
+    def merged(notices: list[dict], lines: list[str]) -> list[dict]:
+        for first, block in paragraphs(lines):
+            if len(block) == 1:
+                continue
+            for begin, end, notice in wrapped(block):
+                inside = [n for n in notices if first + begin <= n["line"] < first + end]
+                if notice["licence"] == UNKNOWN:
+                    better = bool(inside)
+                else:
+                    better = any(n["licence"] == notice["licence"] and n["similarity"] >= notice["similarity"] for n in inside)
+                if not better:
+                    gone = [n for n in inside if n["licence"] in (UNKNOWN, notice["licence"])]
+                    notices = [n for n in notices if n not in gone] + [{"line": first + begin, **notice}]
+        return sorted(notices, key=lambda n: n["line"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, dict | None] = {}
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 notices = []
-                for number, line in enumerate((text or "").split("\n")):
+                lines = (text or "").split("\n")
+                for number, line in enumerate(lines):
                     if line not in seen:
                         if len(seen) > 20_000:
                             seen.clear()
                         seen[line] = judge(line)
                     if seen[line]:
                         notices.append({"line": number, **seen[line]})
-                out.append(notices)
+                out.append(merged(notices, lines))
             best = [max(n, key=lambda x: (x["licence"] != UNKNOWN, x["probability"]), default=None) for n in out]
             arrays = [
                 batch.column(0),

@@ -254,3 +254,21 @@ def test_licences(spark):
     assert all(got[i] == "none" for i in [*range(60), 200, 201])
     assert got[202] in ("unknown", "none")
     assert licences.scan(docs.limit(0), licences.calibrate(["the river is near the town"])).count() == 0
+
+
+def test_wrapped_licences(spark):
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal",
+           "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute copies of the Software."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+           "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    rng = random.Random(7)
+    before, after = [prose(rng, 12) for _ in range(3)], [prose(rng, 12) for _ in range(3)]
+    rows = [(i, "\n".join(prose(rng, 30) for _ in range(3))) for i in range(60)]
+    rows += [(100, "\n".join(["Copyright (c) 2024", "", *mit])), (101, "\n".join(f"# {x}" for x in [*before, "", *bsd, "", *after])),
+             (102, "/*\n" + "\n".join(f" * {x}" for x in gpl) + "\n */\n"), (103, "\n".join([*before, *gpl, *after]))]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r for r in licences.scan(docs, licences.fit(docs)).collect()}
+    assert [got[100 + k]["licence"] for k in range(4)] == ["mit", "bsd-3-clause", "gpl-3.0", "gpl-3.0"]
+    assert [got[100 + k]["notices"][-1]["line"] for k in range(4)] == [2, 4, 1, 3]
+    assert all(got[i]["licence"] == "none" for i in range(60))
