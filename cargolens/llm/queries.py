@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cargolens.llm import (
     decontaminate,
     licences,
+    merkle,
     packing,
     quality,
     sharding,
@@ -96,6 +97,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_of(*others, F.col("text"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = merkle.leaf_of(*others, F.translate("text", letters, letters.lower()))
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("key"), leaf.alias("leaf"), F.when(third, tampered).otherwise(leaf).alias("claim"))
+    found = merkle.verified(merkle.witnesses(merkle.build(rows)))
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_template_leaks,
         op10_suffix_dedup,
+        op11_merkle_witnesses,
     )
 }
