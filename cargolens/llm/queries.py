@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import os
+import zlib
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.llm import (
+    bpe,
     decontaminate,
     licences,
     merkle,
     packing,
     quality,
+    runs,
     sharding,
     simhash,
     simple8b,
@@ -23,12 +27,10 @@ from cargolens.llm import (
 )
 from cargolens.llm.shared import text_bytes
 
-#: Where tokenizer files lie; the files are never copied.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer() -> str:
-    return os.path.join(TOKENIZERS, "word_bpe_49k.json")
+    """The tokenizer file of the queries; it stays where it is."""
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +114,37 @@ def op11_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer()), tokenizer())
+    n_tokens = F.expr("octet_length(ids) div 4").alias("n_tokens")
+    return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def planted_words(key: int | None, text: str | None) -> list[bytes]:
+    """The words of a text; in one document of ten they repeat from some place on."""
+    words = runs.split_words(key, text)
+    h = 1 if key is None else zlib.crc32(str(key).encode())
+    if h % 10 or not words:
+        return words
+    start = h // 10 % len(words)
+    rest = len(words) - start
+    period = 1 + rest // (3 + h // 10 % 8)
+    return words[:start] + (words[start : start + period] * (rest // period + 1))[:rest]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), words_of=planted_words)
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.*",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -126,5 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_template_leaks,
         op10_suffix_dedup,
         op11_merkle_witnesses,
+        op12_pair_index_bpe,
+        op13_periodic_runs,
     )
 }
