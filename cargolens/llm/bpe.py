@@ -16,7 +16,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from cargolens.llm.shared import slices
 from cargolens.llm.tokens import words_of
 
-#: Words and parts of words kept per Python worker, and the longest that is kept, in characters.
-CACHED, CACHED_CHARS = 600_000, 32
+#: Pieces of words kept per Python worker, and the longest that is kept, in bytes.
+CACHED, CACHED_BYTES = 300_000, 32
 #: Rows of a block, whose words are encoded together.
 BLOCK_ROWS = 2000
 #: Words of printed signs that no step changes but the splitter, its pieces, and signs that end a word.
 _ASCII_WORD = re.compile(rb"[!-&(-@\[-~]+")
-_ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _CLOSING = b".,;:!?%&$#*)"
 _END, _GONE = -1, -2  # symbols: behind a word, and merged into its left neighbour
 
@@ -50,22 +50,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b if b in printed else next(others)): b for b in range(256)}
 
 
-#: For each byte the letter that stands for it.
+#: For each byte the letter that stands for it, and back.
 _LETTERS = {b: c for c, b in _byte_letters().items()}
+_BYTES = {ord(c): b for c, b in _byte_letters().items()}
 
 
-def _plain_pieces(word: bytes) -> list[str] | None:
+def _plain_pieces(word: bytes) -> list[bytes] | None:
     """The pieces of a word of lower-case letters, digits and marks; None if it needs all steps."""
     if b"<|" in word:
         return None
     if word.isascii():
-        return _ASCII_PIECES.findall(word.decode()) if _ASCII_WORD.fullmatch(word) else None
+        return _ASCII_PIECES.findall(word) if _ASCII_WORD.fullmatch(word) else None
     bare = word.rstrip(_CLOSING)
     text = bare.decode()
     if not (text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
         return None
-    piece = bare.decode("latin-1").translate(_LETTERS)
-    return [piece, word[len(bare) :].decode()] if len(bare) < len(word) else [piece]
+    return [bare, word[len(bare) :]] if len(bare) < len(word) else [bare]
 
 
 def _is_word_level(file: dict) -> bool:
@@ -103,16 +103,22 @@ class Merges:
         self.parts = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
         self.width = max(self.vocab.values()) + 1
         self.rank = {a * self.width + b: r for r, (a, b, _) in enumerate(self.parts)}
+        letters = [_LETTERS[b] for b in range(256)]
+        self._inner = np.array([self.vocab[c] for c in letters])
+        self._final = np.array([self.vocab[c + self.suffix] for c in letters])
         keys = np.fromiter(self.rank, np.int64, len(self.rank))
         self._by_key = np.argsort(keys)
         self._keys = keys[self._by_key]
 
-    def _laid_out(self, pieces: list[str]) -> np.ndarray:
-        vocab, suffix, symbols = self.vocab, self.suffix, [_END]
-        for piece in pieces:
-            symbols += map(vocab.__getitem__, piece[:-1])
-            symbols += vocab[piece[-1] + suffix], _END
-        return np.array(symbols, np.int64)
+    def _laid_out(self, pieces: list[bytes]) -> np.ndarray:
+        """Symbols of the pieces' bytes, the last of each with the suffix, with ends between them."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        symbols = np.full(len(data) + len(pieces) + 1, _END, np.int64)
+        symbols[1 + np.arange(len(data)) + np.repeat(np.arange(len(pieces)), sizes)] = self._inner[data]
+        ends = np.cumsum(sizes)
+        symbols[ends + np.arange(len(pieces))] = self._final[data[ends - 1]]
+        return symbols
 
     def _occurrences(self, symbols: np.ndarray) -> dict[int, list]:
         """For each rank the positions at which its pair stands, in order."""
@@ -126,7 +132,7 @@ class Merges:
         cuts = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(ranks)]
         return {int(ranks[a]): [at[a:b]] for a, b in pairwise(cuts) if b > a}
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of non-empty pieces as little-endian unsigned 32-bit integers."""
         start = self._laid_out(pieces)
         lists, n = self._occurrences(start), len(start)
@@ -186,8 +192,7 @@ class Codec:
         self._merges, self._by_word = Merges(file["model"]), _is_word_level(file)
         self._names = {i: t for t, i in (file["model"]["vocab"] | self._added).items()}
         self._joined = self._decoder(file["decoder"])
-        self._words: dict[bytes, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
 
     def _decoder(self, settings: dict | None):
         if settings is None:
@@ -199,42 +204,51 @@ class Codec:
         raw = {i: bytes(map(letters.get, t)) if all(c in letters for c in t) else t.encode() for i, t in self._names.items()}
         return lambda ids: b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
 
-    def _parts(self, text: str) -> list[str | int]:
-        """The pieces of a text whose symbols merge, and ids of added tokens between them."""
-        cut = min(((at, -len(t), t) for t in self._added if (at := text.find(t)) >= 0), default=None)
-        out: list[str | int] = []
-        while cut is not None:
+    def _next_added(self, text: str) -> tuple[int, int, str] | None:
+        """Where the first added token stands in a text; the longest of those at one place."""
+        return min(((at, -len(t), t) for t in self._added if (at := text.find(t)) >= 0), default=None)
+
+    def _parts(self, text: str) -> list[bytes | int]:
+        """The pieces of a text whose symbols merge, as bytes, and ids of added tokens between them."""
+        out: list[bytes | int] = []
+        while (cut := self._next_added(text)) is not None:
             at, _, token = cut
             out += [*self._split(text[:at]), self._added[token]]
             text = text[at + len(token) :]
-            cut = min(((at, -len(t), t) for t in self._added if (at := text.find(t)) >= 0), default=None)
         return [*out, *self._split(text)]
 
-    def _split(self, text: str) -> list[str]:
+    def _split(self, text: str) -> list[bytes]:
         if self._normalizer is not None:
             text = self._normalizer.normalize_str(text)
-        return [piece for piece, _ in self._splitter.pre_tokenize_str(text) if piece]
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        """Put the ids of ``words`` into the cache; all pieces not met before are merged together."""
-        parts = {w: (self._by_word and _plain_pieces(w)) or self._parts(w.decode()) for w in words}
-        new = list({p for some in parts.values() for p in some if isinstance(p, str)}.difference(self._pieces))
-        self._pieces.update(zip(new, self._merges(new), strict=True))
-        for word, some in parts.items():
-            ids = (self._pieces[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in some)
-            self._words[word] = b"".join(ids)
+        pieces = self._splitter.pre_tokenize_str(text)
+        return [piece.translate(_BYTES).encode("latin-1") for piece, _ in pieces if piece]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null is an empty text."""
+        """Ids of each text as little-endian unsigned 32-bit integers; a null is an empty text.
+
+        All pieces that were not met before are merged together.
+        """
+        known = self._known
         split = [words_of(t or "") if self._by_word else [t.encode()] if t else [] for t in texts]
-        new = list(set().union(*split).difference(self._words))
-        self._learn(new)
-        out = [b"".join(map(self._words.__getitem__, words)) for words in split]
-        for word in new:
-            if len(self._words) > CACHED or len(word) > CACHED_CHARS:
-                del self._words[word]
-        if len(self._pieces) > CACHED:
-            self._pieces.clear()
+        parts: dict[bytes, list[bytes | int]] = {}
+        for word in set().union(*split):
+            some = _plain_pieces(word) if self._by_word else None
+            parts[word] = self._parts(word.decode()) if some is None else some
+        new = list({p for some in parts.values() for p in some if isinstance(p, bytes)}.difference(known))
+        known.update(zip(new, self._merges(new), strict=True))
+        ids = {
+            word: known[some[0]]
+            if len(some) == 1 and some[0] in known
+            else b"".join([known[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in some])
+            for word, some in parts.items()
+        }
+        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        room = CACHED - len(known) + len(new)
+        for piece in new:
+            if room <= 0 or len(piece) > CACHED_BYTES:
+                del known[piece]
+            else:
+                room -= 1
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -247,10 +261,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """``doc_id`` and ``ids`` (little-endian unsigned 32-bit integers) of every row's whole text.
 
-    A null or empty text has no ids. Ids may be null or repeat; each row is encoded alone. A very
+    With ``decoded`` the ids are decoded again where they are made, as ``text``. A null or empty text has no ids. Ids may be null or repeat; each row is encoded alone. A very
     long text, or a very long word, is one block by itself. Other columns are not read, whatever
     their names. An empty frame gives no rows. A tokenizer file that this encoder cannot follow
     raises ``UnsupportedVocabulary``.
@@ -258,11 +274,15 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BLOCK_ROWS):
-            found = codec(tokenizer).encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "ids"])
+            both = codec(tokenizer)
+            found = both.encode(batch.column(1).to_pylist())
+            columns = {"doc_id": batch.column(0), "ids": pa.array(found, pa.binary())}
+            if decoded:
+                columns["text"] = pa.array(map(both.decode, found), pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

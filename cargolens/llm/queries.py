@@ -115,7 +115,7 @@ def op11_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer()), tokenizer())
+    found = bpe.encode(table(spark, sf_dir, "documents"), tokenizer(), decoded=True)
     n_tokens = F.expr("octet_length(ids) div 4").alias("n_tokens")
     return found.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
