@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from cargolens.llm.shared import slices
 from cargolens.llm.tokens import words_of
 
-#: Pieces of words kept per Python worker, and the longest that is kept, in bytes.
-CACHED, CACHED_BYTES = 300_000, 32
+#: Pieces of words, and words of several pieces, kept per Python worker; the longest, in bytes.
+CACHED, CACHED_WORDS, CACHED_BYTES = 600_000, 400_000, 32
 #: Rows of a block, whose words are encoded together.
 BLOCK_ROWS = 2000
 #: Words of printed signs that no step changes but the splitter, its pieces, and signs that end a word.
@@ -193,6 +193,7 @@ class Codec:
         self._names = {i: t for t, i in (file["model"]["vocab"] | self._added).items()}
         self._joined = self._decoder(file["decoder"])
         self._known: dict[bytes, bytes] = {}
+        self._words: dict[bytes, bytes] = {}
 
     def _decoder(self, settings: dict | None):
         if settings is None:
@@ -228,21 +229,25 @@ class Codec:
 
         All pieces that were not met before are merged together.
         """
-        known = self._known
+        known, words = self._known, self._words
         split = [words_of(t or "") if self._by_word else [t.encode()] if t else [] for t in texts]
+        ids: dict[bytes, bytes] = {}
         parts: dict[bytes, list[bytes | int]] = {}
         for word in set().union(*split):
+            # A piece that stands alone is a word of that piece.
+            found = known.get(word) or words.get(word) if self._by_word else None
+            if found is not None:
+                ids[word] = found
+                continue
             some = _plain_pieces(word) if self._by_word else None
             parts[word] = self._parts(word.decode()) if some is None else some
-        new = list({p for some in parts.values() for p in some if isinstance(p, bytes)}.difference(known))
+        new = list({p for some in parts.values() for p in some if p.__class__ is bytes}.difference(known))
         known.update(zip(new, self._merges(new), strict=True))
-        ids = {
-            word: known[some[0]]
-            if len(some) == 1 and some[0] in known
-            else b"".join([known[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in some])
-            for word, some in parts.items()
-        }
-        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        for word, some in parts.items():
+            ids[word] = found = b"".join([known[p] if p.__class__ is bytes else p.to_bytes(4, "little") for p in some])
+            if found and some[0] != word and len(words) < CACHED_WORDS and len(word) <= CACHED_BYTES:
+                words[word] = found
+        out = [b"".join(map(ids.__getitem__, some)) for some in split]
         room = CACHED - len(known) + len(new)
         for piece in new:
             if room <= 0 or len(piece) > CACHED_BYTES:
