@@ -26,12 +26,17 @@ from cargolens.model import (
     UNKNOWN_ISIC,
     UNKNOWN_UNIT,
     DimensionError,
+    FACT_SCHEMA,
     FilterState,
+    MEASURES,
+    NotInRollup,
     TradeTables,
 )
 from cargolens.plans.filters import all_of, conditions
 
 ROW_COUNT = "REGISTROS"
+#: What a rollup is summed by. It holds sums of all measures and of the number of facts.
+ROLLUP_KEYS = ("FLUXO", "CO_ANO", "CO_MES", "CO_NCM", "CO_PAIS", "SG_UF_NCM")
 
 
 @dataclass(frozen=True)
@@ -100,7 +105,7 @@ def star(tables: TradeTables) -> DataFrame:
     adaptive execution to split a product that holds much of the facts. Keys are
     unique, so both plans give the same rows.
     """
-    rows = tables.fact
+    rows = _facts(tables, FACT_SCHEMA.names)
     for dimension in STAR:
         side = checked(tables, dimension)
         if _fits(tables, dimension):
@@ -173,10 +178,7 @@ def facts_by(
             tests.setdefault(name, []).append(test)
 
     wanted = set(columns)
-    rows = tables.fact
-    if ROW_COUNT in measures:
-        rows = rows.withColumn(ROW_COUNT, F.lit(1).cast("long"))
-    rows = _apply(rows, tests)
+    rows = _apply(_covering(tables, wanted | tests.keys(), measures), tests)
 
     late = []
     for dimension in _SOURCES:
@@ -206,6 +208,29 @@ def facts_by(
     return rows.select(*columns, *measures)
 
 
+def _covering(tables: TradeTables, columns: set[str], measures: list[str]) -> DataFrame:
+    """The rollup if it has every key that ``columns`` of the star hang on, else the facts.
+
+    Its sums stand for the facts of their keys, and its count of facts for ``REGISTROS``. States
+    are named in it, blank ones too, which all operators do themselves.
+    """
+    needed = {c for c in columns if c in FACT_SCHEMA.names}
+    for dimension in _SOURCES:
+        if dimension.attributes.keys() & columns:
+            needed |= dimension.keys.keys()
+    if tables.rollup is not None and needed <= set(ROLLUP_KEYS) and set(measures) <= {*MEASURES, ROW_COUNT}:
+        return tables.rollup
+    rows = _facts(tables, needed)
+    return rows.withColumn(ROW_COUNT, F.lit(1).cast("long")) if ROW_COUNT in measures else rows
+
+
+def _facts(tables: TradeTables, needed: Iterable[str]) -> DataFrame:
+    if tables.fact is None:
+        lacking = sorted(set(needed) - set(ROLLUP_KEYS))
+        raise NotInRollup(f"O agregado não guarda {', '.join(lacking)}; consulte a base completa.")
+    return tables.fact
+
+
 def _apply(rows: DataFrame, tests: dict[str, list[Column]]) -> DataFrame:
     """Filter by the tests whose column is there, and strike them off."""
     ready = [name for name in tests if name in rows.columns]

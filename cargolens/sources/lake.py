@@ -1,31 +1,27 @@
 """The trade lake: Parquet tables kept in step with a folder of raw files.
 
-Layout under the lake's root::
-
-    fact/FLUXO=../CO_ANO=../SOURCE_ID=..   facts, one leaf folder per raw file
-    dim_ncm, dim_country, dim_unit, dim_calendar_month
-    loads                                  log of loads and removals, append-only
-
-A load writes the new files' facts to a staging folder, checks them there, and
-then moves each file's folder into place, so a raw file replaces exactly its own
-rows and no row is written twice. The log entry comes last: a run that dies in
-between loads the same files again next time and ends in the same state.
+A load reads all new and changed raw files in one job and writes their facts once, under a
+batch of their own, in folders by flow, year and raw file. The facts are checked where they
+lie, and then one generation (see ``generations``) says which folders and which dimension
+tables count from now on. Nothing is moved or removed before that, so a load that dies at any
+point leaves the old facts and dimensions as they were, and is simply repeated.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargolens.model import FACT_SCHEMA, TradeTables
-from cargolens.plans.star import KEYS, require_unique
-from cargolens.sources import storage
+from cargolens.model import FACT_SCHEMA, MEASURES, TradeTables
+from cargolens.plans.star import KEYS, ROLLUP_KEYS, ROW_COUNT, require_unique
+from cargolens.sources import generations, storage
+from cargolens.sources.generations import FILE_FIELDS, Generation
 from cargolens.sources.raw import (
     Layout,
     RawFileError,
@@ -52,9 +48,9 @@ LOADS_SCHEMA = T.StructType(
         T.StructField("rows_loaded", T.LongType()),
         T.StructField("loaded_at", T.TimestampNTZType()),
         T.StructField("file_year", T.IntegerType()),
-        T.StructField("removed", T.BooleanType()),
     ]
 )
+FILES_SCHEMA = T.StructType([*LOADS_SCHEMA.fields, *FILE_FIELDS])
 
 
 @dataclass(frozen=True)
@@ -74,15 +70,15 @@ def source_id(source_file):
     return F.sha2(source_file, 256)
 
 
+def _files(spark: SparkSession, generation: Generation | None) -> DataFrame:
+    if generation is None:
+        return spark.createDataFrame([], FILES_SCHEMA)
+    return spark.read.schema(FILES_SCHEMA).parquet(generation.path("files"))
+
+
 def read_loads(spark: SparkSession, root: str) -> DataFrame:
-    """The files whose facts are in the lake: the last log entry of each, removals left out."""
-    path = f"{root}/loads"
-    if not storage.exists(spark, path):
-        return spark.createDataFrame([], LOADS_SCHEMA).drop("removed")
-    log = spark.read.schema(LOADS_SCHEMA).parquet(path)
-    others = [f.name for f in LOADS_SCHEMA if f.name != "source_file"]
-    last = log.groupBy("source_file").agg(F.max_by(F.struct(*others), "loaded_at").alias("last"))
-    return last.select("source_file", "last.*").where(~F.col("removed")).drop("removed")
+    """The raw files whose facts are in the lake."""
+    return _files(spark, generations.current(spark, root)).select(*LOADS_SCHEMA.names)
 
 
 def plan_load(files: DataFrame, loads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,20 +104,6 @@ def _raise_on(problems: DataFrame, text) -> None:
         raise RawFileError("; ".join(row.text for row in found))
 
 
-def _partition(root: str, row, facts: str | None = None) -> str:
-    """The folder that holds one raw file's facts."""
-    return f"{facts or root + '/fact'}/FLUXO={row.flow}/CO_ANO={row.file_year}/SOURCE_ID={row.SOURCE_ID}"
-
-
-def _log(spark: SparkSession, root: str, rows: list, *, removed: bool = False) -> None:
-    """Append one entry per raw file."""
-    now = _now()
-    entries = [
-        (r.source_file, r.flow, r.fingerprint, r.rows_loaded, now, r.file_year, removed) for r in rows
-    ]
-    spark.createDataFrame(entries, LOADS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/loads")
-
-
 def check_dimensions(dimensions: dict[str, DataFrame]) -> None:
     """Raise when a dimension holds a key twice, as its joins would count facts twice."""
     for name, keys in KEYS.items():
@@ -129,14 +111,6 @@ def check_dimensions(dimensions: dict[str, DataFrame]) -> None:
             require_unique(dimensions[name], name, keys)
 
 
-def write_dimensions(root: str, dimensions: dict[str, DataFrame]) -> None:
-    """Replace the dimension tables, if their keys are unique."""
-    check_dimensions(dimensions)
-    for name, table in DIMENSIONS.items():
-        if name in dimensions:
-            dimensions[name].write.mode("overwrite").parquet(f"{root}/{table}")
-
-
 def load(
     spark: SparkSession,
     raw_dir: str,
@@ -147,9 +121,10 @@ def load(
 ) -> LoadResult:
     """Bring the lake in step with the raw folder.
 
-    Unchanged files are skipped, changed ones replaced, vanished ones removed.
-    When a file is bad or a dimension repeats a key, the batch stops before anything is
-    published or removed. ``rebuild`` loads every file again, changed or not.
+    Unchanged files are skipped, changed ones replaced, vanished ones left out; dimensions that
+    are given replace the stored ones. All of it takes effect at once, as the lake's next
+    generation. When a file is bad or a dimension repeats a key, there is none. ``rebuild`` loads
+    every file again, changed or not.
     """
     root = root.rstrip("/")
     found = discover_fact_files(spark, raw_dir)
@@ -161,22 +136,39 @@ def load(
     if dimensions:
         check_dimensions(dimensions)
 
-    changed, vanished = plan_load(files, read_loads(spark, root))
-    # A rebuild reads every file again; what is stored goes only when its successor is checked.
+    before = generations.current(spark, root)
+    known = _files(spark, before)
+    changed, vanished = plan_load(files, known)
     to_read = listing if rebuild else changed.collect()
-    gone = vanished.withColumn("SOURCE_ID", source_id(F.col("source_file"))).collect()
+    gone = vanished.count()
+    if not (to_read or gone or dimensions):
+        return LoadResult(0, len(listing), 0, 0)
 
-    rows_loaded = _load_batch(spark, root, to_read) if to_read else 0
-    if dimensions:
-        write_dimensions(root, dimensions)
-    if gone:
-        for row in gone:
-            storage.remove(spark, _partition(root, row))
-        _log(spark, root, gone, removed=True)
-    return LoadResult(len(to_read), len(listing) - len(to_read), len(gone), rows_loaded)
+    batch = generations.new_id()
+    try:
+        loaded = _load_batch(spark, root, batch, to_read) if to_read else []
+        tables = dict(before.tables) if before else {}
+        for name, frame in (dimensions or {}).items():
+            tables[DIMENSIONS[name]] = generations.write_table(frame, root, DIMENSIONS[name])
+        replaced = spark.createDataFrame([(row.source_file,) for row in to_read], "source_file string")
+        kept = known.join(files, "source_file", "left_semi").join(replaced, "source_file", "left_anti")
+        after = kept.unionByName(spark.createDataFrame(loaded, FILES_SCHEMA))
+        tables["files"] = generations.write_table(after.coalesce(1), root, "files")
+    except Exception:
+        storage.remove(spark, f"{root}/fact/{generations.BATCH}={batch}")
+        raise
+    try:
+        generations.publish(spark, root, before, tables)
+    except generations.ConcurrentWrite:
+        # After any other failure it is not known whether the generation holds, so its facts stay.
+        storage.remove(spark, f"{root}/fact/{generations.BATCH}={batch}")
+        raise
+    generations.expire(spark, root)
+    return LoadResult(len(to_read), len(listing) - len(to_read), gone, sum(row[3] for row in loaded))
 
 
-def _load_batch(spark: SparkSession, root: str, to_read: list) -> int:
+def _load_batch(spark: SparkSession, root: str, batch: str, to_read: list) -> list[tuple]:
+    """Write the facts of the given raw files and check them; their entries in ``files``."""
     files = spark.createDataFrame(to_read)
     seen = inspect_files(spark, [row.path for row in to_read])
     inspected = files.join(seen, "source_file", "left").withColumn(
@@ -191,29 +183,25 @@ def _load_batch(spark: SparkSession, root: str, to_read: list) -> int:
     cleaned = [clean_facts(read_raw(spark, layout), layout.flow) for layout in _layouts(found)]
     facts = reduce(DataFrame.unionByName, cleaned).withColumn("SOURCE_ID", source_id(F.col("SOURCE_FILE")))
 
-    staging = f"{root}/_staging/{uuid.uuid4().hex}"
+    place = f"{root}/fact/{generations.BATCH}={batch}"
     # Rows of one raw file are neighbours already; sorting within the task gives
     # tight month and product ranges per row group without a shuffle.
-    (
-        facts.sortWithinPartitions(*PARTITIONS, "CO_MES", "CO_NCM")
-        .write.partitionBy(*PARTITIONS)
-        .parquet(staging)
-    )
-    try:
-        # The check needs folder names and row counts only, no column of the files.
-        staged = spark.read.schema(fact_storage_schema()).parquet(staging)
-        named = files.withColumn("SOURCE_ID", source_id(F.col("source_file")))
-        report = load_report(named, staged.select("SOURCE_ID", "CO_ANO"), "SOURCE_ID").collect()
-        bad = sorted(f"{row.file_name}: {row.problem}" for row in report if row.problem)
-        if bad:
-            raise RawFileError("; ".join(bad[:5]))
-        for row in report:
-            storage.remove(spark, _partition(root, row))
-            storage.move(spark, _partition(root, row, staging), _partition(root, row))
-        _log(spark, root, report)
-        return sum(row.rows_loaded for row in report)
-    finally:
-        storage.remove(spark, staging)
+    facts.sortWithinPartitions(*PARTITIONS, "CO_MES", "CO_NCM").write.partitionBy(*PARTITIONS).parquet(place)
+    # The check needs folder names and row counts only, no column of the files.
+    written = spark.read.schema(fact_storage_schema()).parquet(place)
+    named = files.withColumn("SOURCE_ID", source_id(F.col("source_file")))
+    report = load_report(named, written.select("SOURCE_ID", "CO_ANO"), "SOURCE_ID").collect()
+    bad = sorted(f"{row.file_name}: {row.problem}" for row in report if row.problem)
+    if bad:
+        raise RawFileError("; ".join(bad[:5]))
+    now = _now()
+    return [
+        (
+            r.source_file, r.flow, r.fingerprint, r.rows_loaded, now, r.file_year, batch,
+            f"FLUXO={r.flow}/CO_ANO={r.file_year}/SOURCE_ID={r.SOURCE_ID}", len(report),
+        )
+        for r in report
+    ]
 
 
 def fact_storage_schema() -> T.StructType:
@@ -225,30 +213,76 @@ def fact_storage_schema() -> T.StructType:
 
 def read_facts(spark: SparkSession, root: str) -> DataFrame:
     """The stored facts; flow and year filters select folders, not rows."""
-    stored = spark.read.schema(fact_storage_schema()).parquet(f"{root}/fact")
-    return stored.select(*[f.name for f in FACT_SCHEMA])
+    root, generation = root.rstrip("/"), generations.current(spark, root)
+    files = generation.files(spark) if generation else []
+    return generations.read_folders(spark, root, files, fact_storage_schema()).select(*FACT_SCHEMA.names)
+
+
+def source_report(spark: SparkSession, root: str) -> DataFrame:
+    """Each table that a complete lake has, and whether it is there and has rows."""
+    generation = generations.current(spark, root)
+    needed = ["files", *DIMENSIONS.values()]
+    found = {t: generation.read(spark, t) for t in needed if generation and t in generation.tables}
+    if "files" in found:
+        found = {"fact": found["files"].where("rows_loaded > 0"), "loads": found.pop("files"), **found}
+    rows = []
+    for table in ("fact", "loads", *DIMENSIONS.values()):
+        state = "ausente" if table not in found else "vazia" if found[table].isEmpty() else "completa"
+        rows.append((table, state))
+    return spark.createDataFrame(rows, "TABELA string, ESTADO string")
 
 
 def open_tables(
-    spark: SparkSession, root: str, *, rollup: str | None = None, prefer_rollup: bool = True
+    spark: SparkSession, root: str | None, *, rollup: str | None = None, prefer_rollup: bool = True
 ) -> TradeTables:
-    """The tables to query: the rollup at ``rollup`` when there is one, else the full lake.
+    """The tables to query: the lake, and the rollup at ``rollup`` where it answers the same.
 
-    Sums agree between the two; counts of facts, units and offices exist only in
-    the full data, so pass ``prefer_rollup=False`` for those.
+    Each question goes to the rollup if that covers all columns and measures it needs, else to
+    the facts, so results never depend on the choice. A rollup that is older than the lake's
+    last load is left aside. Without ``root`` there is the rollup alone, and a question that it
+    does not cover raises ``NotInRollup``.
     """
-    use_rollup = bool(rollup) and prefer_rollup and storage.exists(spark, f"{rollup}/fact")
-    base = (rollup if use_rollup else root).rstrip("/")
-    if use_rollup:
-        fact = read_rollup_facts(spark, base)
-    else:
-        fact = read_facts(spark, base)
-    dims = {name: spark.read.parquet(f"{base}/{table}") for name, table in DIMENSIONS.items()}
-    return TradeTables(fact=fact, loads=read_loads(spark, base), checked=set(DIMENSIONS), **dims)
-
-
-def read_rollup_facts(spark: SparkSession, root: str) -> DataFrame:
-    """The facts of a rollup: the full schema, with NULL where a column was summed away."""
-    rows = spark.read.parquet(f"{root.rstrip('/')}/fact")
-    absent = {f.name: F.lit(None).cast(f.dataType) for f in FACT_SCHEMA if f.name not in rows.columns}
-    return rows.withColumns(absent).select(*[f.name for f in FACT_SCHEMA])
+    generation = generations.current(spark, root) if root else None
+    sums = generations.current(spark, rollup) if rollup and prefer_rollup else None
+    base = generation or sums
+    if base is None:
+        raise FileNotFoundError(f"Nenhuma carga publicada em {root or rollup}")
+    if generation and sums and folder_marks(spark, generation) != rollup_marks(spark, sums):
+        sums = None
+    dims = {name: base.read(spark, table) for name, table in DIMENSIONS.items() if table in base.tables}
+    missing = sorted(DIMENSIONS[name] for name in DIMENSIONS.keys() - dims.keys())
+    if missing:
+        raise FileNotFoundError(f"Tabelas ausentes em {base.root}: {', '.join(missing)}")
+    return TradeTables(
+        fact=read_facts(spark, root) if generation else None,
+        loads=_files(spark, generation).select(*LOADS_SCHEMA.names) if generation else base.read(spark, "loads"),
+        rollup=read_sums(spark, sums) if sums else None,
+        checked=set(DIMENSIONS),
+        **dims,
+    )
+
+
+def folder_marks(spark: SparkSession, generation: Generation) -> dict[tuple[str, int], str]:
+    """For each flow and year of the lake a mark that changes with any of its raw files."""
+    rows: dict[tuple[str, int], list[str]] = {}
+    for r in generation.files(spark):
+        rows.setdefault((r.flow, r.file_year), []).append(f"{r.batch}/{r.folder}")
+    return {key: sha256("\n".join(sorted(names)).encode()).hexdigest() for key, names in rows.items()}
+
+
+def rollup_marks(spark: SparkSession, generation: Generation) -> dict[tuple[str, int], str]:
+    """The marks of the flows and years that a rollup was summed from."""
+    return {(r.flow, r.file_year): r.mark for r in generation.files(spark)}
+
+
+def sums_schema() -> T.StructType:
+    """Columns of the stored sums, the folders' keys last."""
+    kinds = {f.name: f.dataType for f in FACT_SCHEMA}
+    data = [T.StructField(c, kinds[c]) for c in (*ROLLUP_KEYS, *MEASURES) if c not in PARTITIONS]
+    keys = [T.StructField(c, kinds[c]) for c in PARTITIONS if c in kinds]
+    return T.StructType([*data, T.StructField(ROW_COUNT, T.LongType()), *keys])
+
+
+def read_sums(spark: SparkSession, generation: Generation) -> DataFrame:
+    """The sums of a rollup with the number of facts behind each."""
+    return generations.read_folders(spark, generation.root, generation.files(spark), sums_schema())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -53,3 +54,32 @@ def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob, in order."""
     fs, target = _handle(spark, pattern)
     return sorted(status.getPath().toString() for status in (fs.globStatus(target) or []))
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file where there is none; False, and nothing written, where there is one."""
+    fs, target = _handle(spark, path)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        return False
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The whole of a small file."""
+    fs, source = _handle(spark, path)
+    stream = fs.open(source)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -437,8 +437,9 @@ FROM digitos c JOIN (SELECT DOCUMENTO, DONO, string_agg(DESCRICAO_EN, ' ' ORDER
 register(
     "n15_translated_scopes",
     lambda d: d.exemptions.select("CO_SH6", translate_scope(F.col("LIMITACOES_ESCOPO")).alias("LIMITACOES_PT")),
-    """SELECT CO_SH6, replace(replace(LIMITACOES_ESCOPO, 'Ex', 'Somente o produto descrito no Anexo II'),
-       'Pharma', 'Somente uso farmacêutico') AS LIMITACOES_PT FROM exemptions""",
+    """SELECT CO_SH6, replace(replace(replace(LIMITACOES_ESCOPO, 'Ex', 'Somente o produto descrito no Anexo II'),
+       'Pharma', 'Somente uso farmacêutico'), 'Aircraft', 'Somente aeronaves civis e artigos abrangidos') AS LIMITACOES_PT
+FROM exemptions""",
     ("exemptions",),
 )
 register(

@@ -12,11 +12,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.model import FilterState
+from cargolens.model import FilterState, TradeTables
+from cargolens.operators.quality import quality_report
 from cargolens.operators.tariff import tariff_series
-from cargolens.operators.trade import hierarchy_table
+from cargolens.operators.trade import hierarchy_table, summary_metrics
+from cargolens.plans.star import facts_by
+from cargolens.sources import storage
 from cargolens.sources.export import write_csv
-from cargolens.sources.lake import load, open_tables, plan_load, read_facts, read_loads
+from cargolens.sources.generations import current
+from cargolens.sources.lake import DIMENSIONS, load, open_tables, plan_load, read_facts, read_loads, source_report
 from cargolens.sources.raw import (
     clean_facts,
     discover_fact_files,
@@ -29,6 +33,7 @@ from cargolens.sources.rollup import (
     build_rollup,
     monthly_rollup,
     read_rollup_facts,
+    refresh_rollup,
     rollup_mismatches,
     rollup_reduction,
 )
@@ -37,7 +42,14 @@ from registry.core import register
 from registry.data import Data
 from registry.rawfiles import write_raw_folder
 from registry.star import CLEANED_SQL
-from registry.trade import _BREAKDOWN, _BREAKDOWN_DOUBLES
+from registry.trade import (
+    _BREAKDOWN,
+    _BREAKDOWN_DOUBLES,
+    _SUMMARY,
+    _SUMMARY_DOUBLES,
+    EXPORTS_1998,
+    QUALITY,
+)
 
 _DOUBLES = ("QT_ESTAT", "KG_LIQUIDO", "VL_FOB", "VL_FRETE", "VL_SEGURO")
 
@@ -67,6 +79,43 @@ class Files:
         build_rollup(self.data.spark, self.lake, output)
         return output
 
+    @cached_property
+    def changed(self) -> tuple[str, str]:
+        """A lake loaded twice, and its rollup, built after the first load and refreshed after the second.
+
+        In between the exports of 1997 were replaced, the imports of 1999 vanished, and product
+        names were written in capitals.
+        """
+        spark, t = self.data.spark, self.data.tables
+        raw = write_raw_folder(spark, t.fact, shared_folder(spark, "raw-before"))
+        root, output = shared_folder(spark, "lake-changed"), shared_folder(spark, "rollup-changed")
+        dims = {"ncm": t.ncm, "country": t.country, "unit": t.unit, "calendar": t.calendar}
+        load(spark, raw, root, dims)
+        build_rollup(spark, root, output)
+        for pattern in ("exp/EXP_1997_*.csv", "imp/IMP_1999_*.csv"):
+            for path in storage.list_paths(spark, f"{raw}/{pattern}"):
+                storage.remove(spark, path)
+        new = t.fact.where("FLUXO = 'EXP' AND CO_ANO = 1997").withColumn("VL_FOB", F.col("VL_FOB") * 2)
+        after = write_raw_folder(spark, new, shared_folder(spark, "raw-after"))
+        for path in storage.list_paths(spark, f"{after}/exp/*.csv"):
+            storage.move(spark, path, f"{raw}/exp/{path.rsplit('/', 1)[1]}")
+        load(spark, raw, root, dims | {"ncm": t.ncm.withColumn("NO_NCM_POR", F.upper("NO_NCM_POR"))})
+        refresh_rollup(spark, root, output)
+        return root, output
+
+    @cached_property
+    def rebuilt(self) -> str:
+        """A lake without dimensions, loaded and then rebuilt from the same files."""
+        root = shared_folder(self.data.spark, "lake-rebuilt")
+        load(self.data.spark, self.raw, root)
+        load(self.data.spark, self.raw, root, rebuild=True)
+        return root
+
+    @cached_property
+    def sums(self) -> TradeTables:
+        """The rollup alone, without the facts behind it."""
+        return open_tables(self.data.spark, None, rollup=self.rollup)
+
     @cached_property
     def found(self) -> DataFrame:
         return discover_fact_files(self.data.spark, self.raw)
@@ -200,7 +249,7 @@ register(
 )
 register(
     "s18_rollup_lineage",
-    lambda d: d.spark.read.parquet(f"{files(d).rollup}/rollup_info").select("source_rows", "aggregation_level"),
+    lambda d: current(d.spark, files(d).rollup).read(d.spark, "rollup_info").select("source_rows", "aggregation_level"),
     """SELECT count(*) AS source_rows, 'FLUXO + CO_ANO + CO_MES + CO_NCM + CO_PAIS + SG_UF_NCM' AS aggregation_level
 FROM fact""",
     ("fact",),
@@ -239,6 +288,84 @@ FROM (SELECT (SELECT count(*) FROM fact) AS a, (SELECT count(*) FROM ({_ROLLUP})
     ("REDUCAO_LINHAS",),
 )
 
+# --- replaced, removed and rebuilt sources ---------------------------------------------
+_CHANGED = """SELECT * REPLACE (upper(trim(SG_UF_NCM)) AS SG_UF_NCM,
+    VL_FOB * CASE WHEN FLUXO = 'EXP' AND CO_ANO = 1997 THEN 2 ELSE 1 END AS VL_FOB)
+  FROM fact WHERE NOT (FLUXO = 'IMP' AND CO_ANO = 1999)"""
+register(
+    "s11_replaced_and_removed_sources",
+    lambda d: read_facts(d.spark, files(d).changed[0]).drop("SOURCE_FILE"),
+    f"SELECT * EXCLUDE (SOURCE_FILE) FROM ({_CHANGED}) t",
+    ("fact",),
+    _DOUBLES,
+)
+register(
+    "s12_replaced_dimensions",
+    lambda d: open_tables(d.spark, files(d).changed[0]).ncm,
+    "SELECT * REPLACE (upper(NO_NCM_POR) AS NO_NCM_POR) FROM dim_ncm",
+    ("dim_ncm",),
+)
+register(
+    "s13_rebuilt_facts",
+    lambda d: read_facts(d.spark, files(d).rebuilt).drop("SOURCE_FILE"),
+    "SELECT * EXCLUDE (SOURCE_FILE) REPLACE (upper(trim(SG_UF_NCM)) AS SG_UF_NCM) FROM fact",
+    ("fact",),
+    _DOUBLES,
+)
+register(
+    "s15_refreshed_rollup",
+    lambda d: read_rollup_facts(d.spark, files(d).changed[1]),
+    _ROLLUP.replace("FROM fact", f"FROM ({_CHANGED}) t"),
+    ("fact",),
+    _DOUBLES,
+)
+
+
+def _source_reports(d: Data) -> DataFrame:
+    whole, bare = (source_report(d.spark, root) for root in (files(d).lake, files(d).rebuilt))
+    return whole.withColumn("LAGO", F.lit("completo")).unionByName(bare.withColumn("LAGO", F.lit("sem dimensões")))
+
+
+_STATE = "CASE WHEN count(*) = 0 THEN 'vazia' ELSE 'completa' END AS ESTADO"
+register(
+    "s16_required_tables",
+    _source_reports,
+    "\nUNION ALL ".join(
+        f"""SELECT '{name}' AS TABELA, {_STATE}, 'completo' AS LAGO FROM {view}
+UNION ALL SELECT '{name}', {"max('ausente')" if view.startswith('dim') else _STATE}, 'sem dimensões' FROM {view}"""
+        for name, view in {"fact": "fact", "loads": "fact", **{v: v for v in DIMENSIONS.values()}}.items()
+    ),
+    ("fact", "dim_ncm", "dim_country", "dim_unit", "dim_calendar_month"),
+)
+register(
+    "s19_summary_on_rollup",
+    # The count of facts as well, from sums alone.
+    lambda d: summary_metrics(files(d).sums, EXPORTS_1998),
+    _SUMMARY.format(where="FLUXO = 'EXP' AND CO_ANO = 1998"),
+    ("star",),
+    _SUMMARY_DOUBLES,
+)
+register(
+    "s19_quality_on_rollup",
+    lambda d: quality_report(files(d).sums).where("INDICADOR <> 'Arquivos processados'"),
+    f"SELECT * FROM ({QUALITY}) t WHERE INDICADOR <> 'Arquivos processados'",
+    ("star", "loads"),
+    ("VALOR", "PERCENTUAL"),
+)
+register(
+    "s19_units_beside_a_rollup",
+    # Not in the rollup, so read from the facts.
+    lambda d: facts_by(
+        open_tables(d.spark, files(d).lake, rollup=files(d).rollup), EXPORTS_1998, ["UNIDADE"], ["VL_FOB", "REGISTROS"]
+    )
+    .groupBy("UNIDADE")
+    .agg(F.sum("VL_FOB").alias("VL_FOB"), F.sum("REGISTROS").alias("REGISTROS")),
+    """SELECT UNIDADE, CAST(sum(VL_FOB) AS DOUBLE) AS VL_FOB, count(*) AS REGISTROS
+FROM star WHERE FLUXO = 'EXP' AND CO_ANO = 1998 GROUP BY UNIDADE""",
+    ("star",),
+    ("VL_FOB",),
+)
+
 # --- reference files and exports ------------------------------------------------------
 
 

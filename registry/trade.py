@@ -365,19 +365,16 @@ _INDICATORS = (
     ("Registros SH4 sem descrição", "CO_SH4 IS NOT NULL AND NO_SH4_POR IS NULL"),
     ("Registros SH6 sem descrição", "CO_SH6 IS NOT NULL AND NO_SH6_POR IS NULL"),
 )
-register(
-    "q17_quality_report",
-    lambda d: quality_report(d.tables),
+QUALITY = (
     "WITH c AS (SELECT CAST(count(*) AS DOUBLE) AS n, "
     + ", ".join(f"CAST(count_if({test}) AS DOUBLE) AS c{i}" for i, (_, test) in enumerate(_INDICATORS))
     + " FROM star)\nSELECT 'Registros na fato' AS INDICADOR, n AS VALOR, CAST(NULL AS DOUBLE) AS PERCENTUAL FROM c\n"
     + "\n".join(
         f"UNION ALL SELECT '{name}', c{i}, c{i} / n FROM c" for i, (name, _) in enumerate(_INDICATORS)
     )
-    + "\nUNION ALL SELECT 'Arquivos processados', CAST(count(*) AS DOUBLE), NULL FROM loads",
-    ("star", "loads"),
-    ("VALOR", "PERCENTUAL"),
+    + "\nUNION ALL SELECT 'Arquivos processados', CAST(count(*) AS DOUBLE), NULL FROM loads"
 )
+register("q17_quality_report", lambda d: quality_report(d.tables), QUALITY, ("star", "loads"), ("VALOR", "PERCENTUAL"))
 register(
     "q18_load_log",
     lambda d: load_log(d.tables.loads),

@@ -59,7 +59,8 @@ FROM (
          lpad(CAST(p_partkey % 5 AS STRING), 2, '0') AS C4,
          lpad(CAST(p_partkey % 2 AS STRING), 2, '0') AS C6,
          p_size AS SZ,
-         p_name AS NO_NCM_POR
+         CASE WHEN p_partkey % 6 = 0 THEN concat(p_name, ', ', p_name, ', ', p_name, ', ', p_name, ', ', p_name) ELSE p_name END
+           AS NO_NCM_POR
   FROM part
   WHERE p_partkey % 50 <> 49
 ) t
@@ -95,20 +96,26 @@ WHERE NOT (CO_ANO = 1996 AND CO_MES = 2)
 GROUP BY CO_ANO, CO_MES
 """
 
+# Products of chapters over 30 are listed under chapters 80 to 99 instead, so they have no entry
+# of their own; chapters 98 and 99 stand for no goods.
 VIEWS["htsus_lines"] = """
 SELECT CAST(42 + p_partkey % 97 AS INT) AS PAGINA_PDF,
        concat(CO_SH6, lpad(CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END, '0')) AS HTSUS,
        concat(CO_SH6, lpad(CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 4 END, '0')) AS HTSUS_DIGITOS,
        CO_SH6,
        p_name AS DESCRICAO_EN,
-       CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'Ex' WHEN 1 THEN 'Pharma' ELSE '' END AS LIMITACAO_ESCOPO,
+       CASE WHEN p_size % 3 = 0 THEN ''
+            WHEN p_size % 3 = 1 THEN CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'Ex' WHEN 1 THEN 'Pharma'
+                                          WHEN 2 THEN 'Aircraft' ELSE 'Other' END
+            ELSE CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'Ex' WHEN 1 THEN 'Pharma' WHEN 2 THEN 'Aircraft | Other'
+                                          ELSE '' END
+       END AS LIMITACAO_ESCOPO,
        p_partkey AS LINHA
 FROM (
   SELECT p_partkey, p_name, p_size,
-         concat(lpad(CAST(p_size AS STRING), 2, '0'), lpad(CAST(p_partkey % 5 AS STRING), 2, '0'),
-                lpad(CAST(p_partkey % 2 AS STRING), 2, '0')) AS CO_SH6
+         concat(lpad(CAST(CASE WHEN p_size <= 30 THEN p_size ELSE p_size + 49 END AS STRING), 2, '0'),
+                lpad(CAST(p_partkey % 5 AS STRING), 2, '0'), lpad(CAST(p_partkey % 2 AS STRING), 2, '0')) AS CO_SH6
   FROM part
-  WHERE p_size <= 30 AND p_partkey % 3 <> 0
 ) t
 """
 
@@ -223,9 +230,11 @@ SELECT p_brand AS DOCUMENTO, p_partkey AS LINHA, CAST(42 + p_partkey % 97 AS INT
        CASE WHEN p_partkey % 4 = 3 THEN ' ' WHEN p_partkey % 11 = 5 THEN 'Note'
             WHEN p_partkey % 9 = 2 THEN '1234.5'
             ELSE concat(lpad(CAST(p_size AS STRING), 2, '0'), '01.', lpad(CAST(p_partkey % 100 AS STRING), 2, '0'),
-                        '.', lpad(CAST(p_size AS STRING), 2, '0')) END AS HTSUS,
+                        '.', lpad(CAST(p_size AS STRING), 2, '0'),
+                        CASE WHEN p_partkey % 5 = 0 THEN '.10' ELSE '' END) END AS HTSUS,
        concat('  ', p_name, '  (', p_type, ')') AS DESCRICAO_EN,
-       CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN ' Ex ' WHEN 1 THEN 'Pharma' ELSE '' END AS LIMITACAO_ESCOPO
+       CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN ' Ex ' WHEN 1 THEN 'Pharma' WHEN 2 THEN 'Aircraft  ' ELSE '' END
+         AS LIMITACAO_ESCOPO
 FROM part
 """
 

@@ -3,15 +3,25 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import COUNTRIES, PRODUCTS, by, make_tables, rows
 
-from cargolens.model import FilterState
-from cargolens.operators.quality import load_log
+from cargolens.model import FilterState, NotInRollup
+from cargolens.operators.quality import load_log, quality_report
 from cargolens.operators.trade import hierarchy_table, summary_metrics
 from cargolens.sources.export import with_decimal_comma, write_csv
-from cargolens.sources.lake import load, open_tables, read_facts, read_loads
+from cargolens.plans.star import facts_by, star
+from cargolens.sources import generations, rollup, storage
+from cargolens.sources.lake import load, open_tables, read_facts, read_loads, source_report
 from cargolens.sources.raw import RawFileError, inspect_files
-from cargolens.sources.rollup import RollupError, build_rollup, monthly_rollup, rollup_mismatches
+from cargolens.sources.rollup import (
+    RollupError,
+    build_rollup,
+    monthly_rollup,
+    read_rollup_facts,
+    refresh_rollup,
+    rollup_mismatches,
+)
 
 EXPORT_HEADER = "CO_ANO;CO_MES;CO_NCM;CO_UNID;CO_PAIS;SG_UF_NCM;CO_VIA;CO_URF;QT_ESTAT;KG_LIQUIDO;VL_FOB"
 IMPORT_HEADER = EXPORT_HEADER + ";VL_FRETE;VL_SEGURO"
@@ -91,13 +101,85 @@ def test_incremental_load(spark, raw, tmp_path):
     assert sorted(map(str, rows(read_facts(spark, root)))) == before
 
 
-def test_load_after_a_crash_before_the_log(spark, raw, tmp_path):
+def facts_of(spark, root):
+    return sorted(map(str, rows(read_facts(spark, root))))
+
+
+class Died(Exception):
+    pass
+
+
+def die(*_args, **_kwargs):
+    raise Died
+
+
+@pytest.mark.parametrize("rebuild", [False, True])
+@pytest.mark.parametrize("step", ["publish", "write_table", "create"])
+def test_a_load_that_dies_changes_nothing(spark, raw, tmp_path, dimensions, monkeypatch, step, rebuild):
+    """Readers see all old facts and dimensions until everything is in place, then all new ones."""
+    root = str(tmp_path / "lake")
+    load(spark, str(raw), root, dimensions)
+    before, opened = facts_of(spark, root), open_tables(spark, root)
+    products = rows(opened.ncm)
+    write(raw, "EXP_2026.csv", [EXPORT_HEADER, export_row(2026, fob="900")])
+    os.rename(raw / "imp" / "IMP_2026.csv", tmp_path / "IMP_2026.csv")
+    new = dimensions | {"ncm": dimensions["ncm"].withColumn("SETOR", F.lit("Novo"))}
+    with monkeypatch.context() as patch:
+        patch.setattr(storage if step == "create" else generations, step, die)
+        with pytest.raises(Died):
+            load(spark, str(raw), root, new, rebuild=rebuild)
+    assert facts_of(spark, root) == before and rows(open_tables(spark, root).ncm) == products
+    assert sorted(r["SOURCE_FILE"][-12:] for r in rows(read_facts(spark, root)))[-1] == "IMP_2026.csv"
+
+    result = load(spark, str(raw), root, new, rebuild=rebuild)
+    assert (result.files_loaded, result.files_removed) == (2 if rebuild else 1, 1)
+    assert {r["SETOR"] for r in rows(open_tables(spark, root).ncm)} == {"Novo"}
+    assert sorted(r["VL_FOB"] for r in rows(read_facts(spark, root))) == [1.5, 100, 900]
+    # Who opened the lake before the switch still reads what was there then.
+    assert sorted(map(str, rows(opened.fact))) == before and rows(opened.ncm) == products
+
+
+def test_a_half_written_generation_is_passed_over(spark, raw, tmp_path):
     root = tmp_path / "lake"
     load(spark, str(raw), str(root))
-    before = sorted(map(str, rows(read_facts(spark, str(root)))))
-    os.rename(root / "loads", tmp_path / "lost-log")
-    assert load(spark, str(raw), str(root)).files_loaded == 3
-    assert sorted(map(str, rows(read_facts(spark, str(root))))) == before
+    before = facts_of(spark, str(root))
+    (root / "generations" / "000000000002").write_text('{"files": "tab')
+    assert facts_of(spark, str(root)) == before
+    write(raw, "EXP_2024.csv", [EXPORT_HEADER, export_row(2024)])
+    assert load(spark, str(raw), str(root)).rows_loaded == 1
+    assert generations.current(spark, str(root)).number == 3
+    assert read_facts(spark, str(root)).count() == 6
+
+
+def test_two_writers(spark, raw, tmp_path):
+    root = str(tmp_path / "lake")
+    load(spark, str(raw), root)
+    base = generations.current(spark, root)
+    second = generations.publish(spark, root, base, base.tables)
+    with pytest.raises(generations.ConcurrentWrite):
+        generations.publish(spark, root, base, base.tables)
+    assert generations.current(spark, root) == second
+
+
+def test_old_generations_go_last(spark, raw, tmp_path):
+    """Two generations stay; folders that neither refers to are removed, others are not."""
+    root = tmp_path / "lake"
+    for year in (2010, 2011, 2012):
+        write(raw, "EXP_2026.csv", [EXPORT_HEADER, export_row(2026, fob=str(year))])
+        load(spark, str(raw), str(root))
+    assert [g.number for g in generations.all_complete(spark, str(root))] == [2, 3]
+    folders = sorted(str(p.relative_to(root / "fact")) for p in (root / "fact").glob("*/*/CO_ANO=2026/*") if "FLUXO=EXP" in str(p))
+    assert len(folders) == 2
+    assert len(list((root / "fact").glob("BATCH=*"))) == 3
+    assert len(list((root / "tables").iterdir())) == 2
+    assert sorted(r["VL_FOB"] for r in rows(read_facts(spark, str(root)).where("CO_ANO = 2026 AND FLUXO = 'EXP'"))) == [2012]
+
+
+def test_empty_lake(spark, tmp_path):
+    assert read_facts(spark, str(tmp_path)).count() == 0 and read_loads(spark, str(tmp_path)).count() == 0
+    assert {r["ESTADO"] for r in rows(source_report(spark, str(tmp_path)))} == {"ausente"}
+    with pytest.raises(FileNotFoundError):
+        open_tables(spark, str(tmp_path))
 
 
 @pytest.mark.parametrize(
@@ -167,22 +249,101 @@ def test_rollup(spark, raw, tmp_path, dimensions):
         build_rollup(spark, root, output)
     build_rollup(spark, root, output, force=True)
 
-    full, small = open_tables(spark, root), open_tables(spark, root, rollup=output)
-    state = FilterState(year=2025)
-    for key in ("VL_FOB", "KG_LIQUIDO", "QT_ESTAT"):
-        assert rows(summary_metrics(full, state))[0][key] == rows(summary_metrics(small, state))[0][key]
-    assert {r["SG_UF_NCM"] for r in rows(small.fact)} == {"SP", "Não informado"}
-    assert {r["CO_UNID"] for r in rows(small.fact)} == {None}
-    assert full.fact.schema.names == small.fact.schema.names
-    assert open_tables(spark, root, rollup=output, prefer_rollup=False).fact.where("CO_UNID = '10'").count() == 5
-    assert open_tables(spark, root, rollup=str(tmp_path / "none")).fact.where("CO_UNID = '10'").count() == 5
+    full, both, small = open_tables(spark, root), open_tables(spark, root, rollup=output), open_tables(spark, None, rollup=output)
+    assert full.rollup is None and both.rollup is not None and small.fact is None
+    for state in (FilterState(year=2025), FilterState(flow="IMP"), FilterState(months=(1,), sectors=("Agropecuária",))):
+        want = rows(summary_metrics(full, state))
+        assert rows(summary_metrics(both, state)) == want and rows(summary_metrics(small, state)) == want
+    assert rows(quality_report(small)) == rows(quality_report(full))
+    assert {r["SG_UF_NCM"] for r in rows(small.rollup)} == {"SP", "Não informado"}
+    sums = read_rollup_facts(spark, output)
+    assert {r["CO_UNID"] for r in rows(sums)} == {None} and sums.schema.names == full.fact.schema.names
+    assert open_tables(spark, root, rollup=output, prefer_rollup=False).rollup is None
+    assert open_tables(spark, root, rollup=str(tmp_path / "none")).rollup is None
     assert by(small.loads, "flow").keys() == {"EXP", "IMP"}
 
 
+def test_questions_go_where_they_are_answered(spark, raw, tmp_path, dimensions):
+    """Units and offices are in the facts only; everything else comes from the sums."""
+    root, output = str(tmp_path / "lake"), str(tmp_path / "rollup")
+    load(spark, str(raw), root, dimensions)
+    build_rollup(spark, root, output)
+    both, small = open_tables(spark, root, rollup=output), open_tables(spark, None, rollup=output)
+
+    def sources(frame):
+        return {part for part in ("lake/fact", "rollup/fact") for f in frame.inputFiles() if part in f}
+
+    by_month = facts_by(both, FilterState(year=2026), ["CO_MES", "SETOR"], ["VL_FOB", "REGISTROS"])
+    assert sources(by_month) == {"rollup/fact"}
+    by_unit = facts_by(both, FilterState(year=2026), ["UNIDADE"], ["VL_FOB", "REGISTROS"])
+    assert sources(by_unit) == {"lake/fact"} and rows(by_unit)[0]["UNIDADE"] == "Quilograma"
+    assert sources(facts_by(both, None, ["CO_URF"], ["VL_FOB"])) == {"lake/fact"}
+    for columns in (["UNIDADE"], ["CO_URF"], ["CO_VIA", "CO_MES"]):
+        with pytest.raises(NotInRollup):
+            facts_by(small, None, columns, ["VL_FOB"])
+    with pytest.raises(NotInRollup):
+        star(small)
+
+    # A rollup that is behind its lake is not asked.
+    write(raw, "EXP_2026.csv", [EXPORT_HEADER, export_row(2026, fob="900")])
+    load(spark, str(raw), root)
+    late = open_tables(spark, root, rollup=output)
+    assert late.rollup is None and rows(summary_metrics(late, FilterState(year=2026)))[0]["VL_FOB"] == 900
+    refresh_rollup(spark, root, output)
+    assert open_tables(spark, root, rollup=output).rollup is not None
+
+
+def test_refresh_sums_what_changed(spark, raw, tmp_path, dimensions, monkeypatch):
+    root, output = str(tmp_path / "lake"), tmp_path / "rollup"
+    load(spark, str(raw), root, dimensions)
+    refresh_rollup(spark, root, str(output))
+
+    def folders():
+        files = generations.current(spark, str(output)).files(spark)
+        return {(r.flow, r.file_year): (r.batch, r.source_rows) for r in files}
+
+    first = folders()
+    assert first.keys() == {("EXP", 2025), ("EXP", 2026), ("IMP", 2026)}
+    write(raw, "EXP_2026.csv", [EXPORT_HEADER, export_row(2026, fob="900"), export_row(2026, "4"), export_row(2026, "4")])
+    load(spark, str(raw), root)
+    with monkeypatch.context() as patch:
+        patch.setattr(generations, "publish", die)
+        with pytest.raises(Died):
+            refresh_rollup(spark, root, str(output))
+    assert folders() == first
+    result = refresh_rollup(spark, root, str(output))
+    second = folders()
+    assert {k for k in second if second[k] != first[k]} == {("EXP", 2026)} and second["EXP", 2026][1] == 3
+    assert (result.source_rows, result.rollup_rows) == (6, 5)
+    whole = str(tmp_path / "whole")
+    build_rollup(spark, root, whole)
+    assert sorted(map(str, rows(read_rollup_facts(spark, str(output))))) == sorted(map(str, rows(read_rollup_facts(spark, whole))))
+    assert folders() == second
+
+    # A year that is gone goes from the rollup as well; nothing is summed again.
+    os.rename(raw / "exp" / "EXP_2025.csv", tmp_path / "EXP_2025.csv")
+    load(spark, str(raw), root)
+    refresh_rollup(spark, root, str(output))
+    assert folders() == {k: v for k, v in second.items() if k != ("EXP", 2025)}
+    assert rows(generations.current(spark, str(output)).read(spark, "rollup_info"))[0]["source_rows"] == 4
+
+
+def test_a_wrong_sum_is_not_published(spark, raw, tmp_path, dimensions, monkeypatch):
+    root, output = str(tmp_path / "lake"), str(tmp_path / "rollup")
+    load(spark, str(raw), root, dimensions)
+    real = rollup.monthly_sums
+    monkeypatch.setattr(rollup, "monthly_sums", lambda fact: real(fact.where("CO_MES <> 3")))
+    with pytest.raises(RollupError, match="EXP 2026 KG_LIQUIDO"):
+        build_rollup(spark, root, output)
+    assert generations.current(spark, output) is None
+    with pytest.raises(FileNotFoundError):
+        read_rollup_facts(spark, output)
+
+
 def test_rollup_needs_a_complete_source(spark, tmp_path, raw):
     root = str(tmp_path / "lake")
     load(spark, str(raw), root)
-    with pytest.raises(RollupError, match="dim_calendar_month, dim_country, dim_ncm, dim_unit"):
+    with pytest.raises(RollupError, match="sem dim_calendar_month, dim_country, dim_ncm, dim_unit"):
         build_rollup(spark, root, str(tmp_path / "rollup"))
 
 
