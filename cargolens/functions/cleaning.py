@@ -19,7 +19,6 @@ from cargolens.model import UNCLASSIFIED, UNINFORMED_STATE
 # Casts ignore outer blanks, so the patterns allow them and nothing is trimmed first.
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?\d+)?"
-_PLAIN_INTEGER = r"^\s*[+-]?\d{1,9}\s*$"
 # A whole number with the ".0" that a spreadsheet adds to it.
 _WHOLE_WITH_ZEROS = r"^\s*[+-]?(\d+)\.0+\s*$"
 
@@ -40,26 +39,35 @@ def _without_separators(text: Column) -> Column:
 def parse_integer(text: Column) -> Column:
     """Year or month text to INT; decimals round, anything unreadable is NULL.
 
-    Hexadecimal (0x) and binary (0b) spellings are read as well.
+    Whole numbers, as nearly all are, are cast at once; only the rest meets a pattern. Hexadecimal
+    (0x) and binary (0b) spellings are read as well.
     """
     rounded = F.round(_without_separators(text).try_cast("double"))
     # Any number of digits; conv() stops at 64 bits, which no year or month reaches.
     digits = F.substring(F.trim(text), 3, 2**31 - 1)
-    return (
-        F.when(text.rlike(_PLAIN_INTEGER), text.cast("int"))
-        .when(text.rlike(rf"^\s*{_NUMBER}\s*$"), rounded.try_cast("int"))
+    other = (
+        F.when(text.rlike(rf"^\s*{_NUMBER}\s*$"), rounded.try_cast("int"))
         .when(text.rlike(r"^ *0[xX][0-9a-fA-F]+ *$"), F.conv(digits, 16, 10).try_cast("int"))
         .when(text.rlike(r"^ *0[bB][01]+ *$"), F.conv(digits, 2, 10).try_cast("int"))
     )
+    return F.coalesce(text.try_cast("int"), other)
+
+
+def plain_numbers(*texts: Column) -> Column:
+    """Whether all of ``texts`` are digits with one decimal mark at most, empty or NULL."""
+    return F.concat_ws(";", *texts).rlike(r"^(?:(?:\d++(?:[.,]\d*+)?)?+(?:;|$))*+$")
 
 
-def parse_measure(text: Column) -> Column:
+def parse_measure(text: Column, plain: Column | None = None) -> Column:
     """Measure text to DOUBLE, with a comma or a dot as the decimal mark.
 
-    "NaN" becomes NULL like all text that is no number: NaN would poison sums.
+    "NaN" becomes NULL like all text that is no number: NaN would poison sums. Where ``plain``
+    holds, the text is cast without being matched by itself; see ``plain_numbers``.
     """
     dotted = F.replace(text, F.lit(","), F.lit("."))
     number = dotted.rlike(rf"^\s*(?:{_NUMBER}|[+-]?(?i:inf(?:inity)?))\s*$")
+    if plain is not None:
+        number = plain | number
     return F.when(number, _without_separators(dotted).try_cast("double"))
 
 

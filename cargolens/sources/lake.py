@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from functools import reduce
 from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,11 @@ from cargolens.sources.raw import (
     RawFileError,
     clean_facts,
     discover_fact_files,
-    inspect_files,
     load_report,
     missing_columns,
+    observed_kinds,
     read_raw,
+    with_headers,
 )
 
 PARTITIONS = ("FLUXO", "CO_ANO", "SOURCE_ID")
@@ -90,11 +91,16 @@ def plan_load(files: DataFrame, loads: DataFrame) -> tuple[DataFrame, DataFrame]
     return changed.drop("known"), loads.join(files, "source_file", "left_anti")
 
 
-def _layouts(inspected: list) -> list[Layout]:
-    groups: dict[tuple[str, str, str], list[str]] = {}
-    for row in inspected:
-        groups.setdefault((row.flow, row.charset, row.header), []).append(row.path)
-    return [Layout(*key, tuple(sorted(paths))) for key, paths in sorted(groups.items())]
+def _layouts(files: list, seen: dict[str, tuple[str, bool, bool]] | None = None) -> list[Layout]:
+    """Files that are read together; with ``seen``, by the charset and line breaks found in them."""
+    groups: dict[tuple, list[str]] = {}
+    for row in files:
+        charset, quoted, _ = seen[row.source_file] if seen else (None, False, False)
+        groups.setdefault((row.flow, row.header, charset or "", quoted), []).append(row.path)
+    return [
+        Layout(flow, header, tuple(sorted(paths)), charset or None, quoted)
+        for (flow, header, charset, quoted), paths in sorted(groups.items())
+    ]
 
 
 def _raise_on(problems: DataFrame, text) -> None:
@@ -144,9 +150,9 @@ def load(
     if not (to_read or gone or dimensions):
         return LoadResult(0, len(listing), 0, 0)
 
-    batch = generations.new_id()
+    batches = [generations.new_id(), generations.new_id()]
     try:
-        loaded = _load_batch(spark, root, batch, to_read) if to_read else []
+        loaded = _load_files(spark, root, batches, to_read) if to_read else []
         tables = dict(before.tables) if before else {}
         for name, frame in (dimensions or {}).items():
             tables[DIMENSIONS[name]] = generations.write_table(frame, root, DIMENSIONS[name])
@@ -155,55 +161,78 @@ def load(
         after = kept.unionByName(spark.createDataFrame(loaded, FILES_SCHEMA))
         tables["files"] = generations.write_table(after.coalesce(1), root, "files")
     except Exception:
-        storage.remove(spark, f"{root}/fact/{generations.BATCH}={batch}")
+        _remove_batches(spark, root, batches)
         raise
     try:
         generations.publish(spark, root, before, tables)
     except generations.ConcurrentWrite:
         # After any other failure it is not known whether the generation holds, so its facts stay.
-        storage.remove(spark, f"{root}/fact/{generations.BATCH}={batch}")
+        _remove_batches(spark, root, batches)
         raise
     generations.expire(spark, root)
     return LoadResult(len(to_read), len(listing) - len(to_read), gone, sum(row[3] for row in loaded))
 
 
-def _load_batch(spark: SparkSession, root: str, batch: str, to_read: list) -> list[tuple]:
-    """Write the facts of the given raw files and check them; their entries in ``files``."""
-    files = spark.createDataFrame(to_read)
-    seen = inspect_files(spark, [row.path for row in to_read])
-    inspected = files.join(seen, "source_file", "left").withColumn(
-        "header", F.coalesce("header", F.lit(""))
-    )
-    found = inspected.collect()
+def _remove_batches(spark: SparkSession, root: str, batches: list[str]) -> None:
+    for batch in batches:
+        storage.remove(spark, f"{root}/fact/{generations.BATCH}={batch}")
+
+
+def _load_files(spark: SparkSession, root: str, batches: list[str], to_read: list) -> list[tuple]:
+    """Write the facts of the given raw files and check them; their entries in ``files``.
+
+    All files are read once, into the first batch. Those that turn out to have line breaks
+    inside quotes, or rows that look like different charsets, are read again into the second.
+    """
+    files = with_headers(spark, spark.createDataFrame(to_read))
+    found = files.collect()
     _raise_on(
-        missing_columns(spark.createDataFrame(found, inspected.schema)),
+        missing_columns(spark.createDataFrame(found, files.schema)),
         F.concat(F.lit("Colunas ausentes em "), "file_name", F.lit(": "), F.array_join("missing", ", ")),
     )
-
-    cleaned = [clean_facts(read_raw(spark, layout), layout.flow) for layout in _layouts(found)]
-    facts = reduce(DataFrame.unionByName, cleaned).withColumn("SOURCE_ID", source_id(F.col("SOURCE_FILE")))
-
-    place = f"{root}/fact/{generations.BATCH}={batch}"
-    # Rows of one raw file are neighbours already; sorting within the task gives
-    # tight month and product ranges per row group without a shuffle.
-    facts.sortWithinPartitions(*PARTITIONS, "CO_MES", "CO_NCM").write.partitionBy(*PARTITIONS).parquet(place)
-    # The check needs folder names and row counts only, no column of the files.
-    written = spark.read.schema(fact_storage_schema()).parquet(place)
-    named = files.withColumn("SOURCE_ID", source_id(F.col("source_file")))
-    report = load_report(named, written.select("SOURCE_ID", "CO_ANO"), "SOURCE_ID").collect()
-    bad = sorted(f"{row.file_name}: {row.problem}" for row in report if row.problem)
+    seen = _write_facts(spark, root, batches[0], _layouts(found))
+    again = {file for file, (_, quoted, mixed) in seen.items() if quoted or mixed}
+    once = [row for row in found if row.source_file not in again]
+    twice = [row for row in found if row.source_file in again]
+    if twice:
+        _write_facts(spark, root, batches[1], _layouts(twice, seen))
+    report = [(batches[0], row) for row in _report(spark, root, batches[0], once)]
+    report += [(batches[1], row) for row in _report(spark, root, batches[1], twice)]
+    bad = sorted(f"{row.file_name}: {row.problem}" for _, row in report if row.problem)
     if bad:
         raise RawFileError("; ".join(bad[:5]))
-    now = _now()
+    now, folders = _now(), {batches[0]: len(found), batches[1]: len(twice)}
     return [
         (
             r.source_file, r.flow, r.fingerprint, r.rows_loaded, now, r.file_year, batch,
-            f"FLUXO={r.flow}/CO_ANO={r.file_year}/SOURCE_ID={r.SOURCE_ID}", len(report),
+            f"FLUXO={r.flow}/CO_ANO={r.file_year}/SOURCE_ID={r.SOURCE_ID}", folders[batch],
         )
-        for r in report
+        for batch, r in report
     ]
 
 
+def _write_facts(spark: SparkSession, root: str, batch: str, layouts: list[Layout]) -> dict[str, tuple[str, bool, bool]]:
+    """Clean the rows of raw files into a batch; what their bytes were, by file."""
+    observed = [Observation() for _ in layouts]
+    cleaned = [clean_facts(read_raw(spark, layout, seen), layout.flow) for layout, seen in zip(layouts, observed)]
+    facts = reduce(DataFrame.unionByName, cleaned).withColumn("SOURCE_ID", source_id(F.col("SOURCE_FILE")))
+    # Rows of one raw file are neighbours already; sorting within the task gives
+    # tight month and product ranges per row group without a shuffle.
+    ordered = facts.sortWithinPartitions(*PARTITIONS, "CO_MES", "CO_NCM")
+    ordered.write.partitionBy(*PARTITIONS).parquet(f"{root}/fact/{generations.BATCH}={batch}")
+    return {file: kinds for seen in observed for file, kinds in observed_kinds(seen).items()}
+
+
+def _report(spark: SparkSession, root: str, batch: str, files: list) -> list:
+    """Row counts and years of the facts of ``files``, from folder names and row counts alone."""
+    if not files:
+        return []
+    place = f"{root}/fact/{generations.BATCH}={batch}"
+    written = spark.read.schema(fact_storage_schema()).parquet(place)
+    named = spark.createDataFrame(files).withColumn("SOURCE_ID", source_id(F.col("source_file")))
+    return load_report(named, written.select("SOURCE_ID", "CO_ANO"), "SOURCE_ID").collect()
+
+
 def fact_storage_schema() -> T.StructType:
     """Columns of the stored facts, the partition columns last."""
     data = [f for f in FACT_SCHEMA if f.name not in PARTITIONS]

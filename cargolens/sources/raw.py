@@ -1,7 +1,8 @@
 """Raw fact files: finding them, checking them, reading and cleaning their rows.
 
-All checks of a batch run as one or two Spark jobs over all its files. The driver
-handles file names and counts only.
+Rows are read once, byte for byte, and cleaned at once. What the bytes of each file turn out to
+be is observed on the way; the few files that need it are read a second time. The driver handles
+file names, header lines and counts only.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -22,6 +23,7 @@ from cargolens.functions.cleaning import (
     pad_code,
     parse_integer,
     parse_measure,
+    plain_numbers,
     state_code,
 )
 from cargolens.model import (
@@ -32,11 +34,11 @@ from cargolens.model import (
     IMPORT_COLUMNS,
     MEASURES,
 )
+from cargolens.sources import storage
 
 UTF8, WINDOWS, LATIN = "utf-8", "windows-1252", "latin-1"
 REQUIRED = {EXPORT: EXPORT_COLUMNS, IMPORT: IMPORT_COLUMNS}
 NUMERIC = ("CO_ANO", "CO_MES", *MEASURES)
-_BOM = "﻿"
 
 
 class RawFileError(ValueError):
@@ -58,8 +60,12 @@ def _cp1252_only() -> tuple[str, str]:
 _CONTROLS, _LETTERS = _cp1252_only()
 # Bytes without a meaning in Windows-1252.
 _UNDEFINED = [bytes([b]) for b in range(0x80, 0xA0) if chr(b) not in _CONTROLS]
-# A line with a column name such as CO_ANO or "vl fob" in it; data rows have none.
-_HEADER_LIKE = r"(?i)(^|;)[\s\"\x{FEFF}]*(co|sg|qt|kg|vl)[_\s]+[a-z]"
+# What a row's bytes are: ASCII, else valid UTF-8, else defined in Windows-1252, else Latin-1.
+PLAIN, IS_UTF8, IS_WINDOWS, IS_LATIN = range(4)
+CHARSETS = {PLAIN: UTF8, IS_UTF8: UTF8, IS_WINDOWS: WINDOWS, IS_LATIN: LATIN}
+_BROKEN = "_broken"
+# Bytes of a file that its header line is looked for in.
+HEADER_BYTES = 65_536
 
 
 def discover_fact_files(spark: SparkSession, raw_dir: str) -> DataFrame:
@@ -95,43 +101,46 @@ def discover_fact_files(spark: SparkSession, raw_dir: str) -> DataFrame:
     )
 
 
+def _kind(text: Column) -> Column:
+    """What the bytes of ``text`` are, one character per byte."""
+    raw = F.encode(text, "ISO-8859-1")
+    undefined = reduce(or_, [F.contains(raw, F.lit(b)) for b in _UNDEFINED])
+    beyond_ascii = F.octet_length(text) > F.length(text)
+    return (
+        F.when(~beyond_ascii, PLAIN)
+        .when(F.is_valid_utf8(raw.cast("string")), IS_UTF8)
+        .when(undefined, IS_LATIN)
+        .otherwise(IS_WINDOWS)
+    )
+
+
 def inspect_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Charset and header line of each file, from one pass over the whole files.
+    """The charset of each file, from one pass over the whole files.
 
-    UTF-8 when every line is valid UTF-8, else Windows-1252 unless a byte occurs
-    that it does not define, else Latin-1.
+    UTF-8 when every line is valid UTF-8, else Windows-1252 unless a line has a byte that it
+    does not define, else Latin-1.
     """
-    lines = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("position"),
-    )
-    valid = F.is_valid_utf8("value")
-    raw_bytes = F.col("value").cast("binary")
-    undefined = reduce(or_, [F.contains(raw_bytes, F.lit(b)) for b in _UNDEFINED])
-    # Only lines that look like a header are kept, one per file as a rule. A plain
-    # min_by of texts would make Spark sort every line of every file. Rows that start
-    # with a digit, as data does, are told apart without a regular expression.
-    in_first_block = F.col("block") == 0
-    starts_with_digit = F.substring("value", 1, 1).between("0", "9")
-    candidate = F.when(
-        in_first_block & ~starts_with_digit & F.col("value").rlike(_HEADER_LIKE),
-        F.struct("position", "value"),
-    )
-    files = lines.groupBy("source_file").agg(
-        F.min(valid).alias("is_utf8"),
-        F.max(~valid & undefined).alias("is_latin"),
-        F.min(F.when(in_first_block, F.col("position"))).alias("first"),
-        F.array_min(F.collect_set(candidate)).alias("head"),
-    )
-    charset = F.when(F.col("is_utf8"), UTF8).when(F.col("is_latin"), LATIN).otherwise(WINDOWS)
-    header = F.when(F.col("head.position") == F.col("first"), F.col("head.value")).otherwise("")
-    return files.select(
-        "source_file",
-        charset.alias("charset"),
-        F.regexp_replace(header, f"^{_BOM}|\r$", "").alias("header"),
-    )
+    lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x00").option("quote", "").schema("value string").csv(paths)
+    files = lines.groupBy(F.col("_metadata.file_path").alias("source_file")).agg(F.max(_kind(F.coalesce("value", F.lit("")))).alias("kind"))
+    charset = reduce(lambda c, kind: c.when(F.col("kind") == kind, CHARSETS[kind]), (PLAIN, IS_UTF8, IS_LATIN), F)
+    return files.select("source_file", charset.otherwise(WINDOWS).alias("charset"))
+
+
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, read by itself."""
+    first = storage.first_bytes(spark, path, HEADER_BYTES).splitlines()[:1]
+    line = first[0] if first else b""
+    try:
+        return line.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return line.decode("latin-1").translate(str.maketrans(_CONTROLS, _LETTERS))
+
+
+def with_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``files`` with their header lines; as many rows as there are files."""
+    found = files.collect()
+    headers = [(r.source_file, header_line(spark, r.path)) for r in found]
+    return files.join(spark.createDataFrame(headers, "source_file string, header string"), "source_file")
 
 
 def header_names(header: Column) -> Column:
@@ -151,43 +160,76 @@ def missing_columns(files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Files that can be read together: one flow, one charset, one header line."""
+    """Files that can be read together: one flow and one header line.
+
+    ``charset`` is that of all of them, or None where it is not known yet. In files that have
+    line breaks inside quotes a row can be found only from the start of the file.
+    """
 
     flow: str
-    charset: str
     header: str
     paths: tuple[str, ...]
+    charset: str | None = None
+    quoted_breaks: bool = False
 
     @property
     def columns(self) -> list[str]:
         return [normalize_header(cell.strip().strip('"')) for cell in self.header.split(";")]
 
 
-def read_raw(spark: SparkSession, layout: Layout) -> DataFrame:
-    """All columns as text, with the file each row came from. No inference pass."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in layout.columns])
+def read_raw(spark: SparkSession, layout: Layout, seen: Observation | None = None) -> DataFrame:
+    """The columns that facts need as text, with the file each row came from. No inference pass.
+
+    Without a charset every row is read by what its own bytes are. ``seen`` then observes, for
+    each file, which kinds of rows it has, and whether rows look cut by a quoted line break:
+    ``observed_kinds`` tells which files have to be read again.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*layout.columns, _BROKEN]])
     rows = (
         spark.read.schema(schema)
         .option("sep", ";")
         .option("header", True)
         .option("enforceSchema", True)
         .option("escape", '"')
-        .option("encoding", "UTF-8" if layout.charset == UTF8 else "ISO-8859-1")
+        .option("encoding", "ISO-8859-1")
+        .option("columnNameOfCorruptRecord", _BROKEN)
+        .option("multiLine", layout.quoted_breaks)
         .csv(list(layout.paths))
         .withColumn("SOURCE_FILE", F.col("_metadata.file_path"))
     )
-    if layout.charset == WINDOWS:
-        # Windows-1252 is Latin-1 but for these characters, which no number contains.
-        rows = rows.withColumns(
-            {
-                c: F.when(
-                    F.octet_length(c) > F.length(c), F.translate(c, _CONTROLS, _LETTERS)
-                ).otherwise(F.col(c))
-                for c in layout.columns
-                if c not in NUMERIC
-            }
-        )
-    return rows
+    kind = _kind(F.concat_ws(";", *layout.columns))
+    if layout.charset is not None:
+        kind = F.lit(max(k for k, c in CHARSETS.items() if c == layout.charset))
+    rows = rows.withColumn("_kind", kind)
+    if seen is not None:
+        # At most five entries a file.
+        cut = F.contains(_BROKEN, F.lit('"'))
+        entry = F.struct(F.col("SOURCE_FILE").alias("file"), F.when(cut, -1).otherwise(F.col("_kind")).alias("kind"))
+        rows = rows.observe(seen, F.collect_set(F.when(cut | (F.col("_kind") > PLAIN), entry)).alias("kinds"))
+
+    texts = [c for c in layout.columns if c in REQUIRED[layout.flow] and c not in NUMERIC]
+    # Numbers need no decoding, and rows of ASCII none at all. One array for all cells, as the
+    # steps for the few other rows would make the compiled code of each cell too large.
+    cells = F.array(*texts)
+    utf8 = F.transform(cells, lambda c: F.decode(F.encode(c, "ISO-8859-1"), "UTF-8"))
+    # Windows-1252 is Latin-1 but for these characters.
+    windows = F.transform(cells, lambda c: F.translate(c, _CONTROLS, _LETTERS))
+    read = F.when(F.col("_kind") == IS_UTF8, utf8).when(F.col("_kind") == IS_WINDOWS, windows).otherwise(cells)
+    rows = rows.withColumn("_cells", read)
+    decoded = [F.col("_cells")[k].alias(c) for k, c in enumerate(texts)]
+    return rows.select(*[F.col(c) for c in layout.columns if c in NUMERIC], *decoded, "SOURCE_FILE")
+
+
+def observed_kinds(seen: Observation) -> dict[str, tuple[str, bool, bool]]:
+    """By file: its charset, whether it has quoted line breaks, and whether its rows were read as
+    different charsets. Files of ASCII rows are left out.
+    """
+    kinds: dict[str, set[int]] = {}
+    for row in seen.get["kinds"]:
+        kinds.setdefault(row["file"], set()).add(row["kind"])
+    return {
+        file: (CHARSETS[max(PLAIN, *found)], -1 in found, len(found - {-1}) > 1) for file, found in kinds.items()
+    }
 
 
 def clean_facts(raw: DataFrame, flow: str) -> DataFrame:
@@ -195,9 +237,11 @@ def clean_facts(raw: DataFrame, flow: str) -> DataFrame:
 
     Exports carry no freight and insurance.
     """
+    given = [m for m in MEASURES if m in REQUIRED[flow]]
+    plain = plain_numbers(*map(F.col, given))
+
     def measure(name: str) -> Column:
-        absent = flow == EXPORT and name in ("VL_FRETE", "VL_SEGURO")
-        return as_constant(None, "double") if absent else parse_measure(F.col(name))
+        return parse_measure(F.col(name), plain) if name in given else as_constant(None, "double")
 
     cleaned = {
         "FLUXO": as_constant(flow),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.functions.cleaning import parse_integer
+from cargolens.sources.keyed import KeyedTable, write_keyed
 
 EXEMPTION_TEXTS = ("LIMITACOES_ESCOPO", "CODIGOS_HTSUS", "DESCRICAO_HTSUS_EXEMPLO", "TIPO_ESCOPO_SH6")
 EXEMPTION_COUNTS = (
@@ -38,29 +39,32 @@ def pad_sh6():
     return F.when(F.length(code) < 6, F.lpad(code, 6, "0")).otherwise(code)
 
 
-def unique_exemptions(exemptions: DataFrame) -> DataFrame:
-    """The list with one row per code; a repeated code fails the query that reads it."""
+def write_exemptions(exemptions: DataFrame, path: str) -> KeyedTable:
+    """Store the list with its codes padded and declared unique, so that queries join it as it is."""
+    return write_keyed(exemptions.withColumn("CO_SH6", pad_sh6()), path, ("CO_SH6",))
+
+
+def unique_exemptions(exemptions: DataFrame | KeyedTable) -> DataFrame:
+    """The list with one row per code; a repeated code fails the query that reads it.
+
+    A list with a declared key needs no check in the query.
+    """
+    if isinstance(exemptions, KeyedTable):
+        return exemptions.frame
     padded = exemptions.withColumn("CO_SH6", pad_sh6())
     others = [c for c in padded.columns if c != "CO_SH6"]
-    once = F.count(F.lit(1)) == 1
-    failure = F.raise_error(
-        F.concat(F.lit("Código SH6 repetido na referência de isenções: "), F.col("CO_SH6"))
-    )
-    # The guard sits on the columns that decide the status, so it cannot be pruned away.
-    return padded.groupBy("CO_SH6").agg(
-        *[
-            (
-                F.when(once, F.first(c)).otherwise(failure.cast(padded.schema[c].dataType))
-                if c in ("QTD_LINHAS_HTSUS", "TIPO_ESCOPO_SH6")
-                else F.first(c)
-            ).alias(c)
-            for c in others
-        ]
-    )
-
-
-def exemption_codes(exemptions: DataFrame) -> DataFrame:
+    failure = F.raise_error(F.concat(F.lit("Código SH6 repetido na referência de isenções: "), F.col("CO_SH6")))
+    row = F.struct(*others)
+    # One value per group, so nothing is sorted; the guard is a filter and cannot be pruned away.
+    listed = padded.groupBy("CO_SH6").agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("_row"))
+    alone = F.when(F.col("_n") > 1, failure.cast("boolean")).otherwise(True)
+    return listed.where(alone).select("CO_SH6", "_row.*")
+
+
+def exemption_codes(exemptions: DataFrame | KeyedTable) -> DataFrame:
     """The distinct codes of the list, padded before they are compared."""
+    if isinstance(exemptions, KeyedTable):
+        return exemptions.frame.select("CO_SH6")
     return exemptions.select(pad_sh6().alias("CO_SH6")).distinct()
 
 

@@ -83,3 +83,19 @@ def read_text(spark: SparkSession, path: str) -> str:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+def first_bytes(spark: SparkSession, path: str, most: int) -> bytes:
+    """The beginning of a file."""
+    fs, source = _handle(spark, path)
+    stream = fs.open(source)
+    try:
+        return bytes(stream.readNBytes(most))
+    finally:
+        stream.close()
+
+
+def list_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and size of each file in a folder, folders below it aside."""
+    fs, target = _handle(spark, path)
+    return [(f.getPath().getName(), f.getLen()) for f in fs.listStatus(target) if f.isFile()]

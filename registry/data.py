@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cargolens.model import TradeTables
 from cargolens.operators.exemptions import consolidate_exemptions
+from cargolens.sources.keyed import KeyedTable, read_keyed
+from cargolens.sources.references import write_exemptions
 from cargolens.sources.storage import shared_folder
 from registry.views import GIVEN, USES, VIEWS
 
@@ -85,14 +87,16 @@ class Data:
         )
 
     @cached_property
-    def exemptions(self) -> DataFrame:
-        """The consolidated exemption list, stored like the file it stands for."""
-        path = f"{self.folder}/exemptions"
+    def listed(self) -> KeyedTable:
+        """The consolidated exemption list, stored with its key declared."""
         lines = self.derived("htsus_lines")
-        consolidate_exemptions(
-            lines, source="derived", annex="Anexo II", effective_date="2026-07-22"
-        ).write.parquet(path)
-        return self.spark.read.parquet(path)
+        found = consolidate_exemptions(lines, source="derived", annex="Anexo II", effective_date="2026-07-22")
+        write_exemptions(found, f"{self.folder}/exemptions")
+        return read_keyed(self.spark, f"{self.folder}/exemptions")
+
+    @property
+    def exemptions(self) -> DataFrame:
+        return self.listed.frame
 
 
 _open: dict[tuple[str, str], Data] = {}

@@ -70,7 +70,7 @@ _VIEWS = ("star", "exemptions")
 
 
 def _exposure(d):
-    return product_exposure(d.tables, YEAR_1998, d.exemptions)
+    return product_exposure(d.tables, YEAR_1998, d.listed)
 
 
 register(
@@ -111,7 +111,7 @@ FROM afetado)
     )
     register(
         f"q9_state_products_{_level.lower()}",
-        lambda d, v=_level: state_products(d.tables, YEAR_1998, d.exemptions, "SP", v),
+        lambda d, v=_level: state_products(d.tables, YEAR_1998, d.listed, "SP", v),
         _STATE_PRODUCTS + "SELECT * FROM produtos",
         _VIEWS,
         _DOUBLES,
@@ -120,7 +120,7 @@ FROM afetado)
         register(
             "q22_affected_products_of_state",
             lambda d: select_result(
-                state_products(d.tables, YEAR_1998, d.exemptions, "SP"),
+                state_products(d.tables, YEAR_1998, d.listed, "SP"),
                 where=F.col("VALOR_POTENCIALMENTE_AFETADO") > 0,
                 order_by="VALOR_POTENCIALMENTE_AFETADO",
                 tiebreak=("CODIGO",),
@@ -174,7 +174,7 @@ for _level, _group, _keys in (
 ):
     register(
         f"q10_sector_impact_{_level.lower()}",
-        lambda d, v=_level: sector_impact(d.tables, YEAR_1998, d.exemptions, v),
+        lambda d, v=_level: sector_impact(d.tables, YEAR_1998, d.listed, v),
         _impact_sql(_group, _keys)
         + "SELECT * EXCLUDE (EXPOSICAO), EXPOSICAO AS EXPOSICAO_EXPORTACOES_SETOR FROM impacto",
         _VIEWS,
@@ -183,7 +183,7 @@ for _level, _group, _keys in (
 register(
     "q22_most_exposed_sector",
     lambda d: select_result(
-        sector_impact(d.tables, YEAR_1998, d.exemptions, "SETOR"),
+        sector_impact(d.tables, YEAR_1998, d.listed, "SETOR"),
         order_by="VALOR_POTENCIALMENTE_AFETADO", tiebreak=("SETOR",), n=1,
     ).select("SETOR", "VALOR_POTENCIALMENTE_AFETADO", "PARTICIPACAO_EUA"),
     _impact_sql("SETOR", "SETOR")
@@ -202,7 +202,7 @@ _UF_DOUBLES = (*_IMPACT_DOUBLES, "EXPOSICAO_EXPORTACOES_UF", "PARTICIPACAO_NO_AF
 
 
 def _states(d):
-    return state_impact(d.tables, YEAR_1998, d.exemptions)
+    return state_impact(d.tables, YEAR_1998, d.listed)
 
 
 register("q11_state_impact", _states, _UF + "SELECT * FROM estados", _VIEWS, _UF_DOUBLES)

@@ -27,6 +27,7 @@ from cargolens.sources.raw import (
     inspect_files,
     load_report,
     missing_columns,
+    with_headers,
 )
 from cargolens.sources.references import read_exemptions, read_tariff_series
 from cargolens.sources.rollup import (
@@ -122,7 +123,8 @@ class Files:
 
     def inspected(self) -> DataFrame:
         paths = [row.path for row in self.found.select("path").collect()]
-        return self.found.join(inspect_files(self.data.spark, paths), "source_file")
+        files = self.found.join(inspect_files(self.data.spark, paths), "source_file")
+        return with_headers(self.data.spark, files)
 
 
 _files: dict[int, Files] = {}
@@ -140,8 +142,9 @@ register(
 )
 register(
     "s3_charsets",
-    lambda d: files(d).inspected().select("flow", "charset").distinct(),
-    "SELECT DISTINCT FLUXO AS flow, CASE FLUXO WHEN 'EXP' THEN 'utf-8' ELSE 'windows-1252' END AS charset FROM fact",
+    lambda d: files(d).inspected().select("flow", "file_year", "charset").distinct(),
+    """SELECT DISTINCT FLUXO AS flow, CO_ANO AS file_year, CASE WHEN FLUXO = 'EXP' THEN 'utf-8'
+  WHEN CO_ANO = 2000 THEN 'latin-1' ELSE 'windows-1252' END AS charset FROM fact""",
     ("fact",),
 )
 register(

@@ -1,7 +1,8 @@
 """A raw folder written from the facts, as the official files would look.
 
-Exports are UTF-8; imports are Windows-1252 with headers in lower case.
-Numbers have a decimal comma. An extra column carries accented text.
+Exports are UTF-8; imports are Windows-1252 with headers in lower case, those of 2000 Latin-1.
+Numbers have a decimal comma. An extra column carries accented text, in the exports of 1998 with
+line breaks and separators inside quotes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ def write_raw_folder(spark: SparkSession, fact: DataFrame, folder: str) -> str:
         names = [c.lower() if flow == IMPORT else c for c in columns]
         texts = fact.where(F.col("FLUXO") == flow).select(
             *[F.translate(F.col(c).cast("string"), ".", ",").alias(n) for c, n in zip(columns, names)],
-            F.lit("Operação").alias("OBS"),
+            F.when((F.lit(flow) == EXPORT) & (F.col("CO_ANO") == 1998) & (F.col("CO_MES") > 6), 'Operação\nem "duas"; linhas')
+            .when((F.lit(flow) == IMPORT) & (F.col("CO_ANO") == 2000), "Operação \x81")
+            .otherwise("Operação")
+            .alias("OBS"),
             F.concat(F.lit(f"{flow}_"), F.col("CO_ANO").cast("string")).alias("FILE"),
         )
         parts = f"{folder}/parts/{flow.lower()}"
@@ -29,6 +33,7 @@ def write_raw_folder(spark: SparkSession, fact: DataFrame, folder: str) -> str:
             .write.partitionBy("FILE")
             .option("sep", ";")
             .option("header", True)
+            .option("escape", '"')
             .option("encoding", CHARSETS[flow])
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)

@@ -11,7 +11,7 @@ from cargolens.operators.quality import load_log, quality_report
 from cargolens.operators.trade import hierarchy_table, summary_metrics
 from cargolens.sources.export import with_decimal_comma, write_csv
 from cargolens.plans.star import facts_by, star
-from cargolens.sources import generations, rollup, storage
+from cargolens.sources import generations, lake, rollup, storage
 from cargolens.sources.lake import load, open_tables, read_facts, read_loads, source_report
 from cargolens.sources.raw import RawFileError, inspect_files
 from cargolens.sources.rollup import (
@@ -366,3 +366,27 @@ def test_export(spark, tmp_path):
     part = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv"][0]
     assert part.read_text(encoding="utf-8").splitlines() == [
         "t;v;n", '"á;b";12345678,5;1', '"say ""x""";0,30000000000000004;2', ";;3"]
+
+
+def test_one_pass_over_raw_files(spark, raw, tmp_path, monkeypatch):
+    """Clean files are read once; a file with quoted line breaks, or rows of two charsets, twice."""
+    root, reads, real = str(tmp_path / "lake"), [], lake.read_raw
+    monkeypatch.setattr(lake, "read_raw", lambda s, layout, seen: reads.append(layout) or real(s, layout, seen))
+    load(spark, str(raw), root)
+    assert sorted((r.flow, len(r.paths), r.charset) for r in reads) == [("EXP", 2, None), ("IMP", 1, None)]
+    reads.clear()
+
+    noted = EXPORT_HEADER + ";OBS"
+    write(raw, "EXP_2019.csv", [noted, export_row(2019) + ';"first', 'second; ""third"""', export_row(2019, "2") + ";x"])
+    mixed = [noted, export_row(2018, uf="Ã£") + ";?", export_row(2018, "2", uf="ã") + ";?"]
+    write(raw, "EXP_2018.csv", mixed, "cp1252")
+    write(raw, "EXP_2017.csv", [noted, export_row(2017, uf="ã") + ";é", export_row(2017, "2", uf="€") + ";?"], "cp1252")
+    write(raw, "EXP_2016.csv", [noted, export_row(2016, uf="ã") + ";€"])
+    assert load(spark, str(raw), root).rows_loaded == 7
+    assert [(r.charset, r.quoted_breaks, len(r.paths)) for r in reads] == [(None, False, 4), ("utf-8", True, 1), ("windows-1252", False, 1)]
+    states = {}
+    for r in rows(read_facts(spark, root).where("CO_ANO < 2020").orderBy("CO_ANO", "CO_MES")):
+        states.setdefault(r["CO_ANO"], []).append(r["SG_UF_NCM"])
+    assert states == {2016: ["Ã"], 2017: ["Ã", "€"], 2018: ["Ã£".upper(), "Ã"], 2019: ["SP", "SP"]}
+    assert len({r["batch"] for r in map(lambda f: f.asDict(), generations.current(spark, root).files(spark))}) == 3
+    assert load(spark, str(raw), root).files_loaded == 0
