@@ -8,6 +8,7 @@ enough is ``unknown``; how well is enough is calibrated by leaving out each fami
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from bisect import bisect_left
@@ -68,7 +69,17 @@ NONE, UNKNOWN = "none", "unknown"
 VARIANTS, PROSE, SAMPLE_DOCS = 40, 1500, 400
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 #: What comments begin and end their lines with.
-_COMMENT = re.compile(r"^\s*(?:(?:dnl|rem)\s|\.\\\")?[\s/*#;%!<>|'\"-]*|[\s/*#;%!<>|-]*$", re.IGNORECASE)
+_BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
+_MARK = re.compile(r"(?:dnl|rem)\s|\.\\\"", re.IGNORECASE)
+_BEFORE, _AFTER = f"{_BLANKS}/*#;%!<>|'\"-", f"{_BLANKS}/*#;%!<>|-"
+
+
+def uncommented(line: str) -> str:
+    """A line without its comment marks and outer blanks, in time that follows its length."""
+    bare = line.lstrip(_BLANKS)
+    if mark := _MARK.match(bare):
+        bare = bare[mark.end() :]
+    return bare.lstrip(_BEFORE).rstrip(_AFTER)
 
 
 def grams(text: str) -> Counter:
@@ -186,6 +197,81 @@ def _template_grams(family: str) -> tuple[Counter, ...]:
     return tuple(grams(t) for t in TEMPLATES.get(family, ()))
 
 
+class Bound:
+    """Whether words can reach a chance of one half of being a licence, told without n-grams.
+
+    A text is a licence by half or more only if some family's weighted sum comes within
+    log(families) of that of ``none``. Each word adds at most its own largest difference and
+    those of the best known n-grams that begin with it, over a norm that is no less than the root of
+    the number of n-grams. So nothing that ``Model.chances`` would find is passed over.
+    """
+
+    def __init__(self, model: Model) -> None:
+        none = model.classes.index(NONE)
+        self._gains: dict[str, list[float]] = {}
+        for gram, row in model.weights.items():
+            first, *rest = gram.split(" ")
+            gain = max(0.0, float(np.delete(row, none).max() - row[none]))
+            best = self._gains.setdefault(first, [0.0, 0.0, 0.0])
+            best[len(rest)] = max(best[len(rest)], gain)
+        bias = float(np.delete(model.bias, none).max() - model.bias[none])
+        self._least = -model.temperature * math.log(len(model.classes) - 1) - bias - 1e-6
+
+    def reached(self, words: list[str]) -> bool:
+        one = two = three = 0.0
+        after = later = None  # gains of the next word and of the one behind it
+        for gains in map(self._gains.get, reversed(words)):
+            if gains is not None:
+                one += gains[0]
+                if after is not None:
+                    two += gains[1]
+                    if later is not None:
+                        three += gains[2]
+            after, later = gains, after
+        norm = max(1.0, sum(max(0, len(words) - k) for k in range(3)) ** 0.5)
+        return (one + two + three) / norm >= self._least
+
+
+@dataclass(frozen=True)
+class Needed:
+    """The words of a template, and how many different ones a text that is ``confirm`` like it has."""
+
+    family: str
+    words: frozenset[str]
+    least: int
+
+
+def needed_words(confirm: float) -> list[Needed]:
+    out = []
+    for family in TEMPLATES:
+        for own in _template_grams(family):
+            single = sorted((n for g, n in own.items() if " " not in g), reverse=True)
+            # Every missing word is missing as an n-gram of its own; so much may be missing.
+            left, least = sum(single) - (1 - confirm) * sum(own.values()) - 1e-9, 0
+            while left > 0:
+                left -= single[least]
+                least += 1
+            out.append(Needed(family, frozenset(g for g in own if " " not in g), least))
+    return out
+
+
+@cache
+def _template_words() -> frozenset[str]:
+    return frozenset(g for f in TEMPLATES for own in _template_grams(f) for g in own if " " not in g)
+
+
+def template_grams(words: list[str]) -> Counter:
+    """The n-grams of ``words`` that a template could hold: those of templates' words only."""
+    known, run, out = _template_words(), [], Counter()
+    for word in [*words, ""]:
+        if word in known:
+            run.append(word)
+        elif run:
+            out.update(" ".join(run[i : i + n]) for n in (1, 2, 3) for i in range(len(run) - n + 1))
+            run = []
+    return out
+
+
 def similarity(found: Counter, family: str) -> float:
     """Largest share of a family's template that the paragraph holds, by n-grams."""
     best = 0.0
@@ -198,7 +284,7 @@ def paragraphs(lines: Sequence[str]) -> Iterator[tuple[int, list[str]]]:
     """First line's number and lines of each run of non-blank lines, comment marks stripped."""
     begin, block = 0, []
     for number, line in enumerate([*lines, ""]):
-        bare = _COMMENT.sub("", line)
+        bare = uncommented(line)
         if bare:
             begin, block = (begin, block) if block else (number, [])
             block.append(bare)
@@ -211,7 +297,8 @@ def narrowed(block: list[str], family: str, least: float) -> tuple[int, int]:
     """The lines of ``block``, begin and end, that still hold ``least`` of a family's template."""
 
     def holds(begin: int, end: int) -> bool:
-        return similarity(grams(" ".join(block[begin:end])), family) >= least - 1e-9
+        words = _WORD.findall(" ".join(block[begin:end]).lower())
+        return similarity(template_grams(words), family) >= least - 1e-9
 
     # Fewer lines never hold more, so both ends are found by bisection.
     end = 1 + bisect_left(range(1, len(block)), True, key=lambda n: holds(0, n))
@@ -221,16 +308,17 @@ def narrowed(block: list[str], family: str, least: float) -> tuple[int, int]:
     return begin, end
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, text_col: str = "text", prose_chars: int = 2000) -> Model:
     """Train on the templates and on at most ``PROSE`` paragraphs of ``SAMPLE_DOCS`` documents.
 
+    Of a paragraph that stands for prose the first ``prose_chars`` characters are learned from.
     Sampled paragraphs that hold a good part of a template are left out of the prose. Without
     documents a few plain sentences stand for prose.
     """
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     sampled = docs.sample(share, seed=4).select(F.col(text_col).alias("_text")).where("_text IS NOT NULL")
     lines = sampled.select(F.explode(F.split("_text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
-    prose = [r["line"][:2000] for r in lines.limit(PROSE).collect()]
+    prose = [r["line"][:prose_chars] for r in lines.limit(PROSE).collect()]
     clean = [p for p in prose if max(similarity(grams(p), f) for f in TEMPLATES) < 0.5]
     return calibrate([*clean, "The weather was fine and they went to the market.", "It is a small town by the river."])
 
@@ -244,7 +332,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     same family and as like the template. A notice has its (first) line number, its family or
     ``unknown``, the calibrated chance, and the share of the family's template that it holds;
     a family stands only if the template confirms it with ``confirm`` or more. ``licence`` is
-    the likeliest notice's, ``none`` without one (null and empty texts too). Rows are judged
+    the likeliest notice's, ``none`` without one (null and empty texts too). Very long lines and words
+    are judged whole, in time that follows their length. Rows are judged
     alone; an empty frame gives no rows; other columns are not read, whatever their names.
     """
     notice = pa.struct([("line", pa.int64()), ("licence", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
@@ -252,12 +341,11 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         "doc_id long, licence string, probability double, similarity double, "
         "notices array<struct<line: long, licence: string, probability: double, similarity: double>>"
     )
-    # Families' own words: prose seldom has two of them, and a notice always does.
-    known = {g for g in model.weights if " " not in g}
+    needed, bound = needed_words(confirm), Bound(model)
+    fewest = min(n.least for n in needed)
 
     def judge(line: str) -> dict | None:
-        words = _WORD.findall(line.lower())
-        if not words or known.isdisjoint(words):
+        if not bound.reached(_WORD.findall(line.lower())):
             return None
         found = grams(line)
         family, share, licence = _family(model, found)
@@ -270,14 +358,11 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def wrapped(block: list[str]) -> list[tuple[int, int, dict]]:
         """Notices over several lines of a paragraph: begin, end and notice."""
         whole = " ".join(block)
-        words, found, out = set(_WORD.findall(whole.lower())), None, []
-        if known.isdisjoint(words):
-            return []
-        for family in TEMPLATES:
-            # A template's missing words alone are over what may be missing: skip the counting.
-            if all(sum(" " not in g and g not in words for g in own) > (1 - confirm) * sum(own.values()) for own in _template_grams(family)):
-                continue
-            found = found or grams(whole)
+        words, found, out = _WORD.findall(whole.lower()), None, []
+        present = _template_words().intersection(words)
+        likely = dict.fromkeys(n.family for n in needed if len(n.words & present) >= n.least) if len(present) >= fewest else ()
+        for family in likely:
+            found = found or template_grams(words)
             alike = similarity(found, family)
             if alike < confirm:
                 continue
