@@ -28,11 +28,20 @@ def with_decimal_comma(frame: DataFrame) -> DataFrame:
     return frame.withColumns(texts)
 
 
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def write_csv(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """";"-separated UTF-8 with a header, as a folder of part files."""
+    """";"-separated UTF-8 with a header, as a folder of part files.
+
+    Every part begins with a byte-order mark, so spreadsheets read its accents; the mark stands
+    before the first column's name. A result without rows is one part with the header alone.
+    """
+    texts = with_decimal_comma(frame)
+    first, *others = texts.columns
+    marked = texts.select(F.col(first).alias(BYTE_ORDER_MARK + first), *others)
     (
-        with_decimal_comma(frame)
-        .write.mode(mode)
+        marked.write.mode(mode)
         .options(sep=";", header=True, escape='"', emptyValue="")
         .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .csv(path)

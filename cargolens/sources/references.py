@@ -55,7 +55,7 @@ def unique_exemptions(exemptions: DataFrame | KeyedTable) -> DataFrame:
     others = [c for c in padded.columns if c != "CO_SH6"]
     failure = F.raise_error(F.concat(F.lit("Código SH6 repetido na referência de isenções: "), F.col("CO_SH6")))
     row = F.struct(*others)
-    # One value per group, so nothing is sorted; the guard is a filter and cannot be pruned away.
+    # The guard is a filter and cannot be pruned away.
     listed = padded.groupBy("CO_SH6").agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("_row"))
     alone = F.when(F.col("_n") > 1, failure.cast("boolean")).otherwise(True)
     return listed.where(alone).select("CO_SH6", "_row.*")

@@ -421,3 +421,19 @@ register(
 FROM fact""",
     ("fact",),
 )
+
+
+def _export_heads(d: Data) -> DataFrame:
+    """The first bytes of every exported part."""
+    path = shared_folder(d.spark, "export")
+    write_csv(d.tables.fact.select("CO_NCM", "VL_FOB"), path)
+    parts = d.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    return parts.select(F.hex(F.substring("content", 1, 3)).alias("MARCA"), F.decode(F.substring("content", 4, 13), "UTF-8").alias("CABECALHO")).distinct()
+
+
+register(
+    "s20_export_marks",
+    _export_heads,
+    "SELECT DISTINCT 'EFBBBF' AS MARCA, 'CO_NCM;VL_FOB' AS CABECALHO FROM fact",
+    ("fact",),
+)

@@ -19,7 +19,12 @@ from cargolens.operators.monthly import (
     monthly_history,
     monthly_profile,
 )
-from cargolens.operators.options import available_months, available_years, filter_options
+from cargolens.operators.options import (
+    all_filter_options,
+    available_months,
+    available_years,
+    filter_options,
+)
 from cargolens.operators.quality import load_log, quality_report
 from cargolens.operators.ranking import country_ranking
 from cargolens.operators.select import largest, select_result
@@ -69,6 +74,24 @@ FROM star WHERE FLUXO = 'EXP' AND CO_ANO = 1998 AND CO_MES IN (1, 2) AND {_level
         ("star",),
     )
 
+_FACETS = {"sectors": ("Agropecuária", "Outros Produtos"), "categories": ("Bens de Capital", "Bens de Consumo"), "sh2": ("07", "08", "30")}
+register(
+    "q3_all_options",
+    # Six lists from one scan; three of the filters are set.
+    lambda d: all_filter_options(d.tables, FilterState(flow="EXP", year=1998, months=(1, 2, 5), **_FACETS)),
+    "\nUNION ALL ".join(
+        f"""SELECT DISTINCT '{attribute}' AS ATRIBUTO, {level.code} AS CODIGO, coalesce({level.label}, {level.code}) AS DESCRICAO
+FROM star WHERE FLUXO = 'EXP' AND CO_ANO = 1998 AND CO_MES IN (1, 2, 5) AND {level.code} IS NOT NULL"""
+        + "".join(
+            f" AND {LEVEL_BY_ATTRIBUTE[a].code} IN ({', '.join(repr(v) for v in values)})"
+            for a, values in _FACETS.items()
+            if a != attribute
+        )
+        for attribute, level in LEVEL_BY_ATTRIBUTE.items()
+    ),
+    ("star",),
+)
+
 # --- Q4: headline ------------------------------------------------------------
 _SUMMARY = """SELECT fob AS VL_FOB, kg AS KG_LIQUIDO, qt AS QT_ESTAT, IF(kg > 0, fob / kg, NULL) AS FOB_POR_KG,
   facts AS REGISTROS, products AS NCMS, countries AS PAISES

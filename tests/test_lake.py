@@ -364,7 +364,8 @@ def test_export(spark, tmp_path):
     path = str(tmp_path / "out")
     write_csv(frame.coalesce(1), path)
     part = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv"][0]
-    assert part.read_text(encoding="utf-8").splitlines() == [
+    assert part.read_bytes().startswith(b"\xef\xbb\xbft;v;n")
+    assert part.read_text(encoding="utf-8-sig").splitlines() == [
         "t;v;n", '"á;b";12345678,5;1', '"say ""x""";0,30000000000000004;2', ";;3"]
 
 

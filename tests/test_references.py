@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import EXEMPTION_SCHEMA, by, rows
 from pyspark.errors import PySparkException
 
@@ -14,7 +15,14 @@ from cargolens.operators.exemptions import (
     require_unique_codes,
 )
 from cargolens.operators.tariff import clean_tariff, tariff_headline, tariff_series, tariff_violations
-from cargolens.sources.references import read_exemptions, read_tariff_series, unique_exemptions
+from cargolens.model import DimensionError
+from cargolens.sources.keyed import read_keyed
+from cargolens.sources.references import (
+    read_exemptions,
+    read_tariff_series,
+    unique_exemptions,
+    write_exemptions,
+)
 
 TARIFF = [
     # date, country, imports, duties, base, rate, rate on base
@@ -143,3 +151,29 @@ def test_consolidation(spark):
     doubled = cleaned.unionByName(cleaned.where("LINHA = 5"))
     with pytest.raises(ValueError, match="28041000"):
         require_unique_codes(doubled)
+
+
+def test_a_line_that_runs_on_and_on(spark):
+    """One coded line with thousands of continuations: its text in order, put together by blocks."""
+    lines = [("d", 0, 1, "0201.10.05", None, "")] + [("d", n, 1, "", f"t{n}", "") for n in range(1, 5000)]
+    lines += [("d", 5000, 2, "0201.10.06", "next", "Ex")]
+    merged = merge_continuations(clean_lines(spark.createDataFrame(lines, LINES_SCHEMA).repartition(6)), 64)
+    got = {r["LINHA"]: r["DESCRICAO_EN"] for r in rows(merged)}
+    assert got == {0: " ".join(f"t{n}" for n in range(1, 5000)), 5000: "next"}
+
+
+def test_declared_key(spark, exemptions, tmp_path):
+    """A stored list is joined as it is: its key was checked when it was written."""
+    path = str(tmp_path / "list")
+    short = exemptions.withColumn("CO_SH6", F.expr("cast(cast(CO_SH6 as int) as string)"))
+    kept = write_exemptions(short, path)
+    assert kept.keys == ("CO_SH6",) and read_keyed(spark, path).frame.count() == 3
+    plan = unique_exemptions(read_keyed(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    with pytest.raises(DimensionError, match="020110"):
+        write_exemptions(exemptions.union(exemptions.where("CO_SH6 = '020110'")), str(tmp_path / "twice"))
+    with pytest.raises(DimensionError):
+        read_keyed(spark, str(tmp_path / "twice"))
+    exemptions.write.mode("append").parquet(path)
+    with pytest.raises(DimensionError, match="não são os da chave"):
+        read_keyed(spark, path)

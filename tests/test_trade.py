@@ -4,7 +4,7 @@ import pytest
 from conftest import COUNTRIES, PRODUCTS, SMALL_FACTS, by, fact, make_tables, rows
 from pyspark.sql import functions as F
 
-from cargolens.model import FilterState
+from cargolens.model import LEVEL_BY_ATTRIBUTE, FilterState
 from cargolens.operators.balance import (
     balance_extremes,
     balance_status_counts,
@@ -12,7 +12,7 @@ from cargolens.operators.balance import (
     trade_balance_by_country,
 )
 from cargolens.operators.monthly import monthly_headline, monthly_history, monthly_profile
-from cargolens.operators.options import available_months, available_years, filter_options
+from cargolens.operators.options import all_filter_options, available_months, available_years, filter_options
 from cargolens.operators.quality import load_log, quality_report
 from cargolens.operators.ranking import country_ranking
 from cargolens.operators.select import largest, select_result
@@ -206,3 +206,14 @@ def test_shares_add_up(small):
     for level in ("Setor", "SH4", "NCM"):
         assert sum(r["PARTICIPACAO_FOB"] for r in rows(hierarchy_table(small, JANUARY, level))) == pytest.approx(1)
     assert len(PRODUCTS) == 2 and len(COUNTRIES) == 3
+
+
+def test_all_options_equal_the_single_lists(spark, small):
+    """One scan gives what six queries give, whatever filters are set."""
+    for filters in ({}, {"sectors": ("Agropecuária",)}, {"sectors": ("x",), "sh2": ("01",)}, {"ncm": ("02011000",), "sh4": (None, "0201")}):
+        state = FilterState(year=2026, **filters)
+        together = all_filter_options(small, state)
+        for attribute in LEVEL_BY_ATTRIBUTE:
+            single = {(r["CODIGO"], r["DESCRICAO"]) for r in rows(filter_options(small, state, attribute))}
+            mine = [r for r in rows(together) if r["ATRIBUTO"] == attribute]
+            assert {(r["CODIGO"], r["DESCRICAO"]) for r in mine} == single and len(mine) == len(single)
