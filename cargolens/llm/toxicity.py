@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,22 +50,27 @@ def _plain() -> dict[int, str]:
 
 
 _PLAIN = _plain()
-_MIXED = re.compile(r"\S*[0-9@$!|]\S*")
+_SIGN = re.compile(r"[0-9@$!|]")
 _OTHER = re.compile(r"[\W_]+")
 
 
-def _letters(found: re.Match) -> str:
+def _letters(word: str) -> str:
     """A word with digits, these read as letters if it has letters, signs at its end aside."""
-    word = found[0].rstrip("!|")
+    word = word.rstrip("!|")
     return word.translate(DIGITS) if any(c.isalpha() for c in word) else word
 
 
 def fold(text: str | None) -> str:
-    """The words of a text in folded form, one blank before, between and after them."""
+    """The words of a text in folded form, one blank before, between and after them.
+
+    Time follows the length of the text, however long a word is.
+    """
     plain = (text or "").lower()
     if not plain.isascii():
         plain = plain.translate(_PLAIN)
-    return f" {_OTHER.sub(' ', _MIXED.sub(_letters, plain)).strip()} "
+    if _SIGN.search(plain):
+        plain = " ".join([_letters(w) if _SIGN.search(w) else w for w in plain.split()])
+    return f" {_OTHER.sub(' ', plain).strip()} "
 
 
 @dataclass
@@ -107,8 +114,10 @@ class Matcher:
                     shields.append((begin, end))
                 else:  # of terms that begin at one word the heaviest counts
                     terms[begin] = max(weight, terms.get(begin, weight))
-        for low, high in shields:
-            terms = {at: w for at, w in terms.items() if not low <= at < high}
+        if shields:
+            shields.sort()
+            lows, reach = [low for low, _ in shields], list(accumulate((high for _, high in shields), max))
+            terms = {at: w for at, w in terms.items() if not ((k := bisect_right(lows, at)) and at < reach[k - 1])}
         total = sum(terms.values())
         return float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1)))
 
@@ -178,6 +187,7 @@ def learn(
     odds: float = 3.0,
     max_terms: int = 3000,
     phrases: Sequence[str] = (),
+    max_phrases: int = 1000,
 ) -> Lexicon:
     """A lexicon from labelled documents for which ``usable`` (a condition on the id) holds.
 
@@ -185,7 +195,8 @@ def learn(
     counts, two measures each, and the ``max_terms`` best terms reach the driver. A term must be in
     ``support`` toxic texts and in the ``share`` of them. Null texts,
     labels and ids teach nothing. ``phrases`` are harmless phrases known beforehand; phrases of
-    a term and its neighbour that are found in clean texts only are added.
+    a term and its neighbour that are found in clean texts only are added, the ``max_phrases`` most
+    frequent ones of the learned rows.
     """
     chosen = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = chosen.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
@@ -215,7 +226,7 @@ def learn(
     support = max(support, round(share * totals["toxic"]))
     weights = choose(((r["term"], r["toxic"], r["clean"]) for r in best[1:]), totals["toxic"], totals["clean"], support, odds)
     lexicon = Lexicon(weights, tuple(fold(p) for p in phrases))
-    harmless = _harmless(rows, lexicon, support)
+    harmless = _harmless(rows, lexicon, support, max_phrases)
     lexicon = Lexicon(weights, (*lexicon.phrases, *harmless))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +242,7 @@ def learn(
     return lexicon
 
 
-def _harmless(rows: DataFrame, lexicon: Lexicon, support: int) -> list[str]:
+def _harmless(rows: DataFrame, lexicon: Lexicon, support: int, most: int) -> list[str]:
     """Phrases of a term's word and one neighbour that clean texts hold and toxic ones do not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +266,7 @@ def _harmless(rows: DataFrame, lexicon: Lexicon, support: int) -> list[str]:
     counts = rows.mapInArrow(run, "phrase string, clean long, toxic long").groupBy("phrase")
     counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     kept = counts.where((F.col("clean") >= support) & (F.col("toxic") * 9 <= F.col("clean")))
-    return [r["phrase"] for r in kept.orderBy(F.desc("clean"), "phrase").limit(1000).collect()]
+    return [r["phrase"] for r in kept.orderBy(F.desc("clean"), "phrase").limit(most).collect()]
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
