@@ -1,25 +1,34 @@
-"""Mixture-controlled packing: every window draws from each source's queue by its share.
-
-Deficit round-robin serves the queues in turn; what a queue is short of after a window is
-added to its next quota, so after w windows it has given w times its quota, rounded. That
-rounded product is computed directly: with the queues in a fixed order, of total T and running
-totals P, the queues up to s have given floor(w * length * P / T) ids after w windows. The
-deficit carried into any window is the rounding left over, under one id for the queues up to
-s, and no task has to wait for the windows before its own.
+"""Mixture-controlled packing: windows draw from the sources' queues to target proportions.
+
+Deficit round-robin: every window credits each queue with its target's share of the window. A
+queue is served when its deficit, what it was credited with and has not given yet, is worth a
+piece; the deficit that is left is carried into the next window, and so on over all windows and
+over the tasks whose rows fill the queue. A queue that runs dry leaves the round; the others share
+the windows by their targets from there on.
+
+No task waits for the windows before its own, as every deficit can be told directly. Let time
+pass so that a queue of target t has given t * time ids. Queues of N ids run dry at N / t, which
+parts time into phases without a change of queues. In a phase the queues stand in a fixed order,
+with running totals P of what they give in it and a total T, and the queues up to s have given
+floor(w * length * P / T) ids after w windows: the rounded credit. Sources that are owed less than a
+quantum by a window are served in turns, one piece in every 2, 4, 8, ... windows; those of one
+turn length form one queue, whose rounds are dealt out among them in the same way.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from math import floor
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.shared import slices, stored, sums_before
+from cargolens.llm.shared import releasing, slices, stored, sums_before
 from cargolens.llm.tokens import encoder
 
 PIECES = (
@@ -56,20 +65,25 @@ def tokenize(
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string"), text_col)
     schema = "part int, id long, source string, before long, n long, ids binary"
-    return stored(rows.mapInArrow(run, schema), "ids")
+    return stored(rows.mapInArrow(releasing(run), schema), "ids")
 
 
 @dataclass(frozen=True)
 class Queue:
-    """One queue: the ids of all queues before it, and of those and itself."""
+    """One queue of a round: the ids of all queues before it, and of those and itself.
+
+    ``total`` is that of all queues, ``length`` the ids of a round; the first round is short of
+    ``skip`` ids.
+    """
 
     low: int
     high: int
     total: int
     length: int
+    skip: int = 0
 
     def _given(self, upto: int, window: int) -> int:
-        return min(window * self.length, self.total) * upto // self.total
+        return max(0, min(window * self.length - self.skip, self.total)) * upto // self.total
 
     def given(self, window: int) -> int:
         """Ids the queue has given before ``window``."""
@@ -77,11 +91,11 @@ class Queue:
 
     def place(self, window: int) -> int:
         """Where the queue's ids begin inside ``window``."""
-        return self._given(self.low, window + 1) - self._given(self.low, window)
+        return self._given(self.low, window + 1) - self._given(self.low, window) + (0 if window else self.skip)
 
     def pieces(self, at: int, n: int) -> Iterator[tuple[int, int, int]]:
         """Window, offset and length of each piece of ``n`` ids that begin at ``at``."""
-        window = at * self.total // ((self.high - self.low) * self.length)
+        window = (at * self.total // (self.high - self.low) + self.skip) // self.length
         while window and self.given(window) > at:
             window -= 1
         while n:
@@ -93,18 +107,48 @@ class Queue:
             window += 1
 
 
-def own_queues(large: list[tuple[str | None, int]], whole: int, length: int, least: int) -> dict[str | None, int]:
-    """Sources with a queue of their own, and their totals; all others share one queue.
+@dataclass(frozen=True)
+class Span:
+    """What a source gives in one phase: its ids from ``begin`` on, by turns of a class of sources."""
+
+    begin: int
+    size: int
+    turn: Queue
+    round: Queue
+    first: int  # window in which the phase begins
+
+    def pieces(self, at: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """Sequence, offset and length of each piece of ``n`` ids from place ``at`` of the source."""
+        for turn, inside, taken in self.turn.pieces(at - self.begin, n):
+            for window, offset, size in self.round.pieces(turn * self.turn.length + inside, taken):
+                yield self.first + window, offset, size
+
+
+def phases(sizes: Mapping[str | None, int], targets: Mapping[str | None, float], rest: int) -> list[tuple[dict, int]]:
+    """What each named source, and all others together, give in each phase.
 
-    ``large`` has the sources that give ``least`` ids or more to a window, so at most
-    ``length / least`` of them. The shared queue takes in the smallest of these until it gives
-    ``least`` ids as well, if it holds any.
+    ``sizes`` has the ids of the named sources, ``rest`` those of the others, which share what the
+    named targets leave of the whole. Shares of zero are served when all others are dry.
     """
-    own = dict(sorted(large, key=lambda x: (-x[1], x[0] is not None, x[0] or "")))
-    shared = whole - sum(own.values())
-    while own and 0 < shared * length < least * whole:
-        shared += own.popitem()[1]
-    return own
+    shares = {name: Fraction(targets[name]) for name in sizes}
+    left = max(Fraction(0), 1 - sum(map(Fraction, targets.values())))
+    queues = [((name,), sizes[name], shares[name]) for name in sizes] + [((), rest, left)]
+    given = {key: 0 for key, _, _ in queues}
+    out, time = [], Fraction(0)
+    served = [q for q in queues if q[2] > 0]
+    while any(given[key] < n for key, n, _ in queues):
+        active = [(key, n, share) for key, n, share in served if given[key] < n]
+        if active:
+            time = min(n / share for _, n, share in active)
+            gives = {key: min(n, floor(share * time)) - given[key] for key, n, share in active}
+        else:  # sources that no target asks for, all at once
+            gives = {key: n - given[key] for key, n, _ in queues}
+        for key, n in gives.items():
+            given[key] += n
+        gives = {key: n for key, n in gives.items() if n}
+        if gives:
+            out.append((gives, sum(gives.values())))
+    return out
 
 
 def pack(
@@ -116,69 +160,124 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    targets: Mapping[str | None, float] | None = None,
 ) -> DataFrame:
     """One row per piece of a text, with the sequence and offset where it lies.
 
-    The target of a source is its share of all ids, so no source runs out before the others
-    and every window but the last is full and holds each queue's share to within one id.
+    ``targets`` names sources and their shares of a window; sources that it does not name share
+    what is left in proportion to their ids, so without targets every source has its share of
+    all ids. While a source lasts, what it has given after any window is within ``least`` ids of
+    what its target asks for, or within one id if each window owes it ``least`` or more. When one
+    runs dry the others fill the windows by their targets, and sources with nothing to ask for
+    come last. All windows but the last are full, and every id lies in one piece.
+
     Texts are cut where a window's quota ends. Queues follow the order in which rows are
     read. A null or empty text gives its end id alone; null sources form a source of their
     own; repeated rows are packed each; an empty frame gives no rows. Other columns are not
-    read, whatever their names. ``source`` and ``source_share`` (the queue's target) are
-    returned beside the piece. A source that would give under ``least`` ids to a window shares
-    a queue with the other such sources; the driver sees the totals of the others only.
+    read, whatever their names. ``source`` and ``source_share`` (its share of the phase in which
+    the piece lies) are returned beside the piece. The driver sees the totals of the named sources,
+    and in each phase those of sources owed ``least`` ids or more and of at most 64 classes of others.
     """
     ids = tokenize(docs, tokenizer, end_id, id_col, text_col, source_col)
     parts = stored(ids.groupBy("part", "source").agg(F.sum("n").alias("n")), "totals")
-    sources = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    whole = parts.agg(F.sum("n")).first()[0] or 0
-    large = sources.where(F.col("n") * length >= least * whole).collect()
-    own = own_queues([(r[0], r[1]) for r in large], whole, length, least)
-
-    low, ends = 0, {}
-    for name, n in [*((f"own {k}" if k is not None else "null", n) for k, n in own.items()), ("shared", 0)]:
-        high = whole if name == "shared" else low + n
-        ends[name] = Queue(low, high, whole, length)
-        low = high
-
-    names = F.lit("shared")
-    for k in own:
-        names = F.when(F.col("source").eqNullSafe(k), "null" if k is None else f"own {k}").otherwise(names)
-    listed = parts.withColumn("queue", names)
-    # A part's sources stand one after the other in the shared queue.
-    earlier = Window.partitionBy("part", "queue").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    listed = listed.withColumn("inside", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    in_part = parts.withColumn("queue", names).groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    bases = sums_before(in_part, "part", ("n",), ("queue",)).join(listed, ["part", "queue"])
-    bases = stored(
-        bases.select(
-            F.col("part").alias("b_part"),
-            F.col("source").alias("b_source"),
-            "queue",
-            (F.col("base_n") + F.col("inside")).alias("base_n"),
-        ),
-        "bases",
-    )
+    sources = stored(parts.groupBy("source").agg(F.sum("n").alias("n")), "sources")
+    targets = dict(targets or {})
+    named = F.lit(False)
+    for name in targets:
+        named = named | F.col("source").eqNullSafe(name)
+    sizes = {r["source"]: r["n"] for r in sources.where(named).collect()} if targets else {}
+    rest = sources.where(~named).agg(F.sum("n")).first()[0] or 0
+    plan = phases(sizes, {k: v for k, v in targets.items() if k in sizes}, rest)
+    spans, rounds = _spans(sources, plan, sizes, rest, length, least)
+
+    bases = sums_before(parts, "part", ("n",), ("source",)).withColumnRenamed("source", "_source")
+    bases = bases.join(spans, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
+    bases = stored(bases.withColumnsRenamed({"part": "b_part", "_source": "b_source"}), "bases")
     rows = ids.join(bases, (F.col("part") == F.col("b_part")) & F.expr("source <=> b_source"))
-    rows = rows.select("id", "source", "queue", (F.col("base_n") + F.col("before")).alias("at"), "n", "ids")
+    rows = rows.select("id", "source", "spans", (F.col("base_n") + F.col("before")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[tuple[Span, float]]] = {}
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(9)]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc, source, name, at, n, data = row
-                queue, start = ends[name], 0
-                share = (queue.high - queue.low) / queue.total
-                for window, offset, size in queue.pieces(at, n):
-                    crc = zlib.crc32(data[4 * start : 4 * (start + size)])
-                    piece = (doc, start, size, crc, n, window, offset, source, share)
-                    for column, value in zip(out, piece, strict=True):
-                        column.append(value)
-                    start += size
+                doc, source, found, at, n, data = row
+                key = tuple(tuple(f.values()) for f in found)
+                if key not in known:
+                    known[key] = [_span(f, rounds[f["phase"], f["class"]]) for f in found]
+                start = 0
+                for span, share in known[key]:
+                    low, high = max(at + start, span.begin), min(at + n, span.begin + span.size)
+                    if low >= high:
+                        continue
+                    for window, offset, size in span.pieces(low, high - low):
+                        crc = zlib.crc32(data[4 * start : 4 * (start + size)])
+                        piece = (doc, start, size, crc, n, window, offset, source, share)
+                        for column, value in zip(out, piece, strict=True):
+                            column.append(value)
+                        start += size
             types = [pa.int64()] * 7 + [pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, types, strict=True)],
                 [f.split()[0] for f in PIECES.split(", ")],
             )
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(releasing(run), PIECES)
+
+
+def _span(found: dict, outer: tuple[Queue, int, int]) -> tuple[Span, float]:
+    """A source's span, and its share of its phase."""
+    queue, first, turn_length = outer
+    turn = Queue(found["low"], found["low"] + found["size"], queue.high - queue.low, turn_length)
+    return Span(found["begin"], found["size"], turn, queue, first), found["size"] / queue.total
+
+
+def _spans(
+    sources: DataFrame, plan: list[tuple[dict, int]], sizes: dict, rest: int, length: int, least: int
+) -> tuple[DataFrame, dict[tuple[int, int], tuple[Queue, int, int]]]:
+    """What every source gives in every phase, and the round of each phase and class of sources.
+
+    One row per source; a round has a queue per large source and one per class of small ones, and a
+    class's own rounds are as long as it takes to owe each of its sources half a quantum to a quantum.
+    """
+    spark = sources.sparkSession
+    rows, given = [], {}
+    for phase, (gives, _) in enumerate(plan):
+        for key, n in gives.items():
+            before = given.get(key, 0)
+            rows.append((bool(key), key[0] if key else None, phase, before, before + n, sizes[key[0]] if key else rest))
+            given[key] = before + n
+    steps = spark.createDataFrame(rows, "named boolean, name string, phase int, low_end long, high_end long, whole long")
+    is_named = F.lit(False)
+    for name in sizes:
+        is_named = is_named | F.col("source").eqNullSafe(name)
+    marked = sources.withColumn("is_named", is_named)
+    # At most one row per named source and phase, and one per phase for all others.
+    split = marked.join(F.broadcast(steps), (F.col("is_named") == F.col("named")) & (~F.col("named") | F.col("source").eqNullSafe(F.col("name"))))
+
+    exact = {c: F.expr(f"cast(cast(n as decimal(19,0)) * {c}_end div whole as long)") for c in ("low", "high")}
+    split = split.select("source", "phase", exact["low"].alias("begin"), (exact["high"] - exact["low"]).alias("size")).where("size > 0")
+    total = Window.partitionBy("phase")
+    owed = F.col("size") * length / F.sum("size").over(total)
+    turns = F.greatest(F.lit(0), F.ceil(F.log2(F.lit(least / 2) / owed))).cast("int")
+    # Sources owed a quantum or more by each window, at most length / least of them, have a queue
+    # each: classes below zero.
+    large = split.withColumn("large", owed >= least)
+    number = F.row_number().over(Window.partitionBy("phase", "large").orderBy("source"))
+    classed = large.withColumn("class", F.when(F.col("large"), -number).otherwise(turns)).drop("large")
+    earlier = Window.partitionBy("phase", "class").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    classed = stored(classed.withColumn("low", F.coalesce(F.sum("size").over(earlier), F.lit(0))), "spans")
+    found = classed.groupBy("phase", "class").agg(F.sum("size").alias("n")).orderBy("phase", "class").collect()
+    wholes: dict[int, int] = {}
+    for r in found:
+        wholes[r["phase"]] = wholes.get(r["phase"], 0) + r["n"]
+    rounds, low, base = {}, 0, 0
+    for k, r in enumerate(found):
+        if k and found[k - 1]["phase"] != r["phase"]:
+            low, base = 0, base + wholes[found[k - 1]["phase"]]
+        queue = Queue(low, low + r["n"], wholes[r["phase"]], length, base % length)
+        turn_length = max(1, -(-r["n"] * length * 2 ** max(0, r["class"]) // wholes[r["phase"]]))
+        rounds[r["phase"], r["class"]] = (queue, base // length, turn_length)
+        low += r["n"]
+    entry = F.struct("phase", "class", "begin", "size", "low")
+    return stored(classed.groupBy("source").agg(F.sort_array(F.collect_list(entry)).alias("spans")), "source-spans"), rounds

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 
@@ -26,6 +27,7 @@ from cargolens.llm import (
     warc,
 )
 from cargolens.llm.shared import text_bytes
+from cargolens.session import ship
 
 
 def tokenizer() -> str:
@@ -145,8 +147,19 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose Python workers can import this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _with_package(f)
     for f in (
         op1_byte_shards,
         op2_licences,

@@ -10,18 +10,22 @@ leaves are shards; in each, all pairs of whole fingerprints within 4 bits are li
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import starmap
+from itertools import pairwise, starmap
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargolens.llm.components import components
-from cargolens.llm.shared import stored
+from cargolens.llm.shared import releasing, shared_folder, slices, stored
+from cargolens.llm.simple8b import opened
 
 BITS = 64
 #: Distinct fingerprints that the trees are fitted on, and members of a leaf, about.
@@ -63,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), bits], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(releasing(run), "doc_id long, fp long")
 
 
 def distances(values: np.ndarray, one: np.uint64) -> np.ndarray:
@@ -197,7 +201,7 @@ def near_pairs(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataF
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
-    sent = distinct.select("fp").mapInArrow(send, "shard long, fp long, home boolean")
+    sent = distinct.select("fp").mapInArrow(releasing(send), "shard long, fp long, home boolean")
     return sent.groupBy("shard").applyInArrow(search, "src long, dst long")
 
 
@@ -230,28 +234,98 @@ def near_duplicates(
     return rows.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
+def _named_otherwise(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _with_places(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """A plain read of Parquet files with the file and the row of each row, and these columns' names."""
+    file, at = (_named_otherwise(n, docs.columns) for n in ("_file", "_at"))
+    place = docs.metadataColumn("_metadata")
+    return docs.select(*docs.columns, place["file_path"].alias(file), place["row_index"].alias(at)), file, at
+
+
+def _bitmap(folder: str, file: str) -> str:
+    """Where the bits of a file's chosen rows lie. They depend on the file only, so a task that
+    is run again writes the same."""
+    return f"{folder}/{hashlib.sha256(file.encode()).hexdigest()}.bits"
+
+
+def _keep_rows(docs: DataFrame, file: str, at: str, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose place (``file``, ``at``) is in ``chosen``, without moving any row.
+
+    The chosen places of a file become one bit per row in the shared folder, and the task that
+    reads a file looks up the bits of that file only.
+    """
+    folder = shared_folder(docs.sparkSession, "chosen-rows")
+    columns = [c for c in docs.columns if c not in (file, at)]
+
+    def write(group: pa.Table) -> pa.Table:
+        name, places = group["file"][0].as_py(), group["at"].to_numpy()
+        bits = np.zeros(int(places.max()) + 1, bool)
+        bits[places] = True
+        system, target = opened(_bitmap(folder, name))
+        system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        unfinished = f"{target}.{uuid.uuid4().hex}"
+        with system.open_output_stream(unfinished) as out:
+            out.write(np.packbits(bits).tobytes())
+        system.move(unfinished, target)
+        return pa.table({"file": [name], "rows": [len(places)]})
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = None, np.zeros(0, bool)
+        for batch in slices(batches, 2000):
+            files, places = batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_numpy()
+            edges = [0, *(k for k in range(1, len(files)) if files[k] != files[k - 1]), len(files)]
+            for low, high in pairwise(edges):
+                if files[low:high] and files[low] != known:
+                    known = files[low]
+                    system, target = opened(_bitmap(folder, known))
+                    bits = np.zeros(0, bool)
+                    if system.get_file_info(target).type == fs.FileType.File:
+                        with system.open_input_stream(target) as source:
+                            bits = np.unpackbits(np.frombuffer(source.read(), np.uint8)).astype(bool)
+                mine = places[low:high]
+                inside = mine < len(bits)
+                wanted = np.zeros(len(mine), bool)
+                wanted[inside] = bits[mine[inside]]
+                some = batch.slice(low, high - low).filter(pa.array(wanted))
+                yield pa.RecordBatch.from_arrays(some.columns[: len(columns)], columns)
+
+    stored(chosen.groupBy("file").applyInArrow(write, "file string, rows long"), "chosen-files")
+    schema = T.StructType([f for f in docs.schema.fields if f.name in columns])
+    return docs.mapInArrow(releasing(keep), schema)
+
+
 def one_of_each(
-    docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    shingle: int = 4,
+    max_bits: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    in_place: bool = False,
 ) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates, all columns as they are.
+    """The rows of ``docs`` without near-duplicates, all columns as they are, whatever their names.
 
     Of each component of ``near_duplicates`` the row with the smallest id stays (null ids last;
-    of repeated rows the first that is read). Columns of ``docs`` must not be called ``_fp`` or
-    ``_row``.
+    of repeated rows the first by its place of reading). Texts are read twice and never moved:
+    only fingerprints and places are shuffled. ``in_place`` says that ``docs`` is a plain read of
+    Parquet files; any other frame is stored first, so that its rows have a place.
     """
-    at, schema = docs.columns.index(text_col), T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    placed, file, at = _with_places(docs if in_place else stored(docs, "documents"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column(at).to_pylist()]
+            found = [fingerprint(t, shingle) for t in batch.column(3).to_pylist()]
             bits = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, bits], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], bits], ["file", "at", "id", "fp"])
 
-    rows = docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(rows, "fingerprints")
-    rank = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    groups = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(rank).alias("first")), "distinct")
+    narrow = placed.select(F.col(file).alias("file"), F.col(at).alias("at"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = stored(narrow.mapInArrow(releasing(run), "file string, at long, id long, fp long"), "fingerprints")
+    rank = F.struct(F.col("id").isNull().alias("late"), "id", "file", "at")
+    groups = stored(rows.groupBy("fp").agg(F.min(rank).alias("first")), "distinct")
     # The row that is smallest in its component is the smallest of its own fingerprint as well.
     final = smallest_linked(groups, max_bits).join(groups, "fp").where("first = least")
-    chosen = stored(final.select(F.col("first.row").alias("_row")), "chosen")
-    return rows.join(chosen, "_row", "left_semi").select(*docs.columns)
+    return _keep_rows(placed, file, at, final.select("first.file", "first.at"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargolens.llm.shared import buckets_for
+from cargolens.llm.shared import buckets_for, releasing
 
 ANCHOR = 16
 SHALLOW = 16
@@ -389,7 +389,7 @@ def in_batches(docs: DataFrame, text_col: str, batch_bytes: int) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "batch long, rows binary")
+    return docs.mapInArrow(releasing(run), "batch long, rows binary")
 
 
 #: The maximal byte ranges (start, stop) to remove from one text, in order.
@@ -511,7 +511,7 @@ def map_spans(
 
     packed = in_batches(docs, text_col, batch_bytes).repartition("batch")
     flags = (
-        packed.mapInArrow(send_keys, "bucket long, batch long, keys binary, about binary")
+        packed.mapInArrow(releasing(send_keys), "bucket long, batch long, keys binary, about binary")
         .groupBy("bucket")
         .applyInArrow(flag, "batch long, bucket long, flags binary")
         .groupBy("batch")
@@ -520,13 +520,13 @@ def map_spans(
     cuts = (
         packed.join(flags, "batch", "left")
         .select("batch", "rows", "told")
-        .mapInArrow(send_runs, "bucket long, batch long, sent binary, cut boolean")
+        .mapInArrow(releasing(send_runs), "bucket long, batch long, sent binary, cut boolean")
         .groupBy("bucket")
         .applyInArrow(search, "batch long, cuts binary")
         .groupBy("batch")
         .agg(F.collect_list("cuts").alias("told"))
     )
-    return packed.join(cuts, "batch", "left").select("rows", "told").mapInArrow(close, schema)
+    return packed.join(cuts, "batch", "left").select("rows", "told").mapInArrow(releasing(close), schema)
 
 
 def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cargolens.llm import decontaminate, packing, quality, simhash, suffixes
 from cargolens.llm.queries import table, tokenizer
 from cargolens.llm.shared import stored
+from cargolens.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    return simhash.one_of_each(docs, shingle=4, max_bits=4)
+    """One document, that with the smallest id, of each group of near-duplicates.
+
+    Stages read what the stage before has stored, so rows have a place and need no copy.
+    """
+    return simhash.one_of_each(docs, shingle=4, max_bits=4, in_place=True)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after the other, each one's result stored and read again."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

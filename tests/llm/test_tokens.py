@@ -103,10 +103,103 @@ def test_packing(spark, least):
         at = sorted(parts)
         copies = len(ids[doc])
         assert sum(n for _, n in at) == copies * len(ids[doc][0]) // 4
-    if least > length:  # all sources share one queue
-        return
-    # Every full window holds each own queue's share to within one id.
-    shares = {p["source"]: p["source_share"] for p in pieces if p["source"] == "hot"}
+    check_mixture(pieces, length, least, {})
+
+
+def check_mixture(pieces, length, least, targets):
+    """After every window each source has given what its target asks for, to within a quantum, while
+    no source has run dry; afterwards the others go on by their targets."""
+    totals, given = {}, {}
+    for p in pieces:
+        totals[p["source"]] = totals.get(p["source"], 0) + p["length"]
+        key = (p["sequence_id"], p["source"])
+        given[key] = given.get(key, 0) + p["length"]
+    named = {s: t for s, t in targets.items() if s in totals}
+    rest = sum(n for s, n in totals.items() if s not in named)
+    shares = {s: named.get(s, (1 - sum(named.values())) * n / max(1, rest)) for s, n in totals.items()}
+    time, sums, done = 0.0, dict.fromkeys(totals, 0), dict.fromkeys(totals, 0.0)
+    windows = sorted({w for w, _ in given})
+    for w in windows:
+        # A plain loop over windows: every queue that is not dry is credited with its share.
+        left = float(sum(given.get((w, s), 0) for s in totals))
+        while left > 1e-6:
+            active = {s: t for s, t in shares.items() if done[s] < totals[s] - 1e-6 and t > 0}
+            if not active:  # what no target asks for comes last
+                active = {s: totals[s] for s in totals if done[s] < totals[s] - 1e-6}
+            if not active:
+                break
+            whole = sum(active.values())
+            step = min(left, *((totals[s] - done[s]) * whole / t for s, t in active.items()))
+            for s, t in active.items():
+                done[s] += step * t / whole
+            left -= step
+        for s in totals:
+            sums[s] += given.get((w, s), 0)
+            room = least if totals[s] * length < least * sum(totals.values()) or named else 0
+            assert abs(sums[s] - done[s]) <= room + 2, (w, s)
+
+
+def sourced(spark, sizes, words=40):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(["the", "house", "x1", "garden"]) for _ in range(words)), s) for s, n in sizes.items() for k in range(n)]
+    rng.shuffle(rows)
+    return spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string").repartition(5)
+
+
+def test_many_small_sources(spark):
+    """300 equal sources: each is served in its turn, none within a shared heap."""
+    docs = sourced(spark, {f"s{k:03d}": 4 for k in range(300)} | {"hot": 600})
+    pieces = packing.pack(docs, tokenizer(), 512).collect()
+    check_mixture(pieces, 512, 16, {})
+    short = sum(p["length"] < 4 for p in pieces if p["source"] != "hot")
+    assert short < len(pieces) / 10  # turns, not single ids
+    assert len({p["source_share"] for p in pieces}) > 1 and max(p["source_share"] for p in pieces) < 0.5
+
+
+@pytest.mark.parametrize(
+    "targets",
+    [{"big": 0.2, "small": 0.6}, {"small": 0.9}, {"big": 0.5, "small": 0.5}, {"none": 0.5, "mid": 0.3}, {"big": 0.0}],
+)
+def test_targets(spark, targets):
+    """Targets unlike the natural shares: deficits grow and are paid, sources run dry, nothing is lost."""
+    docs = sourced(spark, {"big": 300, "mid": 60, "small": 40, "tiny": 2})
+    length = 256
+    pieces = packing.pack(docs, tokenizer(), length, targets=targets).collect()
+    total = sum(p["length"] for p in pieces)
+    found = docs.collect()
+    ids = {r["doc_id"]: data for r, data in zip(found, plain([r["text"] for r in found]), strict=True)}
+    assert total == sum(len(d) // 4 for d in ids.values())
+    cover = {}
+    for p in pieces:
+        data = ids[p["doc_id"]]
+        assert p["ids_crc32"] == zlib.crc32(data[4 * p["start"] : 4 * (p["start"] + p["length"])])
+        cover.setdefault(p["doc_id"], []).append((p["start"], p["length"]))
+    for doc, parts in cover.items():
+        at = 0
+        for begin, size in sorted(parts):
+            assert begin == at
+            at += size
+        assert at == len(ids[doc]) // 4
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p["sequence_id"], []).append((p["offset"], p["length"], p["source"]))
     for number, parts in windows.items():
-        if number != max(windows):
-            assert abs(sum(n for _, n, s, _ in parts if s == "hot") - shares["hot"] * length) <= 1
+        parts.sort()
+        at = 0
+        for offset, size, _ in parts:
+            assert offset == at
+            at += size
+        assert at == length or number == max(windows)
+    if targets == {"big": 0.2, "small": 0.6}:
+        first = [sum(n for _, n, s in windows[w] if s == "small") / length for w in range(5)]
+        assert all(abs(x - 0.6) < 0.02 for x in first)
+    if targets == {"big": 0.0}:
+        assert not any(s == "big" for _, _, s in windows[0])
+    check_mixture(pieces, length, 16, targets)
+
+
+def test_turns_over_sequences():
+    """Plans alone, against a loop: every place of a queue once, in order."""
+    assert packing.phases({"a": 10, "b": 30}, {"a": 0.5, "b": 0.5}, 0) == [({("a",): 10, ("b",): 10}, 20), ({("b",): 20}, 20)]
+    assert packing.phases({"a": 10}, {"a": 0.0}, 5) == [({(): 5}, 5), ({("a",): 10}, 10)]
+    assert packing.phases({}, {}, 7) == [({(): 7}, 7)] and packing.phases({}, {}, 0) == []
