@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.llm.shared import releasing, slices, stored, sums_before
-from cargolens.llm.tokens import encoder
+from cargolens.llm.tokens import encoder, forget
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -198,6 +198,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, list[tuple[Span, float]]] = {}
+        forget()  # ids are stored by now, and the worker may be one that made them
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(9)]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -134,3 +134,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The encoder of this process for a tokenizer file."""
     return _encoder(path)
+
+
+def forget() -> None:
+    """Let go of this process's encoders and the words they know."""
+    _encoder.cache_clear()
