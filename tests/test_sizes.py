@@ -7,7 +7,7 @@ from conftest import SMALL_FACTS, fact, make_tables, rows
 from cargolens.operators import quality
 from cargolens.plans import sizes
 from cargolens.plans.star import ROLLUP_KEYS
-from cargolens.sources import rollup
+from cargolens.sources import lake, rollup, storage
 
 def plan(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
@@ -39,3 +39,34 @@ def test_quality_sums_facts_by_one_dimension_at_a_time(small, monkeypatch):
     assert found["Registros na fato"] == 4 and found["País sem descrição"] == 0
     assert not [c for c in asked if len(c & {"SETOR", "PAIS", "DIAS_UTEIS"}) > 1]
     assert set().union(*asked) >= {"SETOR", "PAIS", "DIAS_UTEIS", "CO_SH2", "NO_SH6_POR"}
+
+
+def test_raw_files_are_sorted_in_small_tasks(spark, tmp_path, monkeypatch):
+    """Rows of one large file go through several tasks, and the session's settings stay."""
+    header = "CO_ANO;CO_MES;CO_NCM;CO_UNID;CO_PAIS;SG_UF_NCM;CO_VIA;CO_URF;QT_ESTAT;KG_LIQUIDO;VL_FOB"
+    lines = [f"2025;{1 + k % 12};{k};10;249;SP;1;1;2;20;{k}" for k in range(20_000)]
+    (tmp_path / "raw" / "exp").mkdir(parents=True)
+    (tmp_path / "raw" / "exp" / "EXP_2025.csv").write_text("\n".join([header, *lines]))
+    before = {key: spark.conf.get(key) for key in sizes.TASK_BYTES}
+    monkeypatch.setitem(sizes.TASK_BYTES, "spark.sql.files.maxPartitionBytes", 10_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        lake.load(spark, str(tmp_path / "raw"), str(tmp_path / "lake"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {key: spark.conf.get(key) for key in sizes.TASK_BYTES} == before
+    # As many as the file has parts; by the number of cores alone there are 8.
+    assert len(storage.list_paths(spark, f"{tmp_path}/lake/fact/*/*/*/*/*.parquet")) > 40
+    facts = rows(lake.read_facts(spark, str(tmp_path / "lake")))
+    assert sorted(int(r["VL_FOB"]) for r in facts) == list(range(20_000))
+
+
+def test_small_tasks_keep_smaller_settings(spark):
+    read, shuffled = sizes.TASK_BYTES
+    spark.conf.set(read, "1m")
+    try:
+        with sizes.small_tasks(spark):
+            assert spark.conf.get(read) == "1m" and spark.conf.get(shuffled) == str(sizes.TASK_BYTES[shuffled])
+        assert spark.conf.get(read) == "1m"
+    finally:
+        spark.conf.unset(read)
