@@ -6,11 +6,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cargolens.llm import packing, simple8b
+from cargolens.llm import packing, simple8b, tokens
 from cargolens.llm.queries import tokenizer
 from cargolens.llm.tokens import Encoder
 
@@ -37,6 +38,32 @@ def test_ids_of_any_text():
     assert Encoder(tokenizer())(texts, 1) == plain(texts)
 
 
+WORDS = ["the", "house,", "letters" * 3, "abcdefghijkl", "abcdefghijklm", "ação;", "x1-y", "A", "END.", "é"]
+
+
+@pytest.mark.parametrize("room", [0, 3, 1000])
+def test_ids_in_small_batches(monkeypatch, room):
+    """Whatever is kept, and however texts are cut into batches and slices."""
+    for name, value in {"CACHED_NUMBERS": room, "CACHED_WORDS": room, "ROWS": 3, "TEXT_BYTES": 60}.items():
+        monkeypatch.setattr(tokens, name, value)
+    rng = random.Random(3)
+    texts = [None, "", *(" ".join(rng.choices(WORDS, k=rng.randint(0, 9))) for _ in range(200))]
+    encoder = Encoder(tokenizer())
+    assert encoder(texts, 1) == plain(texts)
+    assert encoder.arrow(pa.array(texts).slice(50, 20), 1).to_pylist() == plain(texts[50:70])
+    assert len(encoder._numbers) <= room and len(encoder._known) <= room
+
+
+def test_a_word_is_encoded_once(monkeypatch):
+    """Through many batches, with any closing marks, and in either case."""
+    monkeypatch.setattr(tokens, "ROWS", 2)
+    encoder, seen = Encoder(tokenizer()), []
+    monkeypatch.setattr(encoder, "_encode", lambda words, real=encoder._encode: seen.extend(words) or real(words))
+    texts = ["the house, the House. ação; ação", "house! HOUSE?! x1-y the", "Garden.", "garden x1-y, ação."] * 3
+    assert encoder(texts, 1) == plain(texts)
+    assert len(seen) == len(set(seen)) and not {b"house,", b"house."} & set(seen)
+
+
 @pytest.mark.parametrize("top", [2, 1000, 1 << 16, 1 << 33, (1 << 64) - 1])
 def test_code_round_trip(top):
     rng = random.Random(top)
