@@ -26,8 +26,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.shared import buckets_for, shared_folder, slices, stored, sums_before
-from cargolens.llm.tokens import encoder
+from cargolens.llm.shared import buckets_for, shared_folder, stored, sums_before
+from cargolens.llm.tokens import bounded, encoder
 
 MAGIC = b"S8BT0001"
 #: Values per word and bits per value of selectors 1 to 14 (fixed by the code).
@@ -170,10 +170,10 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, keys, ids, part = encoder(tokenizer), [], [], None
-        for batch in slices(batches):
+        for batch in bounded(batches, 1):
             part = batch.column(2)[0].as_py() if batch.num_rows and part is None else part
             keys += batch.column(0).to_pylist()
-            ids += encode(batch.column(1).to_pylist(), end_id)
+            ids += encode.arrow(batch.column(1), end_id).to_pylist()
         if not keys:
             return
         system, place = opened(folder)
