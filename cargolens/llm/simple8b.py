@@ -58,7 +58,9 @@ def encode_block(values: np.ndarray) -> np.ndarray:
         if np.diff(large, prepend=-1, append=n).max() <= count:
             continue  # nowhere so many small values in a row
         # How many values from each place on are small; a block's last word may hold fewer.
-        free = np.append(large, n + count)[np.searchsorted(large, places)] - places
+        after = np.full(n, n + count)
+        after[large] = large
+        free = np.minimum.accumulate(after[::-1])[::-1] - places
         chosen[free >= count] = selector
     starts, at = [], 0
     steps = np.maximum(COUNTS[chosen], 1).tolist()
@@ -70,15 +72,16 @@ def encode_block(values: np.ndarray) -> np.ndarray:
     place = np.arange(len(first)) + np.concatenate([[0], np.cumsum(selectors == 0)[:-1]])
     words = np.zeros(len(first) + int((selectors == 0).sum()), np.uint64)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    for selector in np.unique(selectors):
-        mine = selectors == selector
+    for selector in np.flatnonzero(np.bincount(selectors)).tolist():
+        mine = np.flatnonzero(selectors == selector)
+        at = first[mine]
         if selector == 0:
-            words[place[mine] + 1] = values[first[mine]]
+            words[place[mine] + 1] = values[at]
             continue
         count, bits = int(COUNTS[selector]), int(BITS[selector])
-        word = np.full(int(mine.sum()), selector, np.uint64) << np.uint64(60)
+        word = np.full(len(mine), selector, np.uint64) << np.uint64(60)
         for k in range(count):
-            word |= padded[first[mine] + k] << np.uint64(k * bits)
+            word |= padded[at + k] << np.uint64(k * bits)
         words[place[mine]] = word
     return words
 
